@@ -167,14 +167,17 @@ def hotspots(commits: DataFrame, file_changes: DataFrame, importance: DataFrame
         F.max("committed_at").alias("last_modified"))
 
 
-def complexity_trend(commits: DataFrame, file_changes: DataFrame, path: str, start=None, end=None) -> DataFrame:
-    """Every readable version of one path in a date range, newest first."""
-    versions = file_changes.filter((F.col("file_path") == path) & F.col("complexity_after").isNotNull())
+def complexity_trend(commits: DataFrame, file_changes: DataFrame, path: str | None = None,
+                     start=None, end=None) -> DataFrame:
+    """Every readable version of one path, or of every path, in a date range, newest first."""
+    versions = file_changes.filter(F.col("complexity_after").isNotNull())
+    if path is not None:
+        versions = versions.filter(F.col("file_path") == path)
     return (commits.filter(in_range(F.col("committed_at"), start, end))
             .select(*COMMIT, "committed_at").join(versions, COMMIT)
-            .select("repo_id", F.col("committed_at").alias("timestamp"),
+            .select(*FILE, F.col("committed_at").alias("timestamp"),
                     F.col("complexity_after").alias("complexity"), "commit_hash")
-            .orderBy("repo_id", F.desc("timestamp"), F.desc("commit_hash")))
+            .orderBy(*FILE, F.desc("timestamp"), F.desc("commit_hash")))
 
 
 def commit_statistics(commits: DataFrame, file_changes: DataFrame) -> DataFrame:

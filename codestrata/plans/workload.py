@@ -102,7 +102,7 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     content = F.concat(
         F.lit("import lib"), _text(k % 5), F.lit(".core, util"), _text(k % 3), F.lit("\n"),
-        F.lit("from pkg"), _text((k * 7 + 3) % 100 % 7), F.lit(".mod_"), _text((k * 7 + 3) % 100),
+        F.lit("from pkg"), _text((k * 11 + 10) % 100 % 7), F.lit(".mod_"), _text((k * 11 + 10) % 100),
         F.lit(" import run\nfrom . import local\n\n\n"),
         F.lit("def run(a, b):\n"), F.repeat(F.lit("    if a > b:\n        a -= 1\n"), (k % 23).cast("int")),
         F.lit("    return a\n\n\n"),
@@ -115,6 +115,19 @@ def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         broken.alias("content"))
 
 
+def blobs(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
+    """One file version per commit; every thirteenth cannot be read (null content)."""
+    k = F.col("o_orderkey")
+    body = F.concat(F.lit("def run(a, b):\n"),
+                    F.repeat(F.lit("    if a > b:\n        a -= 1\n"), (k % 23).cast("int")),
+                    F.lit("    return a\n"))
+    content = F.when(k % 13 != 0, body)
+    return table(spark, sf_dir, "orders").select(
+        _repo(F.col("o_custkey"), n).alias("repo_id"), k.alias("commit_hash"),
+        F.lit("pkg/main.py").alias("file_path"), F.sha2(content, 256).alias("content_sha"),
+        content.alias("content"))
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the web pages as edges; a page is named by its key."""
     return table(spark, sf_dir, "pages").select(

@@ -13,6 +13,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
@@ -29,6 +30,7 @@ def local_session(cores: str = "*", app: str = "codestrata", memory: str = "12g"
              .config("spark.sql.shuffle.partitions", "8")
              .config("spark.driver.memory", memory)
              .config("spark.ui.enabled", "false")
+             .config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)

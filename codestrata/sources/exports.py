@@ -80,8 +80,13 @@ def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
 
-def blob_at(commits: DataFrame, blobs: DataFrame, path: str) -> DataFrame:
-    """Content of one path at each given commit; a commit without the file gives no row."""
-    versions = blobs.filter(F.col("file_path") == path)
+def blob_at(commits: DataFrame, blobs: DataFrame, path: str | None = None) -> DataFrame:
+    """Content of one path, or of every path, at each given commit.
+
+    A commit without a readable version gives no row.
+    """
+    versions = blobs.filter(F.col("content").isNotNull())
+    if path is not None:
+        versions = versions.filter(F.col("file_path") == path)
     return commits.select("repo_id", "commit_hash", "committed_at").join(
         versions, ["repo_id", "commit_hash"])

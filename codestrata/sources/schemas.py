@@ -3,8 +3,13 @@
 from pyspark.sql import DataFrame, types as T
 
 
+_TYPES = {"string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+          "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    pairs = [field.split() for field in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 COMMITS = _schema("""
@@ -19,7 +24,7 @@ HEAD_FILES = _schema("repo_id string, file_path string")
 IMPORT_EDGES = _schema("repo_id string, src string, dst string, type string")
 CODE_BLOCKS = _schema("""
     content_sha string, kind string, name string, lineno int, endline int,
-    n_args int, n_methods int, complexity int""")
+    n_args int, n_methods int, complexity int, is_async boolean""")
 
 # Result records, keyed by repository.
 CHANGE_METRICS = _schema("""
@@ -28,9 +33,8 @@ CHANGE_METRICS = _schema("""
 REFACTOR_SUGGESTION = _schema("""
     repo_id string, file_path string, suggestion_type string, description string, impact string,
     effort_estimate string, code_snippet string, suggested_changes string""")
-MODULE_NODE = _schema("""
-    repo_id string, id string, name string, type string, size long, color string,
-    position struct<x: double, y: double, z: double>""")
+MODULE_NODE = _schema("repo_id string, id string, name string, type string, size long, color string").add(
+    "position", _schema("x double, y double, z double"))
 MODULE_CONNECTION = _schema("repo_id string, source string, target string, strength double, type string")
 SUBSYSTEM_HEALTH = _schema("""
     repo_id string, name string, status string, complexity_trend string, last_updated timestamp""")
