@@ -130,7 +130,7 @@ def trim(pairs: DataFrame, rounds: int = 3) -> DataFrame:
     for _ in range(rounds):
         both = pairs.select("repo_id", F.col("src").alias("node")).intersect(
             pairs.select("repo_id", F.col("dst").alias("node")))
-        pairs = _inner_edges(pairs, both)
+        pairs = cut_lineage(_inner_edges(pairs, both))
     return pairs
 
 
@@ -143,7 +143,7 @@ def strongly_connected(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
     against a run that does not end and raises instead of returning a partial result.
     """
     spark = edges.sparkSession
-    left = cut_lineage(trim(_pairs(edges)))
+    left = trim(cut_lineage(_pairs(edges)))
     found, steps = None, 0
 
     def tick():
@@ -183,7 +183,7 @@ def strongly_connected(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
         part = reached.select(*NODE, F.col("color").alias("component"))
         found = part if found is None else found.unionByName(part)
         rest = graph_nodes(left).join(part, NODE, "left_anti")
-        left = cut_lineage(trim(_inner_edges(left, rest)))
+        left = trim(cut_lineage(_inner_edges(left, rest)), 1)
     if found is None:
         return spark.createDataFrame([], "repo_id string, node string, component string")
     size = found.groupBy("repo_id", "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
@@ -202,14 +202,15 @@ def circular_dependencies(edges: DataFrame, max_len: int = 5, components: DataFr
     With ``components`` from ``strongly_connected`` only edges inside a component are walked:
     no cycle leaves one.
     """
-    all_pairs = edges.select("repo_id", "src", "dst").distinct()
+    all_pairs = cut_lineage(edges.select("repo_id", "src", "dst").distinct())
     loops = all_pairs.filter(F.col("src") == F.col("dst")).select("repo_id", F.array("src").alias("cycle"))
-    pairs = trim(_pairs(edges), 1)
+    pairs = trim(all_pairs.filter(F.col("src") != F.col("dst")), 1)
     if components is not None:
         ends = components.select(*NODE, "component")
         pairs = (pairs.join(ends.withColumnRenamed("node", "src"), ["repo_id", "src"])
                  .join(ends.withColumnRenamed("node", "dst"), ["repo_id", "dst", "component"])
                  .select("repo_id", "src", "dst"))
+        pairs = cut_lineage(pairs)
     step = pairs.select("repo_id", F.col("src").alias("last"), F.col("dst").alias("next"))
     closing = pairs.select("repo_id", F.col("src").alias("last"), F.col("dst").alias("start"))
     paths = pairs.filter(F.col("src") < F.col("dst")).select(

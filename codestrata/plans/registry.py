@@ -66,9 +66,20 @@ py AS (
          'pkg' || (p_partkey % 100 % 7) || '/mod_' || p_partkey || '.py' AS file_path,
          (p_partkey * 11 + 10) % 100 AS t
   FROM part),
+py_files AS (
+  SELECT repo_id, file_path, CASE WHEN k % 29 = 0 THEN 'def broken(:' || chr(10) ELSE '' END ||
+         replace('import lib' || (k % 5) || '.core, util' || (k % 3) || '~from pkg' || (t % 7) || '.mod_' || t ||
+                 ' import run~from . import local~~~def run(a, b):~' ||
+                 repeat('    if a > b:~        a -= 1~', CAST(m AS INT)) ||
+                 '    return a~~~class Box:~    def get(self):~        return 1 if self.v else 0~~' ||
+                 '    def put(self, x, y):~        self.v = x and y or self.v~', '~', chr(10)) AS content
+  FROM py),
+py_lines AS (
+  SELECT repo_id, file_path, unnest(range(1, len(a))) AS line_no, unnest(a[1:len(a) - 1]) AS line
+  FROM (SELECT repo_id, file_path, string_split(content, chr(10)) AS a FROM py_files)),
 ok AS (SELECT * FROM py WHERE k % 29 <> 0),
 blocks AS (
-  SELECT repo_id, file_path, k, 'function' AS kind, 'run' AS name, 6 AS lineno, 7 + 2 * m AS endline, 2 AS n_args, 0 AS n_methods, 1 + m AS complexity FROM ok
+  SELECT repo_id, file_path, k, 'function' AS kind, 'run' AS name, 6::BIGINT AS lineno, 7 + 2 * m AS endline, 2::BIGINT AS n_args, 0::BIGINT AS n_methods, 1 + m AS complexity FROM ok
   UNION ALL SELECT repo_id, file_path, k, 'class', 'Box', 10 + 2 * m, 15 + 2 * m, 0, 2, 3 FROM ok
   UNION ALL SELECT repo_id, file_path, k, 'method', 'get', 11 + 2 * m, 12 + 2 * m, 1, 0, 2 FROM ok
   UNION ALL SELECT repo_id, file_path, k, 'method', 'put', 14 + 2 * m, 15 + 2 * m, 3, 0, 3 FROM ok),
