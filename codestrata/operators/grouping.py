@@ -1,17 +1,10 @@
 """Grouping helpers that stay spread out when one key holds a large share of the rows."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PART_ROWS = 10_000
 
 
-def same(left: DataFrame, right: DataFrame, keys) -> Column:
-    """Null-safe equality of the key columns."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def gather(rows: DataFrame, keys, item: Column, name: str, part_rows: int = PART_ROWS) -> DataFrame:
     """Sorted array of ``item`` per key: ``keys, part, name``.
 
@@ -71,55 +64,58 @@ def hash_share(df: DataFrame, keys, id_columns, fraction: float, seed: int, flag
     return edge.unionByName(rest).drop("_h", "_b", "_before", "_target", "_c")
 
 
-def exact_quantiles(df: DataFrame, keys, column: str, quantiles: dict[str, float],
+def exact_quantiles(df: DataFrame, keys, quantiles: dict[str, tuple[str, float]],
                     bins: int = 4096, levels: int = 2) -> DataFrame:
-    """Exact, linearly interpolated quantiles per key: ``keys`` and one column per quantile.
+    """Exact, linearly interpolated quantiles per key.
 
-    Works on value counts. Each level cuts the remaining value range into equal bins, finds the
-    bin that holds each wanted rank from the bin counts, and keeps only that bin; the last step
+    ``quantiles`` maps an output name to (column, fraction). Works on value counts of all the
+    columns at once. Each level cuts the remaining value range into equal bins, finds the bin
+    that holds each wanted rank from the bin counts, and keeps only that bin; the last step
     orders what is left. A window therefore sees at most ``bins`` rows per wanted rank plus the
     distinct values of one final bin.
     """
     keys = list(keys)
     v = F.col("_v")
-    counts = (df.filter(F.col(column).isNotNull())
-              .groupBy(*keys, F.col(column).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_c")))
-    wanted = F.explode(F.array(*[F.struct(F.lit(name).alias("q"), F.lit(p).alias("p"))
-                                 for name, p in quantiles.items()])).alias("_w")
-    ranks = (counts.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"),
-                                       F.max("_v").alias("_hi"))
-             .select("*", wanted)
-             .withColumn("_pos", F.col("_w.p") * (F.col("_n") - 1))
-             .withColumn("_end", F.explode(F.array(F.lit("below"), F.lit("above"))))
-             .select(*keys, F.col("_w.q").alias("_q"), "_end", "_pos", "_lo", "_hi",
-                     F.when(F.col("_end") == "below", F.floor("_pos"))
-                     .otherwise(F.ceil("_pos")).alias("_k"),
+    columns = sorted({column for column, _ in quantiles.values()})
+    melted = df.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in columns])))
+    counts = melted.filter(v.isNotNull()).groupBy(*keys, "_col", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("_q"), F.lit(column).alias("_of"), F.lit(p).alias("_p"),
+                                F.lit(end).alias("_end"))
+                       for name, (column, p) in quantiles.items() for end in ("below", "above")])
+    position = F.col("_p") * (F.col("_n") - 1)
+    ranks = (counts.groupBy(*keys, "_col").agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"),
+                                               F.max("_v").alias("_hi"))
+             .select("*", F.inline(wanted)).filter(F.col("_of") == F.col("_col"))
+             .select(*keys, "_col", "_q", "_end", "_lo", "_hi", position.alias("_pos"),
+                     F.when(F.col("_end") == "below", F.floor(position)).otherwise(F.ceil(position)).alias("_k"),
                      F.lit(0).cast("long").alias("_skip")))
     slot = [*keys, "_q", "_end"]
-    rows = counts.join(ranks, keys)
+    rows = counts.join(ranks, [*keys, "_col"])
     for _ in range(levels):
         width = (F.col("_hi") - F.col("_lo")) / bins
-        bucket = F.when(width > 0, F.least(F.floor((v - F.col("_lo")) / F.greatest(width, F.lit(5e-324))),
-                                           F.lit(bins - 1))).otherwise(F.lit(0)).cast("long")
-        rows = rows.withColumn("_bin", bucket)
+        bucket = F.coalesce(F.least(F.floor(F.try_divide(v - F.col("_lo"), width)), F.lit(bins - 1)), F.lit(0))
+        rows = rows.withColumn("_bin", F.when(width > 0, bucket).otherwise(F.lit(0)).cast("long"))
         sizes = rows.groupBy(*slot, "_bin").agg(
             F.sum("_c").alias("_bc"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"),
-            F.first("_k").alias("_bk"), F.first("_skip").alias("_bskip"))
-        before = (F.sum("_bc").over(W.partitionBy(*slot).orderBy("_bin")) - F.col("_bc") + F.col("_bskip"))
+            F.max("_k").alias("_bk"), F.max("_skip").alias("_bskip"))
+        before = F.sum("_bc").over(W.partitionBy(*slot).orderBy("_bin")) - F.col("_bc") + F.col("_bskip")
         hit = (sizes.withColumn("_before", before)
                .filter((F.col("_before") <= F.col("_bk")) & (F.col("_bk") < F.col("_before") + F.col("_bc")))
                .select(*slot, "_bin", "_before", "_blo", "_bhi"))
-        rows = (rows.join(hit, [*slot, "_bin"])
-                .withColumn("_skip", F.col("_before")).withColumn("_lo", F.col("_blo"))
-                .withColumn("_hi", F.col("_bhi"))
-                .select(*slot, "_v", "_c", "_k", "_pos", "_skip", "_lo", "_hi"))
+        rows = rows.join(hit, [*slot, "_bin"]).select(
+            *slot, "_v", "_c", "_k", "_pos", F.col("_before").alias("_skip"), F.col("_blo").alias("_lo"),
+            F.col("_bhi").alias("_hi"))
     upto = F.sum("_c").over(W.partitionBy(*slot).orderBy("_v")) + F.col("_skip")
     ends = (rows.withColumn("_upto", upto)
             .filter((F.col("_upto") > F.col("_k")) & (F.col("_upto") - F.col("_c") <= F.col("_k"))))
-    pick = lambda end: F.max(F.when(F.col("_end") == end, F.col("_v")))
-    lo, hi = pick("below"), pick("above")
-    share = F.max(F.col("_pos") - F.floor("_pos"))
-    joined = ends.groupBy(*keys, "_q").agg((lo + (hi - lo) * share).alias("_value"))
-    return joined.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_q") == name, F.col("_value"))).alias(name) for name in quantiles])
+    pick = lambda name, end: F.max(F.when((F.col("_q") == name) & (F.col("_end") == end), v))
+    share = lambda name: F.max(F.when(F.col("_q") == name, F.col("_pos") - F.floor("_pos")))
+    return ends.groupBy(*keys).agg(*[
+        (pick(name, "below") + (pick(name, "above") - pick(name, "below")) * share(name)).alias(name)
+        for name in quantiles])
+
+
+def small_enough(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Hint a broadcast when a count shows at most ``rows`` rows; otherwise leave the join alone."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

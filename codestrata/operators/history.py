@@ -7,7 +7,7 @@ from ..functions.dates import iso_timestamp
 from ..functions.fixed_values import REFACTORING_KEYWORDS
 from ..functions.numbers import change_impact, file_risk_score
 from ..functions.paths import under_path
-from .grouping import gather, newest_commits, top_per_repo
+from .grouping import gather, newest_commits, small_enough, top_per_repo
 
 COMMIT = ["repo_id", "commit_hash"]
 FILE = ["repo_id", "file_path"]
@@ -89,13 +89,19 @@ def change_metrics(file_changes: DataFrame, modified_only: bool = True) -> DataF
                           F.col("complexity_after").isNull()).alias("change_type"))
 
 
-def complexity_delta(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
-    """Sum of (after - before) over the modified files of a commit; 0 for a root commit."""
+def with_delta(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
+    """Commits with ``complexity_delta``: the sum of (after - before) over the modified files.
+
+    A root commit has delta 0.
+    """
     sums = (file_changes.filter(_modified()).groupBy(*COMMIT)
             .agg(F.sum(F.col("complexity_after") - F.col("complexity_before")).alias("_delta")))
     delta = F.when(F.col("parent_hash").isNull(), F.lit(0.0)).otherwise(F.coalesce("_delta", F.lit(0.0)))
-    return (commits.select(*COMMIT, "parent_hash").join(sums, COMMIT, "left")
-            .select(*COMMIT, delta.alias("complexity_delta")))
+    return commits.join(sums, COMMIT, "left").withColumn("complexity_delta", delta).drop("_delta")
+
+
+def complexity_delta(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
+    return with_delta(commits.select(*COMMIT, "parent_hash"), file_changes).drop("parent_hash")
 
 
 def refactoring_commits(commits: DataFrame, start=None, end=None) -> DataFrame:
@@ -145,8 +151,7 @@ def pattern_files(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
 
 def touch_impact(commits: DataFrame, file_changes: DataFrame, importance: DataFrame | None = None) -> DataFrame:
     """Impact score of every touch: lines, commit-level complexity change, message importance."""
-    per_commit = complexity_delta(commits, file_changes).join(
-        commits.select(*COMMIT, "committed_at"), COMMIT)
+    per_commit = with_delta(commits.select(*COMMIT, "parent_hash", "committed_at"), file_changes).drop("parent_hash")
     if importance is None:
         per_commit = per_commit.withColumn("importance", F.lit(0.0))
     else:
@@ -193,11 +198,14 @@ def files_per_commit(file_changes: DataFrame) -> DataFrame:
     return file_changes.groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def repo_statistics(commits: DataFrame, file_changes: DataFrame, head_files: DataFrame | None) -> DataFrame:
-    """Files at the newest state; without a listing, the files of the newest commit."""
-    newest = newest_commits(commits, 1).select(*COMMIT)
-    last = (newest.join(file_changes.select(*COMMIT, "file_path"), COMMIT, "left")
-            .groupBy("repo_id").agg(F.count("file_path").alias("_last")))
+def repo_statistics(commits: DataFrame, trends: DataFrame, head_files: DataFrame | None) -> DataFrame:
+    """Files at the newest state; without a listing, the files of the newest commit.
+
+    The files of the newest commit are those that ``complexity_trends`` saw first.
+    """
+    newest = trends.groupBy("repo_id").agg(F.count_if(F.col("first_seen") == 1).alias("_newest"))
+    last = (commits.select("repo_id").distinct().join(newest, "repo_id", "left")
+            .select("repo_id", F.coalesce("_newest", F.lit(0).cast("long")).alias("_last")))
     if head_files is None:
         return last.select("repo_id", F.col("_last").alias("total_files"))
     listed = head_files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_listed"))
@@ -211,8 +219,13 @@ def complexity_trends(commits: DataFrame, file_changes: DataFrame, max_commits:
 
     ``pick`` chooses which readable version in the window gives the complexity.
     ``first_seen`` is the rank of the newest commit touching the file.
+
+    The window holds ``max_commits`` rows per repository. Where its counted size allows, it is
+    broadcast: the touches are then filtered where they are read and only per-file partial sums
+    are shuffled. With very many repositories the join shuffles instead.
     """
     recent = newest_commits(commits.select(*COMMIT, "committed_at"), max_commits).select(*COMMIT, "rn")
+    recent = small_enough(recent)
     touched = file_changes.select(*COMMIT, "file_path", "complexity_after").join(recent, COMMIT)
     seen = F.when(F.col("complexity_after").isNotNull(), F.col("rn"))
     choose = F.max_by if pick == "oldest" else F.min_by
@@ -230,8 +243,7 @@ def timeline(commits: DataFrame, file_changes: DataFrame, importance: DataFrame
     nested = gather(changes, COMMIT, F.struct(
         "file_path", "lines_added", "lines_deleted", "complexity_before", "complexity_after",
         "change_type"), "changes")
-    rows = (kept.join(nested, COMMIT, "left")
-            .join(complexity_delta(kept, file_changes), COMMIT))
+    rows = with_delta(kept, file_changes).join(nested, COMMIT, "left")
     rows = (rows.withColumn("semantic_importance", F.lit(0.0)) if importance is None else
             rows.join(importance.select(*COMMIT, F.col("importance").alias("semantic_importance")),
                       COMMIT, "left").fillna(0.0, ["semantic_importance"]))
@@ -246,9 +258,8 @@ def timeline_rows(commits: DataFrame, file_changes: DataFrame, start=None, end=N
                   path: str | None = None) -> DataFrame:
     """The timeline as one row per change, without nesting."""
     kept = commit_history(commits, file_changes, start, end, path)
-    return (kept.select(*COMMIT, "committed_at", "author", "message")
-            .join(complexity_delta(kept, file_changes), COMMIT)
-            .join(change_metrics(file_changes), COMMIT, "left"))
+    facts = with_delta(kept.select(*COMMIT, "parent_hash", "committed_at", "author", "message"), file_changes)
+    return facts.drop("parent_hash").join(change_metrics(file_changes), COMMIT, "left")
 
 
 def commit_analysis(timeline_df: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.fixed_values import BASIC_FEATURE_NAMES, FEATURE_NAMES
 from ..functions.paths import is_source
+from ..session import cut_lineage
 from .grouping import exact_quantiles, hash_share
 from .history import COMMIT, FILE
 
@@ -61,11 +62,11 @@ def engineer_features_basic(touches: DataFrame) -> DataFrame:
 
 def _above(rows: DataFrame, limits: dict[str, tuple[str, float]], also: Column | None = None) -> DataFrame:
     """Mark rows above the exact per-repository quantile of every listed column."""
-    marked, test = rows, F.lit(True) if also is None else also
-    for name, (column, q) in limits.items():
-        marked = marked.join(exact_quantiles(rows, ["repo_id"], column, {name: q}), "repo_id")
+    test = F.lit(True) if also is None else also
+    for name, (column, _) in limits.items():
         test = test & (F.col(column) > F.col(name))
-    return marked.withColumn("is_hotspot", test).drop(*limits)
+    return (rows.join(exact_quantiles(rows, ["repo_id"], limits), "repo_id")
+            .withColumn("is_hotspot", test).drop(*limits))
 
 
 def label_hotspots_synthetic(rows: DataFrame, frequency: str = "commit_frequency",
@@ -108,8 +109,12 @@ def with_class_weight(df: DataFrame, label: str = "is_hotspot") -> DataFrame:
 
 def train_hotspot_model(train: DataFrame, features=FEATURE_NAMES, label: str = "is_hotspot",
                         trees: int = 200, depth: int = 10, seed: int = 42) -> PipelineModel:
-    """Assembler, scaler and a class-weighted random forest."""
-    rows = with_class_weight(train.withColumn("label", F.col(label).cast("double")), label)
+    """Assembler, scaler and a class-weighted random forest.
+
+    The training rows are written once: every stage and tree level reads them again.
+    """
+    kept = train.select(*features, label, F.col(label).cast("double").alias("label"))
+    rows = with_class_weight(cut_lineage(kept), label)
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),

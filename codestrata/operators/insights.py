@@ -6,7 +6,7 @@ from ..functions import numbers as N, rules
 from ..functions.dates import sunday_week
 from ..functions.paths import subsystem
 from .grouping import top_per_repo
-from .history import COMMIT, FILE, files_per_commit, repo_statistics
+from .history import COMMIT, FILE, files_per_commit
 
 SUBSYSTEM = ["repo_id", "subsystem"]
 
@@ -15,14 +15,15 @@ def subsystem_touches(commits: DataFrame, file_changes: DataFrame, unit: str = "
     """Touch count per subsystem and commit, beside the commit's facts and its whole file count.
 
     ``unit='commit'`` counts a commit once per subsystem however many files it touches there.
+    Everything is joined and counted on the commit keys, so the touches move once.
     """
-    sizes = files_per_commit(file_changes)
-    count = F.count(F.lit(1)) if unit == "touch" else F.lit(1).cast("long")
-    per = file_changes.groupBy(*COMMIT, subsystem(F.col("file_path")).alias("subsystem")).agg(
-        count.alias("touches"))
     facts = commits.select(*COMMIT, "committed_at", "author",
                            rules.mentions_fix(F.col("message")).alias("is_fix"))
-    return per.join(sizes, COMMIT).join(facts, COMMIT)
+    known = facts.join(files_per_commit(file_changes), COMMIT)
+    count = F.count(F.lit(1)) if unit == "touch" else F.lit(1).cast("long")
+    return (file_changes.select(*COMMIT, subsystem(F.col("file_path")).alias("subsystem")).join(known, COMMIT)
+            .groupBy(*COMMIT, "subsystem", "committed_at", "author", "is_fix", "n_files")
+            .agg(count.alias("touches")))
 
 
 def subsystem_rollup(commits: DataFrame, file_changes: DataFrame, min_touches: int = 5,
@@ -30,22 +31,20 @@ def subsystem_rollup(commits: DataFrame, file_changes: DataFrame, min_touches: i
     """Touches, daily frequency, fixes, authors and commit size per subsystem."""
     n, size = F.col("touches"), F.col("n_files")
     when = F.struct("committed_at", "commit_hash")
-    rows = subsystem_touches(commits, file_changes, unit)
-    totals = rows.groupBy(*SUBSYSTEM).agg(
+    totals = subsystem_touches(commits, file_changes, unit).groupBy(*SUBSYSTEM).agg(
         F.sum(n).alias("n"),
         F.sum(F.when(F.col("is_fix"), n).otherwise(0)).alias("bug_fixes"),
+        F.count_distinct("author").alias("authors"),
         F.sum(n * size).alias("total_files"),
         F.sum(n * size * size).alias("_squares"),
         F.max_by("n_files", when).alias("newest_files"),
         F.min_by("n_files", when).alias("oldest_files"))
-    authors = (rows.select(*SUBSYSTEM, "author").distinct()
-               .groupBy(*SUBSYSTEM).agg(F.count("author").alias("authors")))
     spread = F.col("n").cast("double") * F.col("_squares") - F.col("total_files").cast("double") * F.col("total_files")
-    return (totals.filter(F.col("n") >= min_touches).join(authors, SUBSYSTEM)
-            .select(*SUBSYSTEM, "n", (F.col("n") / F.lit(30.0)).alias("frequency"), "bug_fixes", "authors",
-                    "total_files", (F.col("total_files") / F.col("n")).alias("mean_files"),
-                    (F.sqrt(F.greatest(spread, F.lit(0.0))) / F.col("n")).alias("std_files"),
-                    "newest_files", "oldest_files"))
+    return totals.filter(F.col("n") >= min_touches).select(
+        *SUBSYSTEM, "n", (F.col("n") / F.lit(30.0)).alias("frequency"), "bug_fixes", "authors",
+        "total_files", (F.col("total_files") / F.col("n")).alias("mean_files"),
+        (F.sqrt(F.greatest(spread, F.lit(0.0))) / F.col("n")).alias("std_files"),
+        "newest_files", "oldest_files")
 
 
 def subsystem_trend(chronology: str = "literal") -> Column:
@@ -111,7 +110,7 @@ def trend_totals(trends: DataFrame) -> DataFrame:
     c = F.col("complexity")
     return trends.groupBy("repo_id").agg(
         F.avg(c).alias("mean_complexity"), F.count_if(c > 15).alias("over_15"),
-        F.count_if(c > 20).alias("over_20"))
+        F.count_if(c > 20).alias("over_20"), F.count_if(F.col("first_seen") == 1).alias("newest_files"))
 
 
 def repo_totals(commits: DataFrame, trends: DataFrame) -> DataFrame:
@@ -119,28 +118,38 @@ def repo_totals(commits: DataFrame, trends: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     return commit_totals(commits).join(trend_totals(trends), "repo_id", "left").select(
         "repo_id", "total_commits", "maintenance_commits", "mean_complexity",
-        F.coalesce("over_15", zero).alias("over_15"), F.coalesce("over_20", zero).alias("over_20"))
+        *[F.coalesce(name, zero).alias(name) for name in ("over_15", "over_20", "newest_files")])
 
 
-def codebase_metrics(commits: DataFrame, file_changes: DataFrame, trends: DataFrame,
-                     head_files: DataFrame | None, as_of: Column | None = None) -> DataFrame:
+def codebase_metrics(commits: DataFrame, trends: DataFrame, head_files: DataFrame | None,
+                     as_of: Column | None = None) -> DataFrame:
     """Files, commits, mean complexity, debt ratio and quality per repository."""
-    rows = repo_totals(commits, trends).join(
-        repo_statistics(commits, file_changes, head_files), "repo_id", "left")
-    touches = file_changes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_touches"))
-    files = F.coalesce("total_files", F.lit(0).cast("long"))
+    rows = repo_totals(commits, trends)
+    if head_files is None:
+        rows = rows.withColumn("_files", F.col("newest_files"))
+    else:
+        listed = head_files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_listed"))
+        rows = (rows.join(listed, "repo_id", "left")
+                .withColumn("_files", F.coalesce("_listed", "newest_files")))
     mean = F.coalesce("mean_complexity", F.lit(0.0))
-    debt = F.coalesce(F.try_divide("over_15", files), F.lit(0.0))
+    debt = F.coalesce(F.try_divide("over_15", "_files"), F.lit(0.0))
     quality = F.greatest(F.lit(0.0), 100 - debt * 50 - mean * 2)
-    return rows.join(touches, "repo_id", "left").select(
-        "repo_id", files.alias("total_files"), "total_commits",
+    return rows.select(
+        "repo_id", F.col("_files").alias("total_files"), "total_commits",
         N.py_round(mean, 2).alias("average_complexity"),
         N.py_round(debt, 3).alias("technical_debt_ratio"),
         N.py_round(quality, 1).alias("code_quality_score"),
-        (F.coalesce("_touches", F.lit(0).cast("long")) / F.col("total_commits")).alias("average_files_per_commit"),
         (F.current_timestamp() if as_of is None else as_of).alias("last_analyzed"))
 
 
+def average_files_per_commit(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
+    """Touches per commit, commits without files included."""
+    touches = file_changes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_touches"))
+    return (commits.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_commits"))
+            .join(touches, "repo_id", "left")
+            .select("repo_id", (F.coalesce("_touches", F.lit(0)) / F.col("_commits")).alias("average_files_per_commit")))
+
+
 def commits_per_day(commits: DataFrame) -> DataFrame:
     return commits.groupBy("repo_id", F.to_date("committed_at").alias("day")).agg(
         F.count(F.lit(1)).alias("commits"))

@@ -13,6 +13,10 @@ from .registry import query, sql_time
 TS = sql_time("committed_at")
 
 
+def _trends(spark, sf):
+    return H.complexity_trends(X.commits(spark, sf), X.gappy_file_changes(spark, sf))
+
+
 @query("p1_commit_history", f"""
 SELECT repo_id, commit_hash, {TS} AS committed_at, author, message FROM commits c
 WHERE committed_at >= TIMESTAMP '1995-01-01' AND committed_at <= TIMESTAMP '1997-12-31'
@@ -223,14 +227,14 @@ def _(spark, sf):
 
 @query("a11_repo_statistics", "SELECT repo_id, count(DISTINCT file_path) AS total_files FROM changes GROUP BY 1")
 def _(spark, sf):
-    return H.repo_statistics(X.commits(spark, sf), X.file_changes(spark, sf), X.head_files(spark, sf))
+    return H.repo_statistics(X.commits(spark, sf), _trends(spark, sf), X.head_files(spark, sf))
 
 
 @query("a11_newest_commit_files", """
 SELECT r.repo_id, count(f.file_path) AS total_files
 FROM recent r LEFT JOIN changes f USING (repo_id, commit_hash) WHERE r.rn = 1 GROUP BY 1""")
 def _(spark, sf):
-    return H.repo_statistics(X.commits(spark, sf), X.file_changes(spark, sf), None)
+    return H.repo_statistics(X.commits(spark, sf), _trends(spark, sf), None)
 
 
 @query("a12_complexity_trends", "SELECT * FROM trends")

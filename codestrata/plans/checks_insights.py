@@ -182,16 +182,15 @@ def _(spark, sf):
     return I.maintenance_forecast(I.repo_totals(X.commits(spark, sf), _trends(spark, sf)))
 
 
-@query("i15_codebase_metrics", TOTALS + f"SELECT *, '{AS_OF}' AS last_analyzed FROM metrics")
+@query("i15_codebase_metrics", TOTALS + f"SELECT * EXCLUDE (average_files_per_commit), '{AS_OF}' AS last_analyzed FROM metrics")
 def _(spark, sf):
-    return I.codebase_metrics(X.commits(spark, sf), X.file_changes(spark, sf), _trends(spark, sf),
-                              X.head_files(spark, sf), F.lit(AS_OF).cast("timestamp"))
+    return I.codebase_metrics(X.commits(spark, sf), _trends(spark, sf), X.head_files(spark, sf),
+                              F.lit(AS_OF).cast("timestamp"))
 
 
 @query("i16_average_files_per_commit", TOTALS + "SELECT repo_id, average_files_per_commit FROM metrics")
 def _(spark, sf):
-    return I.codebase_metrics(X.commits(spark, sf), X.file_changes(spark, sf), _trends(spark, sf),
-                              X.head_files(spark, sf)).select("repo_id", "average_files_per_commit")
+    return I.average_files_per_commit(X.commits(spark, sf), X.file_changes(spark, sf))
 
 
 @query("i17_commits_per_day", """
@@ -294,7 +293,7 @@ LEFT JOIN (SELECT repo_id, string_agg(pattern || ':' || n, '|' ORDER BY pattern)
 LEFT JOIN curve v USING (repo_id) LEFT JOIN metrics m USING (repo_id)""")
 def _(spark, sf):
     c, g = X.commits(spark, sf, parents=True), X.gappy_file_changes(spark, sf)
-    metrics = I.codebase_metrics(c, g, H.complexity_trends(c, g), X.head_files(spark, sf))
+    metrics = I.codebase_metrics(c, H.complexity_trends(c, g), X.head_files(spark, sf))
     rows = H.evolution_insights(c, g, metrics)
     curve = F.col("complexity_trend")
     return rows.select(

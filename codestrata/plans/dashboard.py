@@ -31,7 +31,7 @@ def dashboard(commits: DataFrame, file_changes: DataFrame, head_files: DataFrame
                       "reason", "severity", "suggested_action", "estimated_effort")
     risks = _section(I.risk_areas(trends), "risk_areas", "rank", "area_name", "risk_level",
                      "potential_impact", "mitigation_strategy")
-    metrics = I.codebase_metrics(commits, file_changes, trends, head_files, stamp).select(
+    metrics = I.codebase_metrics(commits, trends, head_files, stamp).select(
         "repo_id", F.struct("total_files", "total_commits", "average_complexity",
                             "technical_debt_ratio", "code_quality_score",
                             "last_analyzed").alias("codebase_metrics"))
