@@ -15,65 +15,71 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.schemas import CODE_BLOCKS
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
-_SCOPES = (*_FUNCTIONS, ast.ClassDef)
+_LEAVES = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop, ast.Name, ast.Constant)
 _COLUMNS = CODE_BLOCKS.names
 
 
-def _points(node: ast.AST) -> int:
-    if isinstance(node, (ast.If, ast.IfExp, ast.Assert, ast.ExceptHandler)):
-        return 1
-    if isinstance(node, (ast.For, ast.AsyncFor, ast.While)):
-        return 1 + bool(node.orelse)
-    if isinstance(node, (ast.Try, ast.TryStar)):
-        return int(bool(node.orelse))
-    if isinstance(node, ast.BoolOp):
-        return len(node.values) - 1
-    if isinstance(node, ast.comprehension):
-        return 1 + len(node.ifs)
-    if isinstance(node, ast.Match):
-        return sum(not (isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None) for c in node.cases)
-    return 0
-
-
-def _body_points(scope: ast.AST) -> int:
-    """Decision points below ``scope`` without those of functions and classes inside it."""
-    total, todo = 0, list(scope.body)
-    while todo:
-        node = todo.pop()
-        if not isinstance(node, _SCOPES):
-            total += _points(node)
-            todo.extend(ast.iter_child_nodes(node))
-    return total
+def _loop(node) -> int:
+    return 1 + bool(node.orelse)
+
+
+def _is_default(case) -> bool:
+    return isinstance(case.pattern, ast.MatchAs) and case.pattern.pattern is None
+
+
+_POINTS = {
+    ast.If: lambda n: 1, ast.IfExp: lambda n: 1, ast.Assert: lambda n: 1, ast.ExceptHandler: lambda n: 1,
+    ast.For: _loop, ast.AsyncFor: _loop, ast.While: _loop,
+    ast.Try: lambda n: int(bool(n.orelse)), ast.TryStar: lambda n: int(bool(n.orelse)),
+    ast.BoolOp: lambda n: len(n.values) - 1, ast.comprehension: lambda n: 1 + len(n.ifs),
+    ast.Match: lambda n: sum(not _is_default(c) for c in n.cases),
+}
 
 
 def _rows(sha: str, text: str) -> list[tuple]:
+    """One pass over the tree; every scope collects the points of its own body."""
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     rows = [(sha, "module", "", 1, len(text.splitlines()), 0, 0, 0, False)]
-    todo = [(child, "top") for child in ast.iter_child_nodes(tree)]
+    scopes = []  # [node, kind, points, scores of its methods]
+    todo = [(child, "top", None) for child in tree.body]
     while todo:
-        node, place = todo.pop()
-        inside = place
+        node, place, owner = todo.pop()
+        score = _POINTS.get(type(node))
+        if isinstance(node, _LEAVES):
+            continue
+        if isinstance(node, (*_FUNCTIONS, ast.ClassDef)):
+            if isinstance(node, ast.ClassDef):
+                kind, inside = ("class", "class") if place == "top" else ("inner_class", "nested")
+            else:
+                kind, inside = {"top": "function", "class": "method"}.get(place, "inner"), "nested"
+            scope = [node, kind, 1, []]
+            scopes.append(scope)
+            if owner is not None and owner[1].endswith("class") and node in owner[0].body:
+                owner[3].append(scope)
+            todo.extend((child, inside, scope) for child in node.body)
+            continue
+        if score is not None and owner is not None:
+            owner[2] += score(node)
         if isinstance(node, ast.Import):
             rows += [(sha, "import", a.name, node.lineno, node.end_lineno, 0, 0, 0, False) for a in node.names]
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            rows.append((sha, "import", node.module, node.lineno, node.end_lineno, 0, 0, 0, False))
-        elif isinstance(node, _FUNCTIONS):
-            kind = {"top": "function", "class": "method"}.get(place, "inner")
-            rows.append((sha, kind, node.name, node.lineno, node.end_lineno, len(node.args.args), 0,
-                         1 + _body_points(node), isinstance(node, ast.AsyncFunctionDef)))
-            inside = "nested"
-        elif isinstance(node, ast.ClassDef):
-            methods = [n for n in node.body if isinstance(n, _FUNCTIONS)]
-            plain = sum(isinstance(n, ast.FunctionDef) for n in methods)
-            score = (sum(1 + _body_points(m) for m in methods) // len(methods) + 1 if methods
-                     else 1 + _body_points(node))
-            rows.append((sha, "class" if place == "top" else "inner_class", node.name, node.lineno,
-                         node.end_lineno, 0, plain, score, False))
-            inside = "class" if place == "top" else "nested"
-        todo.extend((child, inside) for child in ast.iter_child_nodes(node))
+        elif isinstance(node, ast.ImportFrom):
+            if node.module:
+                rows.append((sha, "import", node.module, node.lineno, node.end_lineno, 0, 0, 0, False))
+        else:
+            todo.extend((child, place, owner) for child in ast.iter_child_nodes(node))
+    for node, kind, points, members in scopes:
+        if isinstance(node, ast.ClassDef):
+            methods = [m for m in members if isinstance(m[0], _FUNCTIONS)]
+            if methods:
+                points = sum(m[2] for m in methods) // len(methods) + 1
+            plain = sum(isinstance(m[0], ast.FunctionDef) for m in methods)
+            rows.append((sha, kind, node.name, node.lineno, node.end_lineno, 0, plain, points, False))
+        else:
+            rows.append((sha, kind, node.name, node.lineno, node.end_lineno, len(node.args.args), 0, points,
+                         isinstance(node, ast.AsyncFunctionDef)))
     return rows
 
 
@@ -91,9 +97,12 @@ def score_blocks(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Blocks and imports of every distinct content, one row each; unparsable text gives none.
 
     ``known``: blocks scored by an earlier run. Their contents are skipped, so append the result.
+    The distinct texts are spread over all shuffle partitions, because parsing costs far more
+    than their size suggests.
     """
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = with_sha(files).select("content_sha", "content").filter(
         F.col("content").isNotNull()).dropDuplicates(["content_sha"])
     if known is not None:
         distinct = distinct.join(known.select("content_sha"), "content_sha", "left_anti")
-    return distinct.mapInPandas(_score, CODE_BLOCKS)
+    return distinct.repartition(tasks, "content_sha").mapInPandas(_score, CODE_BLOCKS)
