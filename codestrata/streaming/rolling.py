@@ -38,6 +38,8 @@ def drain(result: DataFrame, folder: str | None = None) -> DataFrame:
     def replace(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(target)
 
+    # A stream without any data still leaves a readable, empty table.
+    spark.createDataFrame([], result.schema).write.mode("ignore").parquet(target)
     query = (result.writeStream.outputMode("complete").foreachBatch(replace)
              .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
     query.awaitTermination()
