@@ -18,8 +18,12 @@ def guarded_ratio(a: Column, b: Column) -> Column:
 
 
 def py_round(x: Column, digits: int) -> Column:
-    """Half-even rounding."""
-    return F.bround(x, digits)
+    """Half-even rounding of the scaled double, as numpy rounds.
+
+    ``bround`` works on the printed digits instead and sees ties that the double does not have.
+    """
+    scale = F.lit(float(10 ** digits))
+    return F.rint(x * scale) / scale
 
 
 def whole_at_least_one(x: Column) -> Column:

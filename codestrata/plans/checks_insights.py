@@ -168,9 +168,9 @@ SELECT repo_id, unnest([
   {'t': 'documentation', 'f': greatest(1, CAST(trunc(total_commits * 0.05) AS BIGINT)), 'c': 0.8::DOUBLE}]) AS x
 FROM totals),
 metrics AS (
-SELECT t.repo_id, h.total_files, t.total_commits, round_even(mean_complexity, 2) AS average_complexity,
-       round_even(over_15 / h.total_files::DOUBLE, 3) AS technical_debt_ratio,
-       round_even(greatest(0.0, 100 - (over_15 / h.total_files::DOUBLE) * 50 - mean_complexity * 2), 1) AS code_quality_score,
+SELECT t.repo_id, h.total_files, t.total_commits, (round_even((mean_complexity) * 100.0::DOUBLE, 0) / 100.0::DOUBLE) AS average_complexity,
+       (round_even((over_15 / h.total_files::DOUBLE) * 1000.0::DOUBLE, 0) / 1000.0::DOUBLE) AS technical_debt_ratio,
+       (round_even((greatest(0.0, 100 - (over_15 / h.total_files::DOUBLE) * 50 - mean_complexity * 2)) * 10.0::DOUBLE, 0) / 10.0::DOUBLE) AS code_quality_score,
        round(h.touches / t.total_commits::DOUBLE, 6) AS average_files_per_commit
 FROM totals t JOIN (SELECT repo_id, count(DISTINCT file_path) AS total_files, count(*) AS touches
                     FROM changes GROUP BY 1) h USING (repo_id))"""
@@ -221,7 +221,7 @@ def _(spark, sf):
 
 
 @query("i19_complexity_forecast", TOTALS + """
-SELECT repo_id, 'overall' AS component, round_even(coalesce(mean_complexity, 10.0), 2) AS predicted_complexity,
+SELECT repo_id, 'overall' AS component, (round_even((coalesce(mean_complexity, 10.0)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE) AS predicted_complexity,
        'stable' AS trend, 0.6::DOUBLE AS confidence_score FROM totals""")
 def _(spark, sf):
     return I.complexity_forecast(I.repo_totals(X.commits(spark, sf), _trends(spark, sf)))
@@ -231,7 +231,7 @@ def _(spark, sf):
 SELECT g.repo_id, strftime(c.committed_at, '%Y-W%U') AS week, avg(g.complexity_after) AS mean
 FROM gappy g JOIN commits c USING (repo_id, commit_hash) WHERE g.complexity_after IS NOT NULL GROUP BY 1, 2),
 ends AS (SELECT repo_id, count(*) AS n, max_by(mean, week) AS b, min_by(mean, week) AS a FROM weeks GROUP BY 1)
-SELECT repo_id, 'overall' AS component, round_even(CASE WHEN n >= 2 THEN b * 1.05 ELSE b END, 2) AS predicted_complexity,
+SELECT repo_id, 'overall' AS component, (round_even((CASE WHEN n >= 2 THEN b * 1.05 ELSE b END) * 100.0::DOUBLE, 0) / 100.0::DOUBLE) AS predicted_complexity,
        CASE WHEN n >= 2 AND b > a THEN 'increasing' ELSE 'stable' END AS trend, 0.6::DOUBLE AS confidence_score FROM ends""")
 def _(spark, sf):
     return I.weekly_complexity_forecast(X.commits(spark, sf), X.gappy_file_changes(spark, sf))

@@ -148,7 +148,8 @@ def _(spark, sf):
 t AS (SELECT k.class, count(*) FILTER (WHERE g.label = k.class) AS support, count(*) FILTER (WHERE g.prediction = k.class) AS guessed,
   count(*) FILTER (WHERE g.label = k.class AND g.prediction = k.class) AS hit FROM k, g GROUP BY 1),
 u AS (SELECT *, coalesce(hit / nullif(guessed, 0)::DOUBLE, 0.0) AS p, coalesce(hit / nullif(support, 0)::DOUBLE, 0.0) AS r FROM t)
-SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1, support FROM u""")
+SELECT class, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0.0), 6) AS f1, support FROM u
+WHERE support > 0 OR guessed > 0""")
 def _(spark, sf):
     return M.classification_report(_guesses(spark, sf))
 

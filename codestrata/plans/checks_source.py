@@ -160,7 +160,7 @@ def _(spark, sf):
 
 
 @query("r14_code_health", ANALYSIS + """
-SELECT f.repo_id, f.n AS n_files, s.n AS n_suggestions, round_even(greatest(0.0, 100 - (s.w / f.n) * 20), 2) AS overall_health
+SELECT f.repo_id, f.n AS n_files, s.n AS n_suggestions, (round_even((greatest(0.0, 100 - (s.w / f.n) * 20)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE) AS overall_health
 FROM (SELECT repo_id, count(*) AS n FROM py_files GROUP BY 1) f
 JOIN (SELECT repo_id, count(*) AS n, sum(CASE suggestion_type WHEN 'duplication' THEN 1.0::DOUBLE WHEN 'complexity' THEN 1.5 ELSE 2.0 END) AS w
       FROM suggestions GROUP BY 1) s USING (repo_id)""", use="python")

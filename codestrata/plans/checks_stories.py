@@ -236,7 +236,7 @@ def _(spark, sf):
     return rows.select("repo_id", "commit_hash", "file_path", "b.band", "b.color")
 
 
-@query("f13_py_round", "SELECT repo_id, commit_hash, file_path, round_even(lines / 8.0::DOUBLE, 2) AS rounded FROM changes")
+@query("f13_py_round", "SELECT repo_id, commit_hash, file_path, (round_even((lines / 8.0::DOUBLE) * 100.0::DOUBLE, 0) / 100.0::DOUBLE) AS rounded FROM changes")
 def _(spark, sf):
     return X.file_changes(spark, sf).select("repo_id", "commit_hash", "file_path", N.py_round(
         F.col("lines") / F.lit(8.0), 2).alias("rounded"))
