@@ -162,11 +162,27 @@ def touch_impact(commits: DataFrame, file_changes: DataFrame, importance: DataFr
             F.col("insertions"), F.col("deletions"), F.col("complexity_delta"), F.col("importance")))
 
 
+# Units of a timeframe such as 1m or 2w.
+TIMEFRAME_UNITS = {"d": "DAY", "w": "WEEK", "m": "MONTH", "y": "YEAR"}
+
+
+def timeframe_start(timeframe: str, as_of) -> Column:
+    """Time ``as_of`` minus a timeframe: a number and one of d, w, m, y."""
+    number, unit = int(timeframe[:-1]), TIMEFRAME_UNITS[timeframe[-1]]
+    return F.lit(as_of).cast("timestamp") - F.expr(f"INTERVAL {number} {unit}")
+
+
 def hotspots(commits: DataFrame, file_changes: DataFrame, importance: DataFrame | None = None,
-             start=None, end=None) -> DataFrame:
-    """Touches, summed impact and newest touch per file."""
-    impact = touch_impact(commits.filter(in_range(F.col("committed_at"), start, end)),
-                          file_changes, importance)
+             timeframe: str | None = None, as_of=None) -> DataFrame:
+    """Touches, summed impact and newest touch per file.
+
+    Looks at all history, or at the ``timeframe`` that ends at ``as_of``.
+    """
+    kept = commits
+    if timeframe is not None:
+        when = F.col("committed_at")
+        kept = kept.filter((when > timeframe_start(timeframe, as_of)) & (when <= F.lit(as_of).cast("timestamp")))
+    impact = touch_impact(kept, file_changes, importance)
     return impact.groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("change_count"), F.sum("impact").alias("impact_score"),
         F.max("committed_at").alias("last_modified"))

@@ -90,6 +90,9 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def with_sha(files: DataFrame) -> DataFrame:
+    """Add the content hash; tables that store it already are left as they are."""
+    if "content_sha" in files.columns:
+        return files
     return files.withColumn("content_sha", F.sha2("content", 256))
 
 

@@ -198,6 +198,15 @@ def _(spark, sf):
     return H.hotspots(X.commits(spark, sf, parents=True), X.gappy_file_changes(spark, sf), X.importance(spark, sf))
 
 
+@query("a7_hotspots_timeframe", IMPACT + f"""
+SELECT repo_id, file_path, count(*) AS change_count, round(sum(impact), 6) AS impact_score,
+       {sql_time('max(committed_at)')} AS last_modified FROM impact
+WHERE committed_at > TIMESTAMP '1997-06-30' - INTERVAL 18 MONTH AND committed_at <= TIMESTAMP '1997-06-30' GROUP BY 1, 2""")
+def _(spark, sf):
+    return H.hotspots(X.commits(spark, sf, parents=True), X.gappy_file_changes(spark, sf), X.importance(spark, sf),
+                      "18m", "1997-06-30")
+
+
 @query("a8_change_impact", IMPACT + """
 SELECT repo_id, commit_hash, file_path, round(impact, 6) AS impact FROM impact""")
 def _(spark, sf):

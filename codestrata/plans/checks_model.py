@@ -108,10 +108,10 @@ def _(spark, sf):
     return M.stratified_split(_labeled(spark, sf)).groupBy("is_hotspot", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _forest(spark, sf, trees=20):
-    """Split, then fit a small forest on the training part."""
+def _forest(spark, sf):
+    """Split, then fit the forest of the short variant on the training part."""
     parts = M.stratified_split(_labeled(spark, sf).fillna(0.0, ["complexity"]))
-    model = M.train_hotspot_model(parts.filter(~F.col("is_test")), M.BASIC_FEATURE_NAMES, trees=trees, depth=5)
+    model = M.train_basic_model(parts.filter(~F.col("is_test")))
     return model, parts
 
 

@@ -118,12 +118,15 @@ def _(spark, sf):
 
 
 @query("r10_block_source", """
-SELECT repo_id, file_path, string_agg(line, chr(10) ORDER BY line_no) AS source
-FROM lines WHERE line_no BETWEEN 2 AND 4 GROUP BY 1, 2""", use="lines")
+SELECT b.repo_id, b.file_path, b.name, string_agg(l.line, chr(10) ORDER BY l.line_no) AS source
+FROM blocks b JOIN py_lines l ON l.repo_id = b.repo_id AND l.file_path = b.file_path
+ AND l.line_no BETWEEN b.lineno AND b.endline GROUP BY 1, 2, 3""", use="python")
 def _(spark, sf):
-    files = X.source_files(spark, sf).filter(paths.line_count(F.col("content")) >= 2)
-    return files.select("repo_id", "file_path", paths.block_source(
-        F.col("content"), F.lit(2), F.lit(4)).alias("source"))
+    from ..operators.python_source import with_sha
+    blocks, files = _python(spark, sf)
+    kept = blocks.filter(~F.col("kind").isin("module", "import"))
+    return with_sha(files).join(kept, "content_sha").select("repo_id", "file_path", "name", paths.block_source(
+        F.col("content"), F.col("lineno"), F.col("endline")).alias("source"))
 
 
 DEGREES = """, ends AS (
