@@ -50,18 +50,23 @@ def dotted_name(path: Column) -> Column:
 
 def split_lines(content: Column) -> Column:
     """Array of lines without their breaks; no empty last entry after a final break."""
-    lines = F.split(content, LINE_BREAK)
-    return F.when(F.element_at(lines, -1) == "",
-                  F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    # The one-element array binds the split once for the three places that read it.
+    whole = F.transform(F.array(F.split(content, LINE_BREAK)), lambda lines: F.when(
+        F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines))
+    return F.get(whole, F.lit(0))
 
 
 def line_count(content: Column) -> Column:
     return F.size(split_lines(content)).cast("long")
 
 
+def line_span(lines: Column, first: Column, last: Column) -> Column:
+    """Text of the lines ``first`` to ``last``, both counted from 1 and included."""
+    return F.array_join(F.slice(lines, first, last - first + 1), "\n")
+
+
 def block_source(content: Column, first: Column, last: Column) -> Column:
-    """Lines ``first`` to ``last``, both counted from 1 and included."""
-    return F.array_join(F.slice(split_lines(content), first, last - first + 1), "\n")
+    return line_span(split_lines(content), first, last)
 
 
 def parse_repo_url(url: Column) -> Column:

@@ -298,8 +298,8 @@ def last_modified(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
 def hotspot_metrics(commits: DataFrame, file_changes: DataFrame, trends: DataFrame) -> DataFrame:
     """Per file: touches, newest touch, daily complexity, risk and contributors.
 
-    The trend holds one mean per active day and the contributors are counted once each, so a
-    row is bounded by days and people, not by touches.
+    The trend holds one mean per active day and every contributor appears once. A file with
+    very many contributors gets further parts that list the others.
     """
     touched = file_changes.select(*COMMIT, "file_path", "complexity_after").join(
         commits.select(*COMMIT, "committed_at", "author"), COMMIT)
@@ -310,12 +310,11 @@ def hotspot_metrics(commits: DataFrame, file_changes: DataFrame, trends: DataFra
             .agg(F.avg("complexity_after").alias("complexity")))
     trend = days.groupBy(*FILE).agg(
         F.array_sort(F.collect_list(F.struct("day", "complexity"))).alias("_days"))
-    people = (touched.select(*FILE, "author").distinct().groupBy(*FILE)
-              .agg(F.array_sort(F.collect_list("author")).alias("contributors")))
+    people = gather(touched.select(*FILE, "author").distinct(), FILE, F.col("author"), "contributors")
     risk = trends.select(*FILE, file_risk_score(
         F.col("complexity"), F.col("change_frequency")).alias("risk_score"))
     return (totals.join(trend, FILE, "left").join(people, FILE).join(risk, FILE, "left")
-            .select(*FILE, "change_frequency", "last_modified",
+            .select(*FILE, "part", "change_frequency", "last_modified",
                     F.transform("_days", lambda d: d["complexity"]).alias("complexity_trend"),
                     F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"), "contributors"))
 

@@ -43,10 +43,10 @@ def _rows(sha: str, text: str) -> list[tuple]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     rows = [(sha, "module", "", 1, len(text.splitlines()), 0, 0, 0, False)]
-    scopes = []  # [node, kind, points, scores of its methods]
-    todo = [(child, "top", None) for child in tree.body]
+    scopes = []  # [node, kind, points, scopes directly in its body]
+    todo = [(child, "top", None, True) for child in tree.body]
     while todo:
-        node, place, owner = todo.pop()
+        node, place, owner, direct = todo.pop()
         score = _POINTS.get(type(node))
         if isinstance(node, _LEAVES):
             continue
@@ -57,9 +57,9 @@ def _rows(sha: str, text: str) -> list[tuple]:
                 kind, inside = {"top": "function", "class": "method"}.get(place, "inner"), "nested"
             scope = [node, kind, 1, []]
             scopes.append(scope)
-            if owner is not None and owner[1].endswith("class") and node in owner[0].body:
+            if direct and owner is not None:
                 owner[3].append(scope)
-            todo.extend((child, inside, scope) for child in node.body)
+            todo.extend((child, inside, scope, True) for child in node.body)
             continue
         if score is not None and owner is not None:
             owner[2] += score(node)
@@ -69,7 +69,7 @@ def _rows(sha: str, text: str) -> list[tuple]:
             if node.module:
                 rows.append((sha, "import", node.module, node.lineno, node.end_lineno, 0, 0, 0, False))
         else:
-            todo.extend((child, place, owner) for child in ast.iter_child_nodes(node))
+            todo.extend((child, place, owner, False) for child in ast.iter_child_nodes(node))
     for node, kind, points, members in scopes:
         if isinstance(node, ast.ClassDef):
             methods = [m for m in members if isinstance(m[0], _FUNCTIONS)]

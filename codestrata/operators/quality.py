@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed_values as V, rules
 from ..functions.numbers import py_round
-from ..functions.paths import block_source, split_lines
+from ..functions.paths import line_span, split_lines
 from ..sources.schemas import REFACTOR_SUGGESTION, conform
 from .history import FILE
 from .python_source import with_sha
@@ -32,7 +32,7 @@ def duplicate_blocks(files: DataFrame, min_lines: int = 5) -> DataFrame:
     window = lambda i: F.slice("_lines", i + 1, min_lines)
     keys = F.transform(starts, lambda i: F.struct(
         F.xxhash64(window(i)).alias("h1"), F.xxhash64(F.lit("second"), window(i)).alias("h2")))
-    placed = (hashes.filter(n >= min_lines).select(*FILE, F.posexplode(keys).alias("start", "_key"))
+    placed = (hashes.select(*FILE, F.posexplode(keys).alias("start", "_key"))
               .select(*FILE, "start", "_key.h1", "_key.h2"))
     return (placed.groupBy("repo_id", "h1", "h2")
             .agg(F.count(F.lit(1)).alias("occurrences"),
@@ -42,11 +42,29 @@ def duplicate_blocks(files: DataFrame, min_lines: int = 5) -> DataFrame:
                     (F.col("_first.start") + 1).alias("line_no")))
 
 
+def _with_source(spans: DataFrame, texts: DataFrame, key, name: str = "code_snippet") -> DataFrame:
+    """Add the text of each span ``first..last``; ``texts``: the key columns and ``content``.
+
+    The spans of one text are listed first, so every text is joined and split once however many
+    spans it has. The list is bounded by the lines of that one text.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    others = [c for c in spans.columns if c not in key]
+    listed = spans.groupBy(*key).agg(F.collect_list(F.struct(*others)).alias("_spans"))
+    split = texts.join(listed, key).withColumn("_lines", split_lines(F.col("content"))).drop("content")
+    filled = F.transform("_spans", lambda s: s.withField(
+        name, line_span(F.col("_lines"), s["first"], s["last"])))
+    # The generator takes the expression itself: on a column the optimizer would add a size
+    # filter below, with the split copied into its loop.
+    kept = [c for c in split.columns if c not in ("_spans", "_lines")]
+    return split.select(*kept, F.inline(filled)).drop("first", "last")
+
+
 def with_snippet(blocks: DataFrame, files: DataFrame, min_lines: int = 5) -> DataFrame:
     """Add the text of each block, read at its first location."""
-    return blocks.join(files.select(*FILE, "content"), FILE).withColumn(
-        "code_snippet", block_source(F.col("content"), F.col("line_no"),
-                                     F.col("line_no") + (min_lines - 1))).drop("content")
+    line = F.col("line_no")
+    spans = blocks.withColumn("first", line).withColumn("last", line + (min_lines - 1))
+    return _with_source(spans, files.select(*FILE, "content"), FILE)
 
 
 def _suggestion(rows: DataFrame, kind: str, description: Column, impact: str, effort: Column | str,
@@ -98,13 +116,12 @@ def complexity_suggestions(blocks: DataFrame, files: DataFrame, threshold: float
                            include_methods: bool = False) -> DataFrame:
     kinds = ["function", "method"] if include_methods else ["function"]
     heavy = blocks.filter(F.col("kind").isin(*kinds) & (F.col("complexity") > threshold)).select(
-        "content_sha", "name", "lineno", "endline", "complexity")
-    rows = with_sha(files).join(heavy, "content_sha")
+        "content_sha", "name", F.col("lineno").alias("first"), F.col("endline").alias("last"), "complexity")
+    rows = _with_source(heavy, with_sha(files).select(*FILE, "content_sha", "content"), "content_sha")
     text = F.concat(F.lit("Function '"), F.col("name"), F.lit("' has high cyclomatic complexity ("),
                     F.col("complexity").cast("string"), F.lit(")"))
     return _suggestion(rows, "complexity", text, V.COMPLEXITY_IMPACT, "High",
-                       block_source(F.col("content"), F.col("lineno"), F.col("endline")),
-                       rules.complexity_advice(F.col("complexity")))
+                       F.col("code_snippet"), rules.complexity_advice(F.col("complexity")))
 
 
 def cycle_suggestions(cycles: DataFrame) -> DataFrame:

@@ -162,3 +162,12 @@ def test_health_and_order(spark):
     none = R.code_health(found, df.limit(0)).collect()[0]
     assert none["overall_health"] == 100.0
     assert R.code_health(found.limit(0), df).collect()[0]["overall_health"] == 100.0
+
+
+def test_a_text_with_many_spans_is_split_once(spark):
+    """Twenty thousand overlapping blocks in one file: linear work, or this never ends."""
+    text = "\n".join(f"line {i}" for i in range(20_000))
+    df = files(spark, a=text, b=text)
+    found = R.with_snippet(R.duplicate_blocks(df), df)
+    assert found.count() == 19_996
+    assert found.filter("code_snippet = 'line 7\nline 8\nline 9\nline 10\nline 11'").count() == 1
