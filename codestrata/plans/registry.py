@@ -118,7 +118,8 @@ def plain(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType)):
             return c.cast("long").alias(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            rounded = F.round(c.cast("double"), 6)
+            # Scale, round, scale back: the steps of the SQL side, so ties fall alike.
+            rounded = F.round(c.cast("double") * 1e6, 0) / 1e6
             return F.when(rounded == 0, F.lit(0.0)).otherwise(rounded).alias(f.name)
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name)
