@@ -49,22 +49,26 @@ def commits(spark: SparkSession, sf_dir: str, n: int = 50, parents: bool = False
 
 
 def file_changes(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    k = F.col("l_partkey") % 97
-    nested = F.concat(_pick(TOP_FOLDERS, k % 7), F.lit("/"), _pick(SUB_FOLDERS, k % 3),
-                      F.lit("/file_"), _text(k), _pick(ENDINGS, k % 4))
-    path = F.when(k % 13 == 0, F.concat(F.lit("file_"), _text(k), F.lit(".md"))).otherwise(nested)
+    """One row per commit and path. A path is spelled out once its key is counted, not before."""
+    k = F.col("k")
     lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("commit_hash"), path.alias("file_path"),
+        F.col("l_orderkey").alias("commit_hash"), (F.col("l_partkey") % 97).alias("k"),
         F.col("l_quantity").cast("long").alias("ins"),
         (F.round(F.col("l_discount") * 100).cast("long") + F.col("l_linenumber")).alias("del"),
-        (F.col("l_partkey") % 31).cast("double").alias("cb"),
-        (F.col("l_suppkey") % 41).cast("double").alias("ca"))
-    repo = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("commit_hash"), _repo(F.col("o_custkey"), n).alias("repo_id"))
-    return (lines.join(repo, "commit_hash").groupBy("repo_id", "commit_hash", "file_path")
-            .agg(F.sum("ins").alias("insertions"), F.sum("del").alias("deletions"),
-                 F.max("cb").alias("complexity_before"), F.max("ca").alias("complexity_after"))
-            .withColumn("lines", F.col("insertions") + F.col("deletions")))
+        (F.col("l_partkey") % 31).alias("cb"), (F.col("l_suppkey") % 41).alias("ca"))
+    owner = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("commit_hash"), (F.col("o_custkey") % n).alias("repo"))
+    totals = (lines.join(owner, "commit_hash").groupBy("repo", "commit_hash", "k")
+              .agg(F.sum("ins").alias("insertions"), F.sum("del").alias("deletions"),
+                   F.max("cb").alias("before"), F.max("ca").alias("after")))
+    nested = F.concat(_pick(TOP_FOLDERS, k % 7), F.lit("/"), _pick(SUB_FOLDERS, k % 3),
+                      F.lit("/file_"), _text(k), _pick(ENDINGS, k % 4))
+    path = F.when(k % 13 == 0, F.concat(F.lit("file_"), _text(k), F.lit(".md"))).otherwise(nested)
+    return totals.select(
+        F.concat(F.lit("repo"), _text(F.col("repo"))).alias("repo_id"), "commit_hash", path.alias("file_path"),
+        "insertions", "deletions", F.col("before").cast("double").alias("complexity_before"),
+        F.col("after").cast("double").alias("complexity_after"),
+        (F.col("insertions") + F.col("deletions")).alias("lines"))
 
 
 def gappy_file_changes(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
