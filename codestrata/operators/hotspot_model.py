@@ -202,3 +202,15 @@ def file_features(trends: DataFrame) -> DataFrame:
     return trends.select(*FILE, *_features([
         c * f, c, c * 0.1, c * 0.6, c * 0.5, c * 0.4, c * 0.3, f, people, c * f / (f + 1),
         F.lit(1.5), F.lit(0.3), people / (f + 1)]))
+
+
+def file_scores(model: PipelineModel | None, trends: DataFrame) -> DataFrame | None:
+    """Model score per file, or None without a model: the rule scores then apply."""
+    return None if model is None else score_hotspots(model, file_features(trends)).select(*FILE, "score")
+
+
+def subsystem_scores(model: PipelineModel | None, rollup: DataFrame) -> DataFrame | None:
+    """Model score per subsystem, or None without a model."""
+    if model is None:
+        return None
+    return score_hotspots(model, subsystem_features(rollup)).select("repo_id", "subsystem", "score")

@@ -1,10 +1,12 @@
 """Dashboard: every insight section of a repository in one row."""
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import insights as I
 from ..operators.grouping import gather
 from ..operators.history import complexity_trends
+from ..operators.hotspot_model import file_scores, subsystem_scores
 
 
 def _section(rows: DataFrame, name: str, *fields: str) -> DataFrame:
@@ -14,20 +16,21 @@ def _section(rows: DataFrame, name: str, *fields: str) -> DataFrame:
 
 
 def dashboard(commits: DataFrame, file_changes: DataFrame, head_files: DataFrame | None = None,
-              as_of: Column | None = None, file_scores: DataFrame | None = None,
-              subsystem_scores: DataFrame | None = None) -> DataFrame:
+              as_of: Column | None = None, model: PipelineModel | None = None) -> DataFrame:
     """One row per repository and part; part 0 carries everything but surplus subsystems.
 
+    With a ``model`` health and alerts use its scores, without one the rule scores.
+
     Alerts and risk areas hold at most ten rows and the forecasts at most three. Subsystems can
     be many, so a repository with very many of them gets further parts.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
     trends = complexity_trends(commits, file_changes)
     totals = I.repo_totals(commits, trends)
+    rollup = I.subsystem_rollup(commits, file_changes)
     health = gather(
-        I.subsystem_health(I.subsystem_rollup(commits, file_changes), stamp, subsystem_scores),
-        ["repo_id"], F.struct("name", "status", "complexity_trend", "last_updated"), "subsystem_health")
-    alerts = _section(I.refactor_alerts(trends, file_scores), "refactor_alerts", "rank", "file_path",
+        I.subsystem_health(rollup, stamp, subsystem_scores(model, rollup)), ["repo_id"], F.struct("name", "status", "complexity_trend", "last_updated"), "subsystem_health")
+    alerts = _section(I.refactor_alerts(trends, file_scores(model, trends)), "refactor_alerts", "rank", "file_path",
                       "reason", "severity", "suggested_action", "estimated_effort")
     risks = _section(I.risk_areas(trends), "risk_areas", "rank", "area_name", "risk_level",
                      "potential_impact", "mitigation_strategy")

@@ -14,9 +14,14 @@ from ..functions.rules import author_label
 RECORD, FIELD, BODY = "\x1e", "\x1f", "\x1d"
 
 
-def repo_from_file(file_path: Column) -> Column:
+def plain_path(uri: Column) -> Column:
+    """A file address without its percent codes; a plus sign is a plus sign."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
+def repo_from_file(uri: Column) -> Column:
     """File name without its folders and its last ending."""
-    return F.regexp_replace(F.substring_index(file_path, "/", -1), "\\.[^.]*$", "")
+    return F.regexp_replace(F.substring_index(plain_path(uri), "/", -1), "\\.[^.]*$", "")
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +72,7 @@ def load_head_files(spark: SparkSession, path: str) -> DataFrame:
 
 def load_source_files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
     """Whole source files below ``root``; the first folder names the repository."""
-    base = root.rstrip("/") + "/"
-    relative = F.element_at(F.split(F.col("_metadata.file_path"), _quoted(base), 2), -1)
+    relative = F.element_at(F.split(plain_path(F.col("_metadata.file_path")), _folder_pattern(spark, root), 2), -1)
     return (spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True)
             .text(root, wholetext=True)
             .select(F.substring_index(relative, "/", 1).alias("repo_id"),
@@ -76,8 +80,11 @@ def load_source_files(spark: SparkSession, root: str, glob: str = "*.py") -> Dat
                     F.col("value").alias("content")))
 
 
-def _quoted(text: str) -> str:
-    return "\\Q" + text + "\\E"
+def _folder_pattern(spark: SparkSession, root: str) -> str:
+    """Pattern of the absolute folder, whether ``root`` is relative or an address."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return "\\Q" + folder.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri().getPath() + "/\\E"
 
 
 def blob_at(commits: DataFrame, blobs: DataFrame, path: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.fixed_values import FEATURE_NAMES
 from codestrata.operators import hotspot_model as M, similarity as S
+from codestrata.plans import workload as X
+from codestrata.plans.dashboard import dashboard
 from codestrata.sources.synthetic import synthetic_changes
 from tests.conftest import rows
 
@@ -44,6 +46,18 @@ def test_single_class_scores_one(spark):
     assert rows(M.score_hotspots(model, cold).select("score").distinct()) == [(1.0,)]
 
 
+def test_dashboard_takes_a_model_or_none(spark, data):
+    cold = _training(spark).withColumn("is_hotspot", F.lit(False))
+    model = M.train_hotspot_model(cold, trees=3, depth=2)
+    c, f = X.commits(spark, data, n=200), X.file_changes(spark, data, n=200)
+    plain, scored = dashboard(c, f), dashboard(c, f, model=model)
+    states = lambda d: {s["status"] for r in d.collect() for s in r["subsystem_health"]}
+    assert states(scored) == {"critical"} and states(plain) - {"critical"}
+    alerts = lambda d: {a["severity"] for r in d.collect() for a in r["refactor_alerts"]}
+    assert alerts(scored) == {"high"}
+    assert M.file_scores(None, None) is None and M.subsystem_scores(None, None) is None
+
+
 def test_basic_model(spark):
     features = _training(spark).select("file_path", F.col("lines_changed_sum").alias("lines_changed"),
                                        F.col("commit_frequency_sum").alias("commit_frequency"),

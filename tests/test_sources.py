@@ -61,6 +61,17 @@ def test_source_tree(spark, tmp_path):
     assert rows(S.load_source_files(spark, str(tmp_path))) == [("one", "pkg/m.py", "x = 1\ny = 2\n")]
 
 
+def test_source_tree_with_odd_names(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "a b" / "o+ne" / "pk g"
+    folder.mkdir(parents=True)
+    (folder / "mü +%20.py").write_text("x")
+    expected = [("o+ne", "pk g/mü +%20.py", "x")]
+    assert rows(S.load_source_files(spark, f"{tmp_path}/a b/")) == expected
+    assert rows(S.load_source_files(spark, f"file://{tmp_path}/a b")) == expected
+    (tmp_path / "a b" / "re po.x.txt").write_text("f.py")
+    assert rows(S.load_head_files(spark, f"{tmp_path}/a b/re po.x.txt")) == [("re po.x", "f.py")]
+
+
 def test_blob_at(spark):
     c = spark.createDataFrame([("r", h, None) for h in "abc"], "repo_id string, commit_hash string, committed_at timestamp")
     b = spark.createDataFrame([("r", "a", "p", "s", "1"), ("r", "b", "q", "s", "2"), ("r", "c", "p", "s", None)],
