@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import colors
 from ..functions.paths import basename, directory, dotted_name
 from ..session import cut_lineage
+from .grouping import skew_join
 from .history import FILE, commit_frequency
 from .python_source import with_sha
 
@@ -84,7 +85,7 @@ def high_coupling(edges: DataFrame, threshold: int = 10) -> DataFrame:
 def colored_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes as records with colour (coupling and size) and position (path)."""
     counts = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = (nodes.join(degrees(edges), NODE, "left").join(counts, "repo_id")
+    rows = (skew_join(nodes.join(degrees(edges), NODE, "left"), counts, ["repo_id"])
             .fillna(0, ["in_degree", "out_degree"]))
     return rows.select(
         "repo_id", F.col("node").alias("id"), "name", F.lit("module").alias("type"), "size",
@@ -157,7 +158,7 @@ def strongly_connected(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
         active = color
         while not _empty(active):
             tick()
-            sent = (left.join(active.select("repo_id", F.col("node").alias("src"), "color"), ["repo_id", "src"])
+            sent = (skew_join(left, active.select("repo_id", F.col("node").alias("src"), "color"), ["repo_id", "src"])
                     .groupBy("repo_id", F.col("dst").alias("node")).agg(F.min("color").alias("_new")))
             moved = color.join(sent, NODE, "left")
             changed = F.col("_new").isNotNull() & (F.col("_new") < F.col("color"))
@@ -245,7 +246,7 @@ def propagated_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))))
     labels = cut_lineage(graph_nodes(edges).withColumn("community", F.col("node")))
     for _ in range(rounds):
-        votes = (both.join(labels.withColumnRenamed("node", "other"), ["repo_id", "other"])
+        votes = (skew_join(both, labels.withColumnRenamed("node", "other"), ["repo_id", "other"])
                  .groupBy(*NODE, "community").agg(F.count(F.lit(1)).alias("_c")))
         best = votes.groupBy(*NODE).agg(F.min(F.struct(-F.col("_c"), "community"))["community"].alias("_new"))
         new = cut_lineage(labels.join(best, NODE, "left").select(
@@ -264,9 +265,9 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     ends = links.select("repo_id", F.explode(F.array("a", "b")).alias("node"))
     degree = ends.groupBy(*NODE).agg(F.count(F.lit(1)).alias("_d"))
     share = (degree.join(communities, NODE).groupBy("repo_id", "community").agg(F.sum("_d").alias("_degree")))
-    inner = (links.join(communities.withColumnRenamed("node", "a"), ["repo_id", "a"])
-             .join(communities.select("repo_id", F.col("node").alias("b"), "community"),
-                   ["repo_id", "b", "community"])
+    near = skew_join(links, communities.withColumnRenamed("node", "a"), ["repo_id", "a"])
+    far = communities.select("repo_id", F.col("node").alias("b"), "community")
+    inner = (skew_join(near, far, ["repo_id", "b", "community"])
              .groupBy("repo_id", "community").agg(F.count(F.lit(1)).alias("_inner")))
     total = links.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_m"))
     m = F.col("_m")
@@ -331,7 +332,7 @@ def module_details(blocks: DataFrame, files: DataFrame, modified: DataFrame | No
             F.col("lineno").alias("line_number"), "name", F.col("n_args").alias("args"))))).alias("functions"),
         F.array_sort(F.collect_set(F.when(kind == "import", F.col("name")))).alias("dependencies"),
         F.sum(F.when(kind == "function", F.col("complexity")).otherwise(0)).cast("double").alias("complexity"))
-    rows = with_sha(files).select(*FILE, "content_sha").join(per_text, "content_sha")
+    rows = skew_join(with_sha(files).select(*FILE, "content_sha"), per_text, ["content_sha"])
     if modified is None:
         rows = rows.withColumn("last_modified", F.lit(None).cast("string"))
     else:

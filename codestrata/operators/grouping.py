@@ -3,6 +3,25 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PART_ROWS = 10_000
+TAG = "_tag"
+
+
+def skew_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", keep_tag: bool = False) -> DataFrame:
+    """Equi join in which a key of ``big`` may hold a large share of all rows.
+
+    Adaptive execution cuts a hot partition only when both sides were exchanged for the join
+    itself. A small side that was aggregated on the keys brings its own partitioning along and
+    rules that out, so a hash of the keys joins as one more key: both sides are exchanged, and a
+    hot key is spread over many tasks. With ``spark.sql.adaptive.skewJoin.enabled`` off this is
+    the plain join, which needs no exchange between bucketed tables.
+    """
+    keys = list(keys)
+    if big.sparkSession.conf.get("spark.sql.adaptive.skewJoin.enabled") != "true":
+        joined = big.join(small, keys, how)
+        return joined.withColumn(TAG, F.lit(0)) if keep_tag else joined
+    tag = F.xxhash64(*keys)
+    joined = big.withColumn(TAG, tag).join(small.withColumn(TAG, tag), [*keys, TAG], how)
+    return joined if keep_tag else joined.drop(TAG)
 
 
 def gather(rows: DataFrame, keys, item: Column, name: str, part_rows: int = PART_ROWS) -> DataFrame:
@@ -17,9 +36,9 @@ def gather(rows: DataFrame, keys, item: Column, name: str, part_rows: int = PART
             .filter(F.col("_n") > part_rows)
             .select(*keys, F.ceil(F.col("_n") / part_rows).alias("_parts")))
     part = F.coalesce(F.pmod(F.xxhash64("_item"), F.col("_parts")), F.lit(0)).cast("long")
-    return (rows.withColumn("_item", item).join(wide, keys, "left")
-            .groupBy(*keys, part.alias("part"))
-            .agg(F.array_sort(F.collect_list("_item")).alias(name)))
+    return (skew_join(rows.withColumn("_item", item), wide, keys, "left", keep_tag=True)
+            .groupBy(*keys, TAG, part.alias("part"))
+            .agg(F.array_sort(F.collect_list("_item")).alias(name)).drop(TAG))
 
 
 def newest_commits(commits: DataFrame, n: int) -> DataFrame:
@@ -91,7 +110,7 @@ def exact_quantiles(df: DataFrame, keys, quantiles: dict[str, tuple[str, float]]
                      F.when(F.col("_end") == "below", F.floor(position)).otherwise(F.ceil(position)).alias("_k"),
                      F.lit(0).cast("long").alias("_skip")))
     slot = [*keys, "_q", "_end"]
-    rows = counts.join(ranks, [*keys, "_col"])
+    rows = skew_join(counts, ranks, [*keys, "_col"])
     for _ in range(levels):
         width = (F.col("_hi") - F.col("_lo")) / bins
         bucket = F.coalesce(F.least(F.floor(F.try_divide(v - F.col("_lo"), width)), F.lit(bins - 1)), F.lit(0))

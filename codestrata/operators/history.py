@@ -7,7 +7,7 @@ from ..functions.dates import iso_timestamp
 from ..functions.fixed_values import REFACTORING_KEYWORDS
 from ..functions.numbers import change_impact, file_risk_score
 from ..functions.paths import under_path
-from .grouping import gather, newest_commits, small_enough, top_per_repo
+from .grouping import gather, newest_commits, skew_join, small_enough, top_per_repo
 
 COMMIT = ["repo_id", "commit_hash"]
 FILE = ["repo_id", "file_path"]
@@ -133,7 +133,7 @@ def pattern_summary(commits: DataFrame, file_changes: DataFrame, impact: DataFra
     """Commits, affected files and summed impact per pattern. ``impact``: one row per touch."""
     found = refactoring_commits(commits).select(*COMMIT, "pattern")
     frequency = found.groupBy("repo_id", "pattern").agg(F.count(F.lit(1)).alias("frequency"))
-    touched = (found.join(impact, COMMIT)
+    touched = (skew_join(impact, found, COMMIT)
                .groupBy("repo_id", "pattern", "file_path").agg(F.sum("impact").alias("_impact")))
     totals = touched.groupBy("repo_id", "pattern").agg(
         F.count(F.lit(1)).alias("n_affected_files"), F.sum("_impact").alias("impact_score"))
@@ -157,9 +157,9 @@ def touch_impact(commits: DataFrame, file_changes: DataFrame, importance: DataFr
     else:
         per_commit = (per_commit.join(importance.select(*COMMIT, "importance"), COMMIT, "left")
                       .withColumn("importance", F.coalesce("importance", F.lit(0.0))))
-    return file_changes.select(*COMMIT, "file_path", "insertions", "deletions").join(
-        per_commit, COMMIT).withColumn("impact", change_impact(
-            F.col("insertions"), F.col("deletions"), F.col("complexity_delta"), F.col("importance")))
+    touched = file_changes.select(*COMMIT, "file_path", "insertions", "deletions")
+    return skew_join(touched, per_commit, COMMIT).withColumn("impact", change_impact(
+        F.col("insertions"), F.col("deletions"), F.col("complexity_delta"), F.col("importance")))
 
 
 # Units of a timeframe such as 1m or 2w.
@@ -275,7 +275,11 @@ def timeline_rows(commits: DataFrame, file_changes: DataFrame, start=None, end=N
     """The timeline as one row per change, without nesting."""
     kept = commit_history(commits, file_changes, start, end, path)
     facts = with_delta(kept.select(*COMMIT, "parent_hash", "committed_at", "author", "message"), file_changes)
-    return facts.drop("parent_hash").join(change_metrics(file_changes), COMMIT, "left")
+    facts, changes = facts.drop("parent_hash"), change_metrics(file_changes)
+    # The changes lead, so that a commit with very many of them can be split.
+    told = skew_join(changes, facts, COMMIT)
+    quiet = facts.join(changes.select(*COMMIT), COMMIT, "left_anti")
+    return told.unionByName(quiet, allowMissingColumns=True)
 
 
 def commit_analysis(timeline_df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions.fixed_values import BASIC_FEATURE_NAMES, FEATURE_NAMES
 from ..functions.paths import is_source
 from ..session import cut_lineage
-from .grouping import exact_quantiles, hash_share
+from .grouping import exact_quantiles, hash_share, skew_join
 from .history import COMMIT, FILE
 
 
@@ -26,7 +26,7 @@ def training_rows(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
     """One row per touch of a source file."""
     source = file_changes.filter(is_source(F.col("file_path")))
     authors = recent_author_count(commits, source)
-    return source.join(authors, FILE).select(
+    return skew_join(source, authors, FILE).select(
         *FILE, F.col("lines").alias("lines_changed"), "insertions", "deletions",
         F.lit(1).cast("long").alias("commit_frequency"), "author_count",
         F.lit(False).alias("is_hotspot"))
@@ -65,7 +65,7 @@ def _above(rows: DataFrame, limits: dict[str, tuple[str, float]], also: Column |
     test = F.lit(True) if also is None else also
     for name, (column, _) in limits.items():
         test = test & (F.col(column) > F.col(name))
-    return (rows.join(exact_quantiles(rows, ["repo_id"], limits), "repo_id")
+    return (skew_join(rows, exact_quantiles(rows, ["repo_id"], limits), ["repo_id"])
             .withColumn("is_hotspot", test).drop(*limits))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import numbers as N, rules
 from ..functions.dates import sunday_week
 from ..functions.paths import subsystem
-from .grouping import top_per_repo
+from .grouping import TAG, skew_join, top_per_repo
 from .history import COMMIT, FILE, files_per_commit
 
 SUBSYSTEM = ["repo_id", "subsystem"]
@@ -21,9 +21,10 @@ def subsystem_touches(commits: DataFrame, file_changes: DataFrame, unit: str = "
                            rules.mentions_fix(F.col("message")).alias("is_fix"))
     known = facts.join(files_per_commit(file_changes), COMMIT)
     count = F.count(F.lit(1)) if unit == "touch" else F.lit(1).cast("long")
-    return (file_changes.select(*COMMIT, subsystem(F.col("file_path")).alias("subsystem")).join(known, COMMIT)
-            .groupBy(*COMMIT, "subsystem", "committed_at", "author", "is_fix", "n_files")
-            .agg(count.alias("touches")))
+    touched = file_changes.select(*COMMIT, subsystem(F.col("file_path")).alias("subsystem"))
+    return (skew_join(touched, known, COMMIT, keep_tag=True)
+            .groupBy(*COMMIT, TAG, "subsystem", "committed_at", "author", "is_fix", "n_files")
+            .agg(count.alias("touches")).drop(TAG))
 
 
 def subsystem_rollup(commits: DataFrame, file_changes: DataFrame, min_touches: int = 5,

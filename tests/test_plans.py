@@ -65,12 +65,14 @@ def test_trends_do_not_shuffle_the_touches(stored, no_broadcast):
 
 def test_hotspots_shuffle_the_touches_once(stored, no_broadcast):
     plan = plan_of(H.touch_impact(*stored))
-    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 3
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    # Commits, their partial sums, the joined commits for the split join, and the touches.
+    assert len(exchanges) == 4
 
 
 def test_rollup_counts_on_the_join_keys(stored, no_broadcast):
     plan = plan_of(I.subsystem_touches(*stored))
-    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 3
+    assert sum("Exchange hashpartitioning" in line for line in plan.splitlines()) == 4
 
 
 def test_duplicates_need_one_narrow_exchange(spark, data):
@@ -107,3 +109,30 @@ def test_one_repository_with_most_of_the_rows(stored, no_broadcast):
     assert expected["hot", "one.py"] > len(local) / 3
     roll = {(r["repo_id"], r["subsystem"]): r["n"] for r in I.subsystem_rollup(c, f).collect()}
     assert roll["hot", "root"] == expected["hot", "one.py"]
+
+
+def test_a_commit_with_most_touches_is_split(spark, no_broadcast):
+    """One commit holds two thirds of all touches: its join partition is cut, the totals stay whole."""
+    small = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    n = F.col("id")
+    commit = F.when(n < 40_000, F.lit(0)).otherwise(n % 500)
+    touches = spark.range(0, 60_000, 1, 8).select(
+        F.lit("r").alias("repo_id"), commit.cast("string").alias("commit_hash"),
+        F.concat(F.xxhash64(n % 6000).cast("string"), F.lit("/f"), n.cast("string")).alias("file_path"),
+        F.lit(1).cast("long").alias("insertions"), F.lit(1).cast("long").alias("deletions"))
+    commits = spark.range(500).select(
+        F.lit("r").alias("repo_id"), n.cast("string").alias("commit_hash"),
+        F.timestamp_seconds(n * 3600).alias("committed_at"), F.lit("x").alias("author"), F.lit("fix").alias("message"))
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        df = I.subsystem_rollup(commits, touches)
+        assert [r["n"] for r in df.collect()] == [10] * 6000
+        assert "SortMergeJoin(skew=true)" in plan_of(df)
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -105,6 +105,7 @@ def test_bucketed_tables_join_without_exchange(spark, data, tmp_path):
     sinks.write_bucketed(X.commits(spark, data), "buckets.commits", buckets=4)
     c, f = spark.table("buckets.commits"), spark.table("buckets.changes")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
     try:
         delta = H.complexity_delta(c, f)
         assert "Exchange" not in plan_of(delta)
@@ -112,6 +113,7 @@ def test_bucketed_tables_join_without_exchange(spark, data, tmp_path):
         assert "Exchange" not in plan_of(impact) and impact.count() == f.count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
         spark.sql("DROP DATABASE buckets CASCADE")
 
 
