@@ -1 +1,8 @@
 """Code-history analytics as PySpark DataFrame operators, many repositories at once."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

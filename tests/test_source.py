@@ -171,3 +171,16 @@ def test_a_text_with_many_spans_is_split_once(spark):
     found = R.with_snippet(R.duplicate_blocks(df), df)
     assert found.count() == 19_996
     assert found.filter("code_snippet = 'line 7\nline 8\nline 9\nline 10\nline 11'").count() == 1
+
+
+def test_worker_functions_travel_with_the_job():
+    """Executors have no copy of the package: its functions are pickled whole."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from codestrata.operators.python_source import _rows
+    code = "import pickle, sys; print(len(pickle.load(sys.stdin.buffer)('x', 'def f(): pass')))"
+    done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_rows), capture_output=True, cwd="/")
+    assert done.stdout.strip() == b"2", done.stderr
