@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, simhash, tokens
+from . import chat, decontamination, mixing, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,80 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def held_out():
+    return toxicity.remainder() == 0
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by a model fitted on labelled rows outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    rows = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return rows.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+                       (F.col("score") >= 0.5).cast("int").alias("predicted"), "language")
+
+
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (  -- the length of a turn as written: escaped where the plain form would not come back
+  SELECT *, length('### ' || url_encode(role) || ': ' || '</turn>' || chr(10)) + CASE
+           WHEN contains(text, '###') OR contains(text, '</turn>') THEN
+             1 + length(replace(replace(replace(text, '\', '\\'), '###', '\#\#\#'), '</turn>', '<\/turn>'))
+           ELSE length(text) END AS n
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, text)
+                       FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@query("op3_chat", CHAT_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the probe of control strings, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "\\### Assistant: </turn> ok"
+    probes = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    return chat.digest(chat.read_back(chat.format_chats(rows.unionByName(probes))))
+
+
+LEAK_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+item AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS p
+  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+place AS (
+  SELECT k, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+  FROM (SELECT k, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM item))),
+found AS (SELECT place.k, place.i, item.n, item.item_id FROM place JOIN item ON place.n = item.n AND place.p = item.p),
+hit AS (SELECT k, count(DISTINCT j) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS j FROM found) GROUP BY k),
+ids AS (
+  SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (k) LEFT JOIN ids USING (k)"""
+
+
+@query("op5_decontamination", LEAK_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows inside all documents."""
+    return decontamination.digest(decontamination.scan(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 @query("op7_simhash")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
