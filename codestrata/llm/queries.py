@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, fingerprint, licenses, lines, mixing, simhash, tokens, toxicity
+from . import chat, decontamination, fingerprint, licenses, lines, mixing, repeats, simhash, tokens, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("score") >= 0.5).cast("int").alias("predicted"), "language")
 
 
+@query("op2_repeats")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of all documents without 400-byte strings that repeat."""
+    return repeats.cut_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
