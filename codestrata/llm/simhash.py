@@ -39,16 +39,16 @@ def text_fingerprint(text: bytes, words: int = 4) -> int:
     return majority(np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends)], np.uint64))
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4) -> DataFrame:
-    """``doc_id, fp``: SimHash of the word shingles of every whole text as a signed long."""
+def fingerprints(rows: DataFrame, words: int = 4) -> DataFrame:
+    """All columns but ``text``, and ``fp``: SimHash of the word shingles of every whole text as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             fps = np.array([text_fingerprint(t, words) for t in utf8(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps.view(np.int64))],
+                                             names=[*batch.schema.names[1:], "fp"])
 
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = rows.select("text", *[c for c in rows.columns if c != "text"])
+    return rows.mapInArrow(run, rows.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
@@ -125,23 +125,31 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, tile: int
     own row. Null ids never become a component's id (it is null if there is no other); repeated rows are
     kept; an empty table gives no rows; other columns are ignored.
     """
-    fps = stored(fingerprints(docs, id_column, text_column, words))
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = linked_groups(near_links(nodes.select("fp"), radius, tile))
-    rooted = nodes.join(groups, nodes.fp == groups.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    fps = stored(fingerprints(rows, words))
+    rooted = roots(fps, radius, tile).join(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     ids = rooted.join(least, "root").select("fp", "component_id")
     return skew_join(fps, ids, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """The documents less all but one of each near-duplicate group: the row with the smallest id stays.
+def roots(fps: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``fp, root`` of every distinct fingerprint."""
+    nodes = stored(fps.select("fp").distinct())
+    groups = linked_groups(near_links(nodes, radius, tile))
+    return nodes.join(groups, nodes.fp == groups.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, tile: int = TILE) -> DataFrame:
+    """The documents less all but one row of each near-duplicate group, all columns as they are.
 
-    Of repeated rows with one id one stays. Rows without an id stand for themselves and stay.
+    The row with the smallest doc_id stays (null last), of rows with one id the first of the input.
     """
-    groups = near_duplicates(docs, radius, words)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    one = kept.dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    row = F.monotonically_increasing_id()
+    fps = stored(fingerprints(docs.select(row.alias("row"), "doc_id", "text"), words))
+    place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
+    first = fps.groupBy("fp").agg(F.min(place).alias("place"))
+    keep = roots(fps, radius, tile).join(first, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    named = docs.select(row.alias("row"), F.struct(*docs.columns).alias("_row"))
+    return named.join(keep.select("place.row"), "row", "left_semi").select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns])

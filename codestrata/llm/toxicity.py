@@ -281,25 +281,39 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_byte
     return model
 
 
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """``_row`` (all columns as a struct), ``score`` and ``language`` of every whole text."""
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select("text", F.struct(F.lit(0).alias("_"), *others).alias("_rest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in slices(batches, "text", 1_000_000):
+            logits, spoken = scorer.logits([text_words(t) for t in utf8(batch, "text")])
+            shifted = logits - np.array(model.thresholds)[spoken]
+            p = 1 / (1 + np.exp(-np.clip(shifted.astype(np.float64), -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array([LANGUAGES[k] for k in spoken])],
+                                             names=["text", "_rest", "score", "language"])
+
+    done = rows.mapInArrow(run, rows.withColumns({"score": F.lit(0.0), "language": F.lit("")}).schema)
+    row = F.struct(*[F.col("text") if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])
+    return done.select(row.alias("_row"), "score", "language")
+
+
 def score(docs: DataFrame, model: Model, keep=("doc_id",)) -> DataFrame:
     """The columns in ``keep`` with ``score`` and ``language`` of every whole text.
 
     The score is the model's probability shifted so that 0.5 is the threshold of the language that the
     text's own common words show. Only the text enters. Null and empty texts get the score of
     no words; texts of any length are read whole, in chunks; repeated rows get equal scores; an
-    empty table gives no rows.
+    empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col("text").alias("_text"), *keep)
+    names = [c for c in docs.columns if c in keep]
+    done = scored(docs.select("text", *[c for c in names if c != "text"]), model)
+    return done.select(*[F.col("_row")[c].alias(c) for c in names], "score", "language")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
-        for batch in slices(batches, "_text", 1_000_000):
-            texts = [text_words(t) for t in utf8(batch, "_text")]
-            logits, spoken = scorer.logits(texts)
-            shifted = logits - np.array(model.thresholds)[spoken]
-            p = 1 / (1 + np.exp(-np.clip(shifted.astype(np.float64), -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p), pa.array([LANGUAGES[k] for k in spoken])],
-                                             names=[*batch.schema.names[1:], "score", "language"])
 
-    schema = rows.drop("_text").withColumns({"score": F.lit(0.0), "language": F.lit("")}).schema
-    return rows.mapInArrow(run, schema)
+def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The documents with a score under ``least``, all columns as they are."""
+    clean = scored(docs, model).filter(F.col("score") < least)
+    return clean.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
