@@ -131,8 +131,8 @@ def impact_description(level: Column) -> Column:
 
 
 def lead_summary(message: Column) -> Column:
-    """First line of the message, at most 100 characters."""
-    return F.substring(F.substring_index(message, "\n", 1), 1, 100)
+    """Subject of the message: all up to the first blank line, in one line."""
+    return F.regexp_replace(F.regexp_extract(message, r"(?s)\A(.*?)(?:\n[ \t]*\n.*)?\z", 1), r"[ \t\r]*\n[ \t\r]*", " ")
 
 
 def purpose(kind: Column, summary: Column, components: Column) -> Column:

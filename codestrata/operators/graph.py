@@ -1,5 +1,6 @@
 """Module-graph operators over ``edges(repo_id, src, dst, type)``."""
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, functions as F
@@ -135,29 +136,21 @@ def trim(pairs: DataFrame, rounds: int = 3) -> DataFrame:
     return pairs
 
 
-def strongly_connected(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
+def strongly_connected(edges: DataFrame) -> DataFrame:
     """``repo_id, node, component`` for every component of two or more nodes.
 
     Round by round: colour each node with the smallest node that reaches it, then walk backwards
     from each colour's own node inside the colour. Both walks are joins with a grouped minimum,
-    so a hub is combined before the exchange. Runs to the fixed point; ``max_steps`` guards
-    against a run that does not end and raises instead of returning a partial result.
+    so a hub is combined before the exchange. Runs to the fixed point: each round settles at least
+    one component, and each step of a walk moves at least one node.
     """
     spark = edges.sparkSession
     left = trim(cut_lineage(_pairs(edges)))
-    found, steps = None, 0
-
-    def tick():
-        nonlocal steps
-        steps += 1
-        if steps > max_steps:
-            raise RuntimeError(f"no fixed point after {max_steps} steps")
-
+    found = None
     while not _empty(left):
         color = cut_lineage(graph_nodes(left).withColumn("color", F.col("node")))
         active = color
         while not _empty(active):
-            tick()
             sent = (skew_join(left, active.select("repo_id", F.col("node").alias("src"), "color"), ["repo_id", "src"])
                     .groupBy("repo_id", F.col("dst").alias("node")).agg(F.min("color").alias("_new")))
             moved = color.join(sent, NODE, "left")
@@ -175,7 +168,6 @@ def strongly_connected(edges: DataFrame, max_steps: int = 10_000) -> DataFrame:
         reached = color.filter(F.col("node") == F.col("color"))
         frontier = reached
         while not _empty(frontier):
-            tick()
             back = (same.join(frontier.select("repo_id", F.col("node").alias("dst"), "color"),
                               ["repo_id", "dst", "color"])
                     .select("repo_id", F.col("src").alias("node"), "color").distinct())
@@ -197,36 +189,37 @@ def component_labels(edges: DataFrame, components: DataFrame) -> DataFrame:
         *NODE, F.coalesce("component", "node").alias("component"))
 
 
-def circular_dependencies(edges: DataFrame, max_len: int = 5, components: DataFrame | None = None) -> DataFrame:
-    """Every elementary cycle of up to ``max_len`` nodes, once, from its smallest node.
+def circular_dependencies(edges: DataFrame, components: DataFrame | None = None,
+                          max_len: int | None = None) -> DataFrame:
+    """Every elementary cycle, once, from its smallest node.
 
-    With ``components`` from ``strongly_connected`` only edges inside a component are walked:
-    no cycle leaves one.
+    Paths are walked inside strongly connected components only, as no cycle leaves one, until none can be
+    made longer; each hop is cut from the one before. ``components`` comes from ``strongly_connected`` where it is
+    at hand already. The number of cycles of a dense component grows without bound by nature; a caller who wants
+    short ones only passes ``max_len``.
     """
     all_pairs = cut_lineage(edges.select("repo_id", "src", "dst").distinct())
-    loops = all_pairs.filter(F.col("src") == F.col("dst")).select("repo_id", F.array("src").alias("cycle"))
-    pairs = trim(all_pairs.filter(F.col("src") != F.col("dst")), 1)
-    if components is not None:
-        ends = components.select(*NODE, "component")
-        pairs = (pairs.join(ends.withColumnRenamed("node", "src"), ["repo_id", "src"])
-                 .join(ends.withColumnRenamed("node", "dst"), ["repo_id", "dst", "component"])
-                 .select("repo_id", "src", "dst"))
-        pairs = cut_lineage(pairs)
+    found = [all_pairs.filter(F.col("src") == F.col("dst")).select("repo_id", F.array("src").alias("cycle"))]
+    ends = (strongly_connected(all_pairs) if components is None else components).select(*NODE, "component")
+    pairs = cut_lineage(all_pairs.filter(F.col("src") != F.col("dst"))
+                        .join(ends.withColumnRenamed("node", "src"), ["repo_id", "src"])
+                        .join(ends.withColumnRenamed("node", "dst"), ["repo_id", "dst", "component"])
+                        .select("repo_id", "src", "dst"))
     step = pairs.select("repo_id", F.col("src").alias("last"), F.col("dst").alias("next"))
     closing = pairs.select("repo_id", F.col("src").alias("last"), F.col("dst").alias("start"))
     paths = pairs.filter(F.col("src") < F.col("dst")).select(
         "repo_id", F.col("src").alias("start"), F.col("dst").alias("last"),
         F.array("src", "dst").alias("cycle"))
-    found = loops
-    for length in range(2, max_len + 1):
-        found = found.unionByName(paths.join(closing, ["repo_id", "last", "start"], "left_semi")
-                                  .select("repo_id", "cycle"))
-        if length < max_len:
-            paths = (paths.join(step, ["repo_id", "last"])
-                     .filter((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next")))
-                     .select("repo_id", "start", F.col("next").alias("last"),
-                             F.concat("cycle", F.array("next")).alias("cycle")))
-    return found
+    length = 2
+    while (max_len is None or length <= max_len) and not _empty(paths):
+        found.append(paths.join(closing, ["repo_id", "last", "start"], "left_semi").select("repo_id", "cycle"))
+        paths = cut_lineage(
+            paths.join(step, ["repo_id", "last"])
+            .filter((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next")))
+            .select("repo_id", "start", F.col("next").alias("last"),
+                    F.concat("cycle", F.array("next")).alias("cycle")))
+        length += 1
+    return reduce(DataFrame.unionByName, found)
 
 
 def _undirected(edges: DataFrame) -> DataFrame:
@@ -238,25 +231,33 @@ def folder_communities(edges: DataFrame) -> DataFrame:
     return graph_nodes(edges).select(*NODE, directory(F.col("node")).alias("community"))
 
 
-def propagated_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Label propagation: each round a node takes its neighbours' commonest label, least first."""
+def connected_communities(edges: DataFrame) -> DataFrame:
+    """Nodes grouped by connected component, named by its smallest node.
+
+    Each round a node takes the smallest label of itself and its neighbours, then its label's own label, so a
+    chain costs the logarithm of its length in rounds. Runs until no label changes; minima are combined
+    before the exchange.
+    """
     links = _undirected(edges).filter("a <> b")
     both = cut_lineage(links.select("repo_id", F.inline(F.array(
         F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
         F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))))
     labels = cut_lineage(graph_nodes(edges).withColumn("community", F.col("node")))
-    for _ in range(rounds):
-        votes = (skew_join(both, labels.withColumnRenamed("node", "other"), ["repo_id", "other"])
-                 .groupBy(*NODE, "community").agg(F.count(F.lit(1)).alias("_c")))
-        best = votes.groupBy(*NODE).agg(F.min(F.struct(-F.col("_c"), "community"))["community"].alias("_new"))
-        new = cut_lineage(labels.join(best, NODE, "left").select(
-            *NODE, F.coalesce("_new", "community").alias("community"),
-            (F.coalesce("_new", "community") != F.col("community")).alias("changed")))
-        done = _empty(new.filter("changed"))
+    while True:
+        near = (skew_join(both, labels.withColumnRenamed("node", "other"), ["repo_id", "other"])
+                .groupBy(*NODE).agg(F.min("community").alias("_near")))
+        # The smallest label near a node is told to the node's present label as well.
+        told = labels.join(near, NODE).groupBy("repo_id", F.col("community").alias("node")).agg(
+            F.min("_near").alias("_told"))
+        least = (labels.join(near, NODE, "left").join(told, NODE, "left")
+                 .select(*NODE, F.col("community").alias("_old"), F.least("community", "_near", "_told").alias("_mid")))
+        least = cut_lineage(least)
+        up = least.select("repo_id", F.col("node").alias("_mid"), F.col("_mid").alias("_up"))
+        new = cut_lineage(least.join(up, ["repo_id", "_mid"]).select(
+            *NODE, F.col("_up").alias("community"), (F.col("_up") != F.col("_old")).alias("changed")))
         labels = new.select(*NODE, "community")
-        if done:
-            break
-    return labels
+        if _empty(new.filter("changed")):
+            return labels
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-PART_ROWS = 10_000
 TAG = "_tag"
 
 
@@ -24,21 +23,13 @@ def skew_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", keep_t
     return joined if keep_tag else joined.drop(TAG)
 
 
-def gather(rows: DataFrame, keys, item: Column, name: str, part_rows: int = PART_ROWS) -> DataFrame:
-    """Sorted array of ``item`` per key: ``keys, part, name``.
+def nested(rows: DataFrame, keys, item: Column, name: str) -> DataFrame:
+    """Exactly one row per key: ``keys, name`` with the sorted array of ``item``.
 
-    A key with up to ``part_rows`` rows gives one array (part 0). A larger key is spread by
-    item hash over several parts of about that size, so no task ever holds it whole and no
-    row is lost.
+    For keys that are bounded by nature (the files of one commit, the people of one file). A set that
+    grows with the data has a flat table instead.
     """
-    keys = list(keys)
-    wide = (rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > part_rows)
-            .select(*keys, F.ceil(F.col("_n") / part_rows).alias("_parts")))
-    part = F.coalesce(F.pmod(F.xxhash64("_item"), F.col("_parts")), F.lit(0)).cast("long")
-    return (skew_join(rows.withColumn("_item", item), wide, keys, "left", keep_tag=True)
-            .groupBy(*keys, TAG, part.alias("part"))
-            .agg(F.array_sort(F.collect_list("_item")).alias(name)).drop(TAG))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias(name))
 
 
 def newest_commits(commits: DataFrame, n: int) -> DataFrame:
@@ -133,8 +124,3 @@ def exact_quantiles(df: DataFrame, keys, quantiles: dict[str, tuple[str, float]]
     return ends.groupBy(*keys).agg(*[
         (pick(name, "below") + (pick(name, "above") - pick(name, "below")) * share(name)).alias(name)
         for name in quantiles])
-
-
-def small_enough(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast when a count shows at most ``rows`` rows; otherwise leave the join alone."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1,5 +1,7 @@
 """Commit-history operators."""
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rules
@@ -7,7 +9,7 @@ from ..functions.dates import iso_timestamp
 from ..functions.fixed_values import REFACTORING_KEYWORDS
 from ..functions.numbers import change_impact, file_risk_score
 from ..functions.paths import under_path
-from .grouping import gather, newest_commits, skew_join, small_enough, top_per_repo
+from .grouping import nested, newest_commits, skew_join
 
 COMMIT = ["repo_id", "commit_hash"]
 FILE = ["repo_id", "file_path"]
@@ -89,15 +91,26 @@ def change_metrics(file_changes: DataFrame, modified_only: bool = True) -> DataF
                           F.col("complexity_after").isNull()).alias("change_type"))
 
 
-def with_delta(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
+def touches_of(kept: DataFrame, file_changes: DataFrame, *limits) -> DataFrame:
+    """The touches of the kept commits, cut down before anything is summed; all of them without a limit."""
+    if all(x is None for x in limits):
+        return file_changes
+    return skew_join(file_changes, kept.select(*COMMIT), COMMIT, "left_semi")
+
+
+def with_delta(commits: DataFrame, file_changes: DataFrame, count: str | None = None) -> DataFrame:
     """Commits with ``complexity_delta``: the sum of (after - before) over the modified files.
 
-    A root commit has delta 0.
+    A root commit has delta 0. ``count`` names a column for the number of modified files.
     """
     sums = (file_changes.filter(_modified()).groupBy(*COMMIT)
-            .agg(F.sum(F.col("complexity_after") - F.col("complexity_before")).alias("_delta")))
+            .agg(F.sum(F.col("complexity_after") - F.col("complexity_before")).alias("_delta"),
+                 F.count(F.lit(1)).alias("_files")))
     delta = F.when(F.col("parent_hash").isNull(), F.lit(0.0)).otherwise(F.coalesce("_delta", F.lit(0.0)))
-    return commits.join(sums, COMMIT, "left").withColumn("complexity_delta", delta).drop("_delta")
+    rows = commits.join(sums, COMMIT, "left").withColumn("complexity_delta", delta)
+    if count is not None:
+        rows = rows.withColumn(count, F.coalesce("_files", F.lit(0).cast("long")))
+    return rows.drop("_delta", "_files")
 
 
 def complexity_delta(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
@@ -113,14 +126,13 @@ def refactoring_commits(commits: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def refactoring_patterns(commits: DataFrame, file_changes: DataFrame, start=None, end=None) -> DataFrame:
-    """One row per pattern, commit and file part; a pattern without commits keeps one empty row."""
+    """One row per pattern and commit with its files; a pattern without commits keeps one empty row."""
     found = refactoring_commits(commits, start, end).select(
         *COMMIT, "pattern", "committed_at", "message")
-    files = gather(file_changes.join(found.select(*COMMIT), COMMIT, "left_semi"),
+    files = nested(file_changes.join(found.select(*COMMIT), COMMIT, "left_semi"),
                    COMMIT, F.col("file_path"), "files")
-    rows = (found.join(files, COMMIT, "left")
-            .withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
-            .withColumn("part", F.coalesce("part", F.lit(0).cast("long"))))
+    rows = found.join(files, COMMIT, "left").withColumn(
+        "files", F.coalesce("files", F.array().cast("array<string>")))
     names = F.explode(F.array(*[F.lit(name) for name, _ in REFACTORING_KEYWORDS])).alias("pattern")
     keys = commits.select("repo_id").distinct().select("repo_id", names)
     # The patterns a repository does use: a handful of rows, joined back to find the empty ones.
@@ -143,10 +155,9 @@ def pattern_summary(commits: DataFrame, file_changes: DataFrame, impact: DataFra
 
 
 def pattern_files(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
-    """Distinct files per pattern, gathered into sorted arrays."""
+    """Distinct files per pattern, one row each: a pattern's files grow with the repository."""
     found = refactoring_commits(commits).select(*COMMIT, "pattern")
-    files = found.join(file_changes, COMMIT).select("repo_id", "pattern", "file_path").distinct()
-    return gather(files, ["repo_id", "pattern"], F.col("file_path"), "affected_files")
+    return skew_join(file_changes, found, COMMIT).select("repo_id", "pattern", "file_path").distinct()
 
 
 def touch_impact(commits: DataFrame, file_changes: DataFrame, importance: DataFrame | None = None) -> DataFrame:
@@ -182,7 +193,7 @@ def hotspots(commits: DataFrame, file_changes: DataFrame, importance: DataFrame
     if timeframe is not None:
         when = F.col("committed_at")
         kept = kept.filter((when > timeframe_start(timeframe, as_of)) & (when <= F.lit(as_of).cast("timestamp")))
-    impact = touch_impact(kept, file_changes, importance)
+    impact = touch_impact(kept, touches_of(kept, file_changes, timeframe), importance)
     return impact.groupBy(*FILE).agg(
         F.count(F.lit(1)).alias("change_count"), F.sum("impact").alias("impact_score"),
         F.max("committed_at").alias("last_modified"))
@@ -203,10 +214,9 @@ def complexity_trend(commits: DataFrame, file_changes: DataFrame, path: str | No
 
 def commit_statistics(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
     """Commit, POSIX seconds and its touched files; a commit without files has an empty array."""
-    files = gather(file_changes, COMMIT, F.col("file_path"), "files")
+    files = nested(file_changes, COMMIT, F.col("file_path"), "files")
     return (commits.join(files, COMMIT, "left")
-            .select(*COMMIT, F.coalesce("part", F.lit(0).cast("long")).alias("part"),
-                    F.unix_timestamp("committed_at").alias("timestamp"), "author", "message",
+            .select(*COMMIT, F.unix_timestamp("committed_at").alias("timestamp"), "author", "message",
                     F.coalesce("files", F.array().cast("array<string>")).alias("files")))
 
 
@@ -236,12 +246,10 @@ def complexity_trends(commits: DataFrame, file_changes: DataFrame, max_commits:
     ``pick`` chooses which readable version in the window gives the complexity.
     ``first_seen`` is the rank of the newest commit touching the file.
 
-    The window holds ``max_commits`` rows per repository. Where its counted size allows, it is
-    broadcast: the touches are then filtered where they are read and only per-file partial sums
-    are shuffled. With very many repositories the join shuffles instead.
+    The window holds ``max_commits`` rows per repository; adaptive execution broadcasts it when its
+    measured bytes allow.
     """
     recent = newest_commits(commits.select(*COMMIT, "committed_at"), max_commits).select(*COMMIT, "rn")
-    recent = small_enough(recent)
     touched = file_changes.select(*COMMIT, "file_path", "complexity_after").join(recent, COMMIT)
     seen = F.when(F.col("complexity_after").isNotNull(), F.col("rn"))
     choose = F.max_by if pick == "oldest" else F.min_by
@@ -255,18 +263,17 @@ def timeline(commits: DataFrame, file_changes: DataFrame, importance: DataFrame
              start=None, end=None, path: str | None = None) -> DataFrame:
     """Commit with its nested changes, complexity delta and message importance."""
     kept = commit_history(commits, file_changes, start, end, path)
-    changes = change_metrics(file_changes)
-    nested = gather(changes, COMMIT, F.struct(
+    touched = touches_of(kept, file_changes, start, end, path)
+    changes = nested(change_metrics(touched), COMMIT, F.struct(
         "file_path", "lines_added", "lines_deleted", "complexity_before", "complexity_after",
         "change_type"), "changes")
-    rows = with_delta(kept, file_changes).join(nested, COMMIT, "left")
+    rows = with_delta(kept, touched).join(changes, COMMIT, "left")
     rows = (rows.withColumn("semantic_importance", F.lit(0.0)) if importance is None else
             rows.join(importance.select(*COMMIT, F.col("importance").alias("semantic_importance")),
                       COMMIT, "left").fillna(0.0, ["semantic_importance"]))
-    empty = F.array().cast(nested.schema["changes"].dataType)
+    empty = F.array().cast(changes.schema["changes"].dataType)
     return rows.select(
         "repo_id", F.col("committed_at").alias("timestamp"), "commit_hash", "author", "message",
-        F.coalesce("part", F.lit(0).cast("long")).alias("part"),
         F.coalesce("changes", empty).alias("changes"), "complexity_delta", "semantic_importance")
 
 
@@ -274,11 +281,12 @@ def timeline_rows(commits: DataFrame, file_changes: DataFrame, start=None, end=N
                   path: str | None = None) -> DataFrame:
     """The timeline as one row per change, without nesting."""
     kept = commit_history(commits, file_changes, start, end, path)
-    facts = with_delta(kept.select(*COMMIT, "parent_hash", "committed_at", "author", "message"), file_changes)
-    facts, changes = facts.drop("parent_hash"), change_metrics(file_changes)
+    touched = touches_of(kept, file_changes, start, end, path)
+    facts = with_delta(kept.select(*COMMIT, "parent_hash", "committed_at", "author", "message"), touched,
+                       count="_told").drop("parent_hash")
     # The changes lead, so that a commit with very many of them can be split.
-    told = skew_join(changes, facts, COMMIT)
-    quiet = facts.join(changes.select(*COMMIT), COMMIT, "left_anti")
+    told = skew_join(change_metrics(touched), facts.drop("_told"), COMMIT)
+    quiet = facts.filter(F.col("_told") == 0).drop("_told")
     return told.unionByName(quiet, allowMissingColumns=True)
 
 
@@ -302,8 +310,7 @@ def last_modified(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
 def hotspot_metrics(commits: DataFrame, file_changes: DataFrame, trends: DataFrame) -> DataFrame:
     """Per file: touches, newest touch, daily complexity, risk and contributors.
 
-    The trend holds one mean per active day and every contributor appears once. A file with
-    very many contributors gets further parts that list the others.
+    The trend holds one mean per active day and every contributor appears once.
     """
     touched = file_changes.select(*COMMIT, "file_path", "complexity_after").join(
         commits.select(*COMMIT, "committed_at", "author"), COMMIT)
@@ -314,28 +321,34 @@ def hotspot_metrics(commits: DataFrame, file_changes: DataFrame, trends: DataFra
             .agg(F.avg("complexity_after").alias("complexity")))
     trend = days.groupBy(*FILE).agg(
         F.array_sort(F.collect_list(F.struct("day", "complexity"))).alias("_days"))
-    people = gather(touched.select(*FILE, "author").distinct(), FILE, F.col("author"), "contributors")
+    people = nested(touched.select(*FILE, "author").distinct(), FILE, F.col("author"), "contributors")
     risk = trends.select(*FILE, file_risk_score(
         F.col("complexity"), F.col("change_frequency")).alias("risk_score"))
     return (totals.join(trend, FILE, "left").join(people, FILE).join(risk, FILE, "left")
-            .select(*FILE, "part", "change_frequency", "last_modified",
+            .select(*FILE, "change_frequency", "last_modified",
                     F.transform("_days", lambda d: d["complexity"]).alias("complexity_trend"),
                     F.coalesce("risk_score", F.lit(0.0)).alias("risk_score"), "contributors"))
 
 
-def evolution_insights(commits: DataFrame, file_changes: DataFrame, metrics: DataFrame,
-                       importance: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """Per repository: date span, commits, top hotspots, pattern counts, daily complexity, health."""
+class EvolutionInsights(NamedTuple):
+    """Header per repository, and flat tables of what grows with it."""
+
+    header: DataFrame
+    hotspots: DataFrame
+    patterns: DataFrame
+    pattern_files: DataFrame
+
+
+def evolution_insights(commits: DataFrame, file_changes: DataFrame, metrics: DataFrame, trends: DataFrame,
+                       importance: DataFrame | None = None) -> EvolutionInsights:
+    """Per repository: date span, commits, daily complexity and health; every hotspot and every pattern in full.
+
+    The hotspots are those of ``hotspot_metrics``, the patterns those of ``pattern_summary`` with their
+    files in ``pattern_files``: one row each, none left out.
+    """
     span = commits.groupBy("repo_id").agg(
         F.min("committed_at").alias("start_date"), F.max("committed_at").alias("end_date"),
         F.count(F.lit(1)).alias("total_commits"))
-    top = top_per_repo(hotspots(commits, file_changes, importance),
-                       [F.desc("change_count"), F.asc("file_path")], k)
-    spots = top.groupBy("repo_id").agg(F.array_sort(F.collect_list(
-        F.struct("rank", "file_path", "change_count", "impact_score"))).alias("hotspots"))
-    found = refactoring_commits(commits).groupBy("repo_id", "pattern").agg(F.count(F.lit(1)).alias("frequency"))
-    patterns = found.groupBy("repo_id").agg(F.array_sort(F.collect_list(
-        F.struct("pattern", "frequency"))).alias("refactoring_patterns"))
     days = (file_changes.filter(F.col("complexity_after").isNotNull())
             .join(commits.select(*COMMIT, "committed_at"), COMMIT)
             .groupBy("repo_id", F.to_date("committed_at").alias("day"))
@@ -343,7 +356,9 @@ def evolution_insights(commits: DataFrame, file_changes: DataFrame, metrics: Dat
     trend = days.groupBy("repo_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("day", "complexity"))),
         lambda d: d["complexity"]).alias("complexity_trend"))
-    return (span.join(spots, "repo_id", "left").join(patterns, "repo_id", "left")
-            .join(trend, "repo_id", "left")
-            .join(metrics.select("repo_id", F.col("code_quality_score").alias("health_score")),
-                  "repo_id", "left"))
+    health = metrics.select("repo_id", F.col("code_quality_score").alias("health_score"))
+    header = span.join(trend, "repo_id", "left").join(health, "repo_id", "left")
+    return EvolutionInsights(
+        header, hotspot_metrics(commits, file_changes, trends),
+        pattern_summary(commits, file_changes, touch_impact(commits, file_changes, importance)),
+        pattern_files(commits, file_changes))

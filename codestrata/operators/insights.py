@@ -123,9 +123,12 @@ def repo_totals(commits: DataFrame, trends: DataFrame) -> DataFrame:
 
 
 def codebase_metrics(commits: DataFrame, trends: DataFrame, head_files: DataFrame | None,
-                     as_of: Column | None = None) -> DataFrame:
-    """Files, commits, mean complexity, debt ratio and quality per repository."""
-    rows = repo_totals(commits, trends)
+                     as_of: Column | None = None, totals: DataFrame | None = None) -> DataFrame:
+    """Files, commits, mean complexity, debt ratio and quality per repository.
+
+    ``totals``: the result of ``repo_totals`` where it is at hand already.
+    """
+    rows = repo_totals(commits, trends) if totals is None else totals
     if head_files is None:
         rows = rows.withColumn("_files", F.col("newest_files"))
     else:

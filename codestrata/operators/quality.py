@@ -6,6 +6,7 @@ from ..functions import fixed_values as V, rules
 from ..functions.numbers import py_round
 from ..functions.paths import line_span, split_lines
 from ..sources.schemas import REFACTOR_SUGGESTION, conform
+from . import graph
 from .grouping import skew_join
 from .history import FILE
 from .python_source import with_sha
@@ -143,6 +144,17 @@ def coupling_suggestions(coupled: DataFrame) -> DataFrame:
                        F.lit(None).cast("string"), F.lit(V.COUPLING_CHANGE))
 
 
+def refactor_analysis(blocks: DataFrame, files: DataFrame) -> DataFrame:
+    """All suggestions for a set of files: duplicate blocks, complex functions, import cycles, high coupling.
+
+    Cycles are those of imports that resolve to files of the repository; coupling counts all imports.
+    """
+    edges = graph.import_edges(blocks, files)
+    cycles = graph.circular_dependencies(graph.resolve_imports(edges, files))
+    return (duplicate_suggestions(files).unionByName(complexity_suggestions(blocks, files))
+            .unionByName(cycle_suggestions(cycles)).unionByName(coupling_suggestions(graph.high_coupling(edges))))
+
+
 def _by_type(values: dict, kind: Column) -> Column:
     chain = F
     for name, value in values.items():

@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import HashingTF, IDF, Normalizer, Tokenizer
+from pyspark.ml.feature import HashingTF, IDF, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -15,21 +15,27 @@ EPS = 1e-8
 
 
 def text_vectorizer(df: DataFrame, column: str, dimensions: int = 1024) -> PipelineModel:
-    """Weighted word counts of length 1, fitted on ``df``."""
+    """Word counts weighted by rarity, fitted on ``df``."""
     return Pipeline(stages=[
         Tokenizer(inputCol=column, outputCol="_words"),
         HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
-        IDF(inputCol="_counts", outputCol="_weighted"),
-        Normalizer(inputCol="_weighted", outputCol="_vector", p=2.0)]).fit(df)
+        IDF(inputCol="_counts", outputCol="_vector")]).fit(df)
 
 
 def embed_text(df: DataFrame, column: str, model: PipelineModel | None = None,
                dimensions: int = 1024) -> DataFrame:
-    """Add ``embedding array<float>`` for a text column; any other array column can stand in."""
+    """Add ``n_tokens`` and ``embedding array<float>``, the mean of the text's weighted word vectors.
+
+    The vector is not brought to length 1, so its norm (the importance) tells texts apart: rare words and few
+    of them weigh more. Similarity divides by the norms itself. Any other array column can stand in.
+    """
+    df = df.withColumn(column, F.coalesce(column, F.lit("")))
     fitted = model or text_vectorizer(df, column, dimensions)
+    n = F.greatest(F.size("_words"), F.lit(1))
+    mean = F.transform(vector_to_array("_vector"), lambda x: (x / n).cast("float"))
     return (fitted.transform(df)
-            .withColumn("embedding", vector_to_array("_vector", "float32"))
-            .drop("_words", "_counts", "_weighted", "_vector"))
+            .withColumn("n_tokens", F.aggregate(vector_to_array("_counts"), F.lit(0.0), lambda a, x: a + x).cast("long"))
+            .withColumn("embedding", mean).drop("_words", "_counts", "_vector"))
 
 
 def importance(df: DataFrame, column: str = "embedding") -> DataFrame:
@@ -90,6 +96,9 @@ def _scorer(held, k, threshold, probe_key, key):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, probes = held.value
         for batch in batches:
+            if len(batch) == 0:
+                continue
+            batch = batch[batch["embedding"].notna()]  # no vector, no similarity
             if len(batch) == 0:
                 continue
             vectors = _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))

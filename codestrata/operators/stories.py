@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import rules
 from ..functions.paths import component
-from .grouping import gather
+from .grouping import nested
 from .history import COMMIT, change_metrics
 
 
@@ -45,15 +45,14 @@ def commit_story(commits: DataFrame, file_changes: DataFrame, summary: Column |
 
 
 def change_labels(file_changes: DataFrame) -> DataFrame:
-    """Sorted ``"{type} in {path}"`` labels per commit and part."""
+    """Sorted ``"{type} in {path}"`` labels per commit."""
     rows = change_metrics(file_changes)
     label = F.concat("change_type", F.lit(" in "), "file_path")
-    return gather(rows, COMMIT, label, "labels")
+    return nested(rows, COMMIT, label, "labels")
 
 
 def importance_texts(commits: DataFrame, file_changes: DataFrame) -> DataFrame:
     """Text to embed per commit: the message and what was done to each file."""
     labels = F.coalesce("labels", F.array().cast("array<string>"))
     return (commits.select(*COMMIT, "message").join(change_labels(file_changes), COMMIT, "left")
-            .select(*COMMIT, F.coalesce("part", F.lit(0).cast("long")).alias("part"),
-                    rules.importance_text(F.col("message"), labels).alias("text")))
+            .select(*COMMIT, rules.importance_text(F.col("message"), labels).alias("text")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G, history as H
 from ..operators.python_source import score_blocks
 from . import workload as X
-from .checks_source import DEGREES
+from .checks_source import DEGREES, RESOLVED, component_sql, cycle_sql
 from .registry import query
 
 
@@ -43,11 +43,6 @@ def _(spark, sf):
     return G.module_connections(X.page_links(spark, sf))
 
 
-RESOLVED = """, resolved AS (
-SELECT i.repo_id, i.src, p.file_path AS dst FROM imports i JOIN py p
-ON p.repo_id = i.repo_id AND i.dst = replace(regexp_replace(p.file_path, '\\.py$', ''), '/', '.'))"""
-
-
 @query("g4_resolve_imports", RESOLVED + "SELECT *, 'import' AS type FROM resolved", use="python")
 def _(spark, sf):
     blocks, files = _python(spark, sf)
@@ -59,17 +54,6 @@ def _(spark, sf):
     return G.degrees(X.page_links(spark, sf))
 
 
-def _component_sql(edges: str) -> str:
-    return f""", nodes_ AS (SELECT repo_id, src AS node FROM {edges} UNION SELECT repo_id, dst FROM {edges}),
-reach(repo_id, a, b) AS (
-  SELECT DISTINCT repo_id, src, dst FROM {edges}
-  UNION SELECT r.repo_id, r.a, e.dst FROM reach r JOIN {edges} e ON e.repo_id = r.repo_id AND e.src = r.b),
-component_of AS (
-  SELECT n.repo_id, n.node, least(n.node, coalesce(min(y.b), n.node)) AS component
-  FROM nodes_ n LEFT JOIN (SELECT x.repo_id, x.a, x.b FROM reach x JOIN reach z
-    ON z.repo_id = x.repo_id AND z.a = x.b AND z.b = x.a) y ON y.repo_id = n.repo_id AND y.a = n.node GROUP BY 1, 2)"""
-
-
 def _modularity_sql(edges: str, community: str) -> str:
     return f""", und AS (SELECT DISTINCT repo_id, least(src, dst) AS a, greatest(src, dst) AS b FROM {edges}),
 deg AS (SELECT repo_id, node, count(*) AS d FROM (SELECT repo_id, a AS node FROM und UNION ALL SELECT repo_id, b FROM und) GROUP BY 1, 2),
@@ -91,20 +75,20 @@ JOIN (SELECT repo_id, count(DISTINCT component) AS n FROM component_of GROUP BY
 JOIN mod_ q USING (repo_id)"""
 
 
-@query("g6_graph_metadata", _component_sql("links") + _modularity_sql("links", FOLDER) +
+@query("g6_graph_metadata", component_sql("links") + _modularity_sql("links", FOLDER) +
        METADATA.format(nodes="nodes_", edges="links"), use="links", recursive=True)
 def _(spark, sf):
     edges = X.page_links(spark, sf)
     return G.graph_metadata(G.graph_nodes(edges), edges, G.strongly_connected(edges), G.folder_communities(edges))
 
 
-@query("g7_strongly_connected", _component_sql("pe") + "SELECT * FROM component_of", use="cycles", recursive=True)
+@query("g7_strongly_connected", component_sql("pe") + "SELECT * FROM component_of", use="cycles", recursive=True)
 def _(spark, sf):
     edges = X.part_edges(spark, sf)
     return G.component_labels(edges, G.strongly_connected(edges))
 
 
-@query("g7_strongly_connected_imports", RESOLVED + _component_sql("resolved") + "SELECT * FROM component_of",
+@query("g7_strongly_connected_imports", RESOLVED + component_sql("resolved") + "SELECT * FROM component_of",
        use="python", recursive=True)
 def _(spark, sf):
     blocks, files = _python(spark, sf)
@@ -112,25 +96,17 @@ def _(spark, sf):
     return G.component_labels(edges, G.strongly_connected(edges))
 
 
-def _cycle_sql(edges: str, longest: int) -> str:
-    return f""", walk(repo_id, start, last, path) AS (
-  SELECT DISTINCT repo_id, src, dst, [src, dst] FROM {edges} WHERE src < dst
-  UNION ALL SELECT w.repo_id, w.start, e.dst, list_append(w.path, e.dst)
-  FROM walk w JOIN (SELECT DISTINCT repo_id, src, dst FROM {edges}) e ON e.repo_id = w.repo_id AND e.src = w.last
-  WHERE len(w.path) < {longest} AND e.dst > w.start AND NOT list_contains(w.path, e.dst))
-SELECT w.repo_id, array_to_string(w.path, ',') AS cycle FROM walk w
-JOIN (SELECT DISTINCT repo_id, src, dst FROM {edges}) e ON e.repo_id = w.repo_id AND e.src = w.last AND e.dst = w.start
-UNION ALL SELECT DISTINCT repo_id, src FROM {edges} WHERE src = dst"""
+CYCLE_ROWS = "SELECT repo_id, array_to_string(cycle, ',') AS cycle FROM cycles"
 
 
-@query("r11_circular_dependencies", _cycle_sql("pe", 5), use="cycles", recursive=True)
+@query("r11_circular_dependencies", component_sql("pe") + cycle_sql("pe") + CYCLE_ROWS, use="cycles", recursive=True)
 def _(spark, sf):
     edges = X.part_edges(spark, sf)
-    found = G.circular_dependencies(edges, 5, G.strongly_connected(edges))
+    found = G.circular_dependencies(edges, G.strongly_connected(edges))
     return found.select("repo_id", F.array_join("cycle", ",").alias("cycle"))
 
 
-@query("r11_circular_imports", RESOLVED + _cycle_sql("resolved", 5), use="python", recursive=True)
+@query("r11_circular_imports", RESOLVED + component_sql("resolved") + cycle_sql("resolved") + CYCLE_ROWS, use="python", recursive=True)
 def _(spark, sf):
     blocks, files = _python(spark, sf)
     found = G.circular_dependencies(G.resolve_imports(G.import_edges(blocks, files), files))
@@ -143,10 +119,21 @@ def _(spark, sf):
     return G.modularity(edges, G.folder_communities(edges))
 
 
-@query("g8_propagated_communities")
+@query("g8_connected_communities", """, both_ AS (SELECT repo_id, src AS a, dst AS b FROM pe UNION SELECT repo_id, dst, src FROM pe),
+near(repo_id, a, b) AS (
+  SELECT repo_id, a, a FROM both_
+  UNION SELECT n.repo_id, n.a, e.b FROM near n JOIN both_ e ON e.repo_id = n.repo_id AND e.a = n.b)
+SELECT repo_id, a AS node, min(b) AS community FROM near GROUP BY 1, 2""", use="cycles", recursive=True)
 def _(spark, sf):
-    edges = X.page_links(spark, sf)
-    return G.modularity(edges, G.propagated_communities(edges))
+    return G.connected_communities(X.part_edges(spark, sf))
+
+
+@query("g6_graph_metadata_cycles", component_sql("pe") + _modularity_sql("pe", "node") +
+       METADATA.format(nodes="nodes_", edges="pe"), use="cycles", recursive=True)
+def _(spark, sf):
+    edges = X.part_edges(spark, sf)
+    own = G.graph_nodes(edges).withColumn("community", F.col("node"))
+    return G.graph_metadata(G.graph_nodes(edges), edges, G.strongly_connected(edges), own)
 
 
 def color_sql(health: str) -> str:
@@ -191,16 +178,21 @@ def _(spark, sf):
 @query("g13_module_details", """
 SELECT repo_id, file_path, 'mod_' || k || '.py' AS name, 15 + 2 * m AS size, (10 + 2 * m) || ':Box:2' AS classes,
        '6:run:2|' || (11 + 2 * m) || ':get:1|' || (14 + 2 * m) || ':put:3' AS functions,
-       'lib' || (k % 5) || '.core|pkg' || (t % 7) || '.mod_' || t || '|util' || (k % 3) AS dependencies,
-       (1 + m)::DOUBLE AS complexity FROM ok""", use="python")
+       'lib' || (k % 5) || '.core|pkg' || (t % 100 % 7) || '.mod_' || t || '|util' || (k % 3) AS dependencies,
+       (1 + m)::DOUBLE AS complexity, CASE WHEN k % 3 <> 1 THEN '2024-01-' || lpad(CAST(1 + k % 28 AS VARCHAR), 2, '0') END AS last_modified
+FROM ok""", use="python")
 def _(spark, sf):
-    rows = G.module_details(*_python(spark, sf))
+    blocks, files = _python(spark, sf)
+    k = F.regexp_extract("file_path", r"mod_(\d+)", 1).cast("long")
+    modified = files.filter(k % 3 != 1).select("repo_id", "file_path", F.concat(
+        F.lit("2024-01-"), F.lpad((1 + k % 28).cast("string"), 2, "0")).alias("last_modified"))
+    rows = G.module_details(blocks, files, modified)
     flat = lambda a, *names: F.array_join(F.transform(
         a, lambda x: F.concat_ws(":", *[x[n].cast("string") for n in names])), "|")
     return rows.select("repo_id", "file_path", "name", "size",
                        flat("classes", "line_number", "name", "methods").alias("classes"),
                        flat("functions", "line_number", "name", "args").alias("functions"),
-                       F.array_join("dependencies", "|").alias("dependencies"), "complexity")
+                       F.array_join("dependencies", "|").alias("dependencies"), "complexity", "last_modified")
 
 
 @query("g14_code_map_nodes", NODES + DEGREES.format("imports") + f"""
@@ -214,7 +206,7 @@ def _(spark, sf):
     return G.colored_nodes(G.module_nodes(edges, G.parsed_modules(blocks, files)), edges).drop("position")
 
 
-@query("g14_code_map_metadata", NODES + _component_sql("imports") + _modularity_sql("imports", FOLDER) +
+@query("g14_code_map_metadata", NODES + component_sql("imports") + _modularity_sql("imports", FOLDER) +
        METADATA.format(nodes="nodes", edges="imports"), use="python", recursive=True)
 def _(spark, sf):
     return G.code_map(*_python(spark, sf)).metadata

@@ -183,12 +183,9 @@ def _(spark, sf):
 
 
 @query("a6_pattern_files", FOUND + """
-SELECT repo_id, pattern, string_agg(file_path, '|' ORDER BY file_path) AS files
-FROM (SELECT DISTINCT f.repo_id, f.pattern, g.file_path FROM found f JOIN changes g USING (repo_id, commit_hash))
-GROUP BY 1, 2""")
+SELECT DISTINCT f.repo_id, f.pattern, g.file_path FROM found f JOIN changes g USING (repo_id, commit_hash)""")
 def _(spark, sf):
-    return H.pattern_files(X.commits(spark, sf), X.file_changes(spark, sf)).select(
-        "repo_id", "pattern", F.array_join("affected_files", "|").alias("files"))
+    return H.pattern_files(X.commits(spark, sf), X.file_changes(spark, sf))
 
 
 @query("a7_hotspots", IMPACT + f"""
@@ -276,7 +273,7 @@ def _(spark, sf):
     rows = H.timeline(X.commits(spark, sf, parents=True), X.gappy_file_changes(spark, sf), X.importance(spark, sf))
     text = F.transform("changes", lambda c: F.concat_ws(
         ":", c["file_path"], c["lines_added"].cast("string"), c["lines_deleted"].cast("string"), c["change_type"]))
-    return rows.withColumn("changes", F.array_join(text, "|")).drop("part")
+    return rows.withColumn("changes", F.array_join(text, "|"))
 
 
 @query("a13_timeline_rows", TYPED + f"""

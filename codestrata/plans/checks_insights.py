@@ -249,16 +249,19 @@ def _joined(array, *fields):
 @query("i20_dashboard", ROLLUP + ALERTS + TOTALS + FORECAST + f"""
 SELECT m.repo_id, coalesce(h.t, '') AS subsystem_health, coalesce(a.t, '') AS refactor_alerts,
        m.total_files, m.total_commits, m.average_complexity, m.technical_debt_ratio, m.code_quality_score,
-       coalesce(r.t, '') AS risk_areas, u.t AS maintenance, f.t AS resources, '{AS_OF}' AS generated_at
+       coalesce(r.t, '') AS risk_areas, u.t AS maintenance, f.t AS resources,
+       'overall:stable:0.6' AS outlook_text, p.predicted_complexity AS outlook, '{AS_OF}' AS generated_at
 FROM metrics m
 LEFT JOIN (SELECT repo_id, string_agg(subsystem || ':' || {STATUS_CASE} || ':' ||
              {TREND_CASE.format(a='oldest_files', b='newest_files')}, '|' ORDER BY subsystem) AS t FROM scored GROUP BY 1) h USING (repo_id)
 LEFT JOIN (SELECT repo_id, string_agg(rank || ':' || file_path || ':' || severity, '|' ORDER BY rank) AS t FROM alerts GROUP BY 1) a USING (repo_id)
 LEFT JOIN (SELECT repo_id, string_agg(rank || ':' || area_name || ':' || risk_level, '|' ORDER BY rank) AS t FROM risks GROUP BY 1) r USING (repo_id)
 LEFT JOIN (SELECT repo_id, string_agg(x.t || ':' || x.f, '|' ORDER BY x.t) AS t FROM upkeep GROUP BY 1) u USING (repo_id)
-LEFT JOIN (SELECT repo_id, string_agg(resource_type || ':' || predicted_need, '|' ORDER BY resource_type) AS t FROM outlook GROUP BY 1) f USING (repo_id)""")
+LEFT JOIN (SELECT repo_id, string_agg(resource_type || ':' || predicted_need, '|' ORDER BY resource_type) AS t FROM outlook GROUP BY 1) f USING (repo_id)
+JOIN (SELECT repo_id, round_even(coalesce(mean_complexity, 10.0) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS predicted_complexity
+      FROM totals) p USING (repo_id)""")
 def _(spark, sf):
-    m = F.col("codebase_metrics")
+    m, outlook = F.col("codebase_metrics"), F.col("complexity_predictions")
     return _dashboard(spark, sf).select(
         "repo_id", _joined("subsystem_health", "name", "status", "complexity_trend").alias("subsystem_health"),
         _joined("refactor_alerts", "rank", "file_path", "severity").alias("refactor_alerts"),
@@ -266,7 +269,9 @@ def _(spark, sf):
                                   "code_quality_score")],
         _joined("risk_areas", "rank", "area_name", "risk_level").alias("risk_areas"),
         _joined("maintenance_predictions", "maintenance_type", "predicted_frequency").alias("maintenance"),
-        _joined("resource_predictions", "resource_type", "predicted_need").alias("resources"), "generated_at")
+        _joined("resource_predictions", "resource_type", "predicted_need").alias("resources"),
+        _joined("complexity_predictions", "component", "trend", "confidence_score").alias("outlook_text"),
+        outlook[0]["predicted_complexity"].alias("outlook"), "generated_at")
 
 
 @query("k1_insights_documents")
@@ -274,31 +279,55 @@ def _(spark, sf):
     return pretty_json(insights_document(_dashboard(spark, sf)))
 
 
-@query("a17_evolution_insights", ROLLUP + TOTALS + f""", spots AS (
-SELECT repo_id, file_path, count(*) AS n, row_number() OVER (PARTITION BY repo_id ORDER BY count(*) DESC, file_path) AS rank
-FROM gappy GROUP BY 1, 2 QUALIFY rank <= 10),
-kinds AS (SELECT repo_id, CASE
-    WHEN contains(lower(message), 'extract') OR contains(lower(message), 'split') THEN 'extract_method'
-    WHEN contains(lower(message), 'rename') THEN 'rename' WHEN contains(lower(message), 'move') THEN 'move'
-    WHEN contains(lower(message), 'inline') THEN 'inline' END AS pattern, count(*) AS n
-  FROM commits WHERE contains(lower(message), 'refactor') GROUP BY 1, 2),
+def _evolution(spark, sf):
+    c, g = X.commits(spark, sf, parents=True), X.gappy_file_changes(spark, sf)
+    trends = H.complexity_trends(c, g)
+    metrics = I.codebase_metrics(c, trends, X.head_files(spark, sf))
+    return H.evolution_insights(c, g, metrics, trends, X.importance(spark, sf))
+
+
+@query("a17_evolution_insights", ROLLUP + TOTALS + f""",
 curve AS (SELECT repo_id, count(*) AS n_days, round(sum(mean), 4) AS day_sum FROM (
   SELECT g.repo_id, CAST(c.committed_at AS DATE) AS day, avg(complexity_after) AS mean
   FROM gappy g JOIN commits c USING (repo_id, commit_hash) WHERE complexity_after IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
 SELECT c.repo_id, {sql_time('c.a')} AS start_date, {sql_time('c.b')} AS end_date, c.n AS total_commits,
-       s.t AS hotspots, k.t AS refactoring_patterns, v.n_days, v.day_sum, m.code_quality_score AS health_score
+       v.n_days, v.day_sum, m.code_quality_score AS health_score
 FROM (SELECT repo_id, min(committed_at) AS a, max(committed_at) AS b, count(*) AS n FROM commits GROUP BY 1) c
-LEFT JOIN (SELECT repo_id, string_agg(rank || ':' || file_path || ':' || n, '|' ORDER BY rank) AS t FROM spots GROUP BY 1) s USING (repo_id)
-LEFT JOIN (SELECT repo_id, string_agg(pattern || ':' || n, '|' ORDER BY pattern) AS t FROM kinds WHERE pattern IS NOT NULL GROUP BY 1) k USING (repo_id)
 LEFT JOIN curve v USING (repo_id) LEFT JOIN metrics m USING (repo_id)""")
 def _(spark, sf):
-    c, g = X.commits(spark, sf, parents=True), X.gappy_file_changes(spark, sf)
-    metrics = I.codebase_metrics(c, H.complexity_trends(c, g), X.head_files(spark, sf))
-    rows = H.evolution_insights(c, g, metrics)
     curve = F.col("complexity_trend")
-    return rows.select(
-        "repo_id", "start_date", "end_date", "total_commits",
-        _joined("hotspots", "rank", "file_path", "change_count").alias("hotspots"),
-        _joined("refactoring_patterns", "pattern", "frequency").alias("refactoring_patterns"),
-        F.size(curve).alias("n_days"),
+    return _evolution(spark, sf).header.select(
+        "repo_id", "start_date", "end_date", "total_commits", F.size(curve).alias("n_days"),
         F.round(F.aggregate(curve, F.lit(0.0), lambda a, x: a + x), 4).alias("day_sum"), "health_score")
+
+
+@query("a17_evolution_hotspots", f""", touched AS (
+SELECT g.*, c.committed_at, c.author FROM gappy g JOIN commits c USING (repo_id, commit_hash))
+SELECT t.repo_id, t.file_path, t.change_frequency, t.last_modified,
+       round(CASE WHEN r.complexity IS NULL THEN 0.0
+             ELSE 0.4 * least(r.complexity / 30, 1.0) + 0.6 * least(r.change_frequency / 15, 1.0) END, 6) AS risk_score,
+       t.contributors
+FROM (SELECT repo_id, file_path, count(*) AS change_frequency, {sql_time('max(committed_at)')} AS last_modified,
+             string_agg(DISTINCT author, '|' ORDER BY author) AS contributors FROM touched GROUP BY 1, 2) t
+LEFT JOIN trends r USING (repo_id, file_path)""")
+def _(spark, sf):
+    return _evolution(spark, sf).hotspots.select(
+        "repo_id", "file_path", "change_frequency", "last_modified", "risk_score",
+        F.array_join("contributors", "|").alias("contributors"))
+
+
+@query("a17_evolution_patterns", """, found AS (
+SELECT * FROM (SELECT *, CASE
+    WHEN contains(lower(message), 'extract') OR contains(lower(message), 'split') THEN 'extract_method'
+    WHEN contains(lower(message), 'rename') THEN 'rename' WHEN contains(lower(message), 'move') THEN 'move'
+    WHEN contains(lower(message), 'inline') THEN 'inline' END AS pattern
+  FROM commits WHERE contains(lower(message), 'refactor')) WHERE pattern IS NOT NULL),
+impact AS (
+SELECT g.repo_id, g.commit_hash, g.file_path, 0.4 * (g.insertions + g.deletions) + 0.3 * abs(d.complexity_delta)
+       + 0.3 * coalesce(i.importance, 0.0) AS impact
+FROM gappy g JOIN deltas d USING (repo_id, commit_hash) LEFT JOIN importance i USING (repo_id, commit_hash))
+SELECT f.repo_id, f.pattern, count(DISTINCT f.commit_hash) AS frequency,
+       count(DISTINCT i.file_path) AS n_affected_files, round(coalesce(sum(i.impact), 0.0), 6) AS impact_score
+FROM found f LEFT JOIN impact i USING (repo_id, commit_hash) GROUP BY 1, 2""")
+def _(spark, sf):
+    return _evolution(spark, sf).patterns

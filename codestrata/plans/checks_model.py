@@ -1,8 +1,11 @@
 """Checked queries: the hotspot model and the streams."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import history as H, hotspot_model as M, insights as I
+from ..session import shared_folder
 from ..streaming import rolling
 from . import workload as X
 from .checks_insights import SCORES, SPREAD
@@ -189,24 +192,40 @@ def _(spark, sf):
     return M.file_features(H.complexity_trends(X.commits(spark, sf), X.gappy_file_changes(spark, sf)))
 
 
-def _event_stream(spark, sf):
-    """Events as touches: the user is the repository, the event type the file."""
-    schema = X.table(spark, sf, "events").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-            .select(F.col("ts").cast("timestamp").alias("committed_at"),
-                    F.concat(F.lit("repo"), F.col("user_id").cast("string")).alias("repo_id"),
-                    F.col("event_type").alias("file_path")))
+LATE = "user_id % 10 = 3"
+
+
+def _streamed(spark, sf, build):
+    """Events as touches (the user is the repository, the event type the file), streamed in three steps: all but the
+    late users, the late users, and the row that closes the stream."""
+    base = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events = X.table(spark, sf, "events")
+    touch = [F.col("ts").cast("timestamp").alias("committed_at"),
+             F.concat(F.lit("repo"), F.col("user_id").cast("string")).alias("repo_id"),
+             F.col("event_type").alias("file_path")]
+    first, late = events.filter(f"NOT {LATE}").select(*touch), events.filter(LATE).select(*touch)
+    for step in (first, late, rolling.close(first, "2100-01-01 00:00:00")):
+        step.write.mode("append").parquet(f"{base}/in")
+        found = rolling.drain(build(spark.readStream.schema(first.schema).parquet(f"{base}/in")), f"{base}/out")
+    return found
+
+
+# Rows of the late users count only in windows that end after the watermark the others left.
+WATERMARK = "(SELECT max(ts) - INTERVAL 1 DAY FROM events WHERE user_id % 10 <> 3)"
 
 
-@query("st1_rolling_hotspots", """, e AS (SELECT 'repo' || user_id AS repo_id, event_type AS file_path, ts FROM events),
+@query("st1_rolling_hotspots", f""", e AS (
+SELECT 'repo' || user_id AS repo_id, event_type AS file_path, ts, user_id % 10 = 3 AS late FROM events),
 w AS (SELECT e.*, date_trunc('day', ts) - to_days(CAST(d AS INT)) AS s FROM e, (SELECT unnest(range(0, 7)) AS d))
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(s + INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
-  repo_id, file_path, count(*) AS touches FROM w GROUP BY s, repo_id, file_path""")
+  repo_id, file_path, count(*) AS touches FROM w
+WHERE NOT late OR s + INTERVAL 7 DAY > {WATERMARK} GROUP BY s, repo_id, file_path""")
 def _(spark, sf):
-    return rolling.drain(rolling.rolling_hotspots(_event_stream(spark, sf), "7 days", "1 day"))
+    return _streamed(spark, sf, lambda rows: rolling.rolling_hotspots(rows, "7 days", "1 day"))
 
 
-@query("st2_daily_velocity", """
-SELECT strftime(ts, '%Y-%m-%d 00:00:00') AS day, 'repo' || user_id AS repo_id, count(*) AS commits FROM events GROUP BY 1, 2""")
+@query("st2_daily_velocity", f"""
+SELECT strftime(ts, '%Y-%m-%d 00:00:00') AS day, 'repo' || user_id AS repo_id, count(*) AS commits FROM events
+WHERE user_id % 10 <> 3 OR date_trunc('day', ts) + INTERVAL 1 DAY > {WATERMARK} GROUP BY 1, 2""")
 def _(spark, sf):
-    return rolling.drain(rolling.daily_velocity(_event_stream(spark, sf)))
+    return _streamed(spark, sf, rolling.daily_velocity)

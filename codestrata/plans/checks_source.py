@@ -141,23 +141,56 @@ def _(spark, sf):
     return G.high_coupling(X.page_links(spark, sf))
 
 
+RESOLVED = """, resolved AS (
+SELECT i.repo_id, i.src, p.file_path AS dst FROM imports i JOIN py p
+ON p.repo_id = i.repo_id AND i.dst = replace(regexp_replace(p.file_path, '\\.py$', ''), '/', '.'))"""
+
+
+def component_sql(edges: str) -> str:
+    return f""", nodes_ AS (SELECT repo_id, src AS node FROM {edges} UNION SELECT repo_id, dst FROM {edges}),
+reach(repo_id, a, b) AS (
+  SELECT DISTINCT repo_id, src, dst FROM {edges}
+  UNION SELECT r.repo_id, r.a, e.dst FROM reach r JOIN {edges} e ON e.repo_id = r.repo_id AND e.src = r.b),
+component_of AS (
+  SELECT n.repo_id, n.node, least(n.node, coalesce(min(y.b), n.node)) AS component
+  FROM nodes_ n LEFT JOIN (SELECT x.repo_id, x.a, x.b FROM reach x JOIN reach z
+    ON z.repo_id = x.repo_id AND z.a = x.b AND z.b = x.a) y ON y.repo_id = n.repo_id AND y.a = n.node GROUP BY 1, 2)"""
+
+
+def cycle_sql(edges: str) -> str:
+    """All elementary cycles; paths stay inside the components of ``component_sql``."""
+    return f""", inside AS (
+  SELECT DISTINCT e.repo_id, e.src, e.dst FROM {edges} e
+  JOIN component_of x ON x.repo_id = e.repo_id AND x.node = e.src
+  JOIN component_of y ON y.repo_id = e.repo_id AND y.node = e.dst AND y.component = x.component),
+walk(repo_id, start, last, path) AS (
+  SELECT repo_id, src, dst, [src, dst] FROM inside WHERE src < dst
+  UNION ALL SELECT w.repo_id, w.start, e.dst, list_append(w.path, e.dst)
+  FROM walk w JOIN inside e ON e.repo_id = w.repo_id AND e.src = w.last
+  WHERE e.dst > w.start AND NOT list_contains(w.path, e.dst)),
+cycles AS (
+  SELECT w.repo_id, w.path AS cycle FROM walk w
+  JOIN inside e ON e.repo_id = w.repo_id AND e.src = w.last AND e.dst = w.start
+  UNION ALL SELECT DISTINCT repo_id, [src] FROM {edges} WHERE src = dst)"""
+
+
 def _suggestions(spark, sf):
     blocks, files = _python(spark, sf)
-    edges = G.import_edges(blocks, files)
-    return (R.duplicate_suggestions(files).unionByName(R.complexity_suggestions(blocks, files))
-            .unionByName(R.cycle_suggestions(G.circular_dependencies(edges)))
-            .unionByName(R.coupling_suggestions(G.high_coupling(edges)))), files
+    return R.refactor_analysis(blocks, files), files
 
 
-ANALYSIS = _duplicates_sql("py_lines", 5) + DEGREES.format("imports") + f""", suggestions AS (
+ANALYSIS = (_duplicates_sql("py_lines", 5) + DEGREES.format("imports") + RESOLVED + component_sql("resolved")
+            + cycle_sql("resolved") + f""", suggestions AS (
 {DUPLICATE_ROW} UNION ALL {COMPLEX_ROW} UNION ALL
+SELECT repo_id, cycle[1], 'dependency', 'Found circular dependency between ' || array_to_string(cycle, ', '),
+       'Circular dependencies make code harder to maintain and test', 'High', NULL, 'Consider restructuring these modules to break the dependency cycle' FROM cycles UNION ALL
 SELECT repo_id, node, 'dependency', 'Module has high coupling (' || in_degree || ' incoming, ' || out_degree || ' outgoing dependencies)',
        'High coupling makes the codebase more rigid and harder to change', 'Medium', NULL,
        'Consider splitting this module into smaller, more focused modules'
-FROM degrees WHERE in_degree + out_degree > 10)"""
+FROM degrees WHERE in_degree + out_degree > 10)""")
 
 
-@query("r13_refactor_analysis", ANALYSIS + "SELECT * FROM suggestions", use="python")
+@query("r13_refactor_analysis", ANALYSIS + "SELECT * FROM suggestions", use="python", recursive=True)
 def _(spark, sf):
     return _suggestions(spark, sf)[0]
 
@@ -166,14 +199,14 @@ def _(spark, sf):
 SELECT f.repo_id, f.n AS n_files, s.n AS n_suggestions, (round_even((greatest(0.0, 100 - (s.w / f.n) * 20)) * 100.0::DOUBLE, 0) / 100.0::DOUBLE) AS overall_health
 FROM (SELECT repo_id, count(*) AS n FROM py_files GROUP BY 1) f
 JOIN (SELECT repo_id, count(*) AS n, sum(CASE suggestion_type WHEN 'duplication' THEN 1.0::DOUBLE WHEN 'complexity' THEN 1.5 ELSE 2.0 END) AS w
-      FROM suggestions GROUP BY 1) s USING (repo_id)""", use="python")
+      FROM suggestions GROUP BY 1) s USING (repo_id)""", use="python", recursive=True)
 def _(spark, sf):
     return R.code_health(*_suggestions(spark, sf))
 
 
 @query("r15_prioritize", ANALYSIS + """
 SELECT repo_id, CAST(CASE suggestion_type WHEN 'duplication' THEN 1 WHEN 'complexity' THEN 2 ELSE 3 END AS BIGINT) AS priority,
-       file_path, description FROM suggestions""", use="python")
+       file_path, description FROM suggestions""", use="python", recursive=True)
 def _(spark, sf):
     return R.prioritize(_suggestions(spark, sf)[0]).select("repo_id", "priority", "file_path", "description")
 

@@ -78,7 +78,8 @@ def _(spark, sf):
 
 
 @query("t7_lead_summary", """
-SELECT repo_id, file_path, split_part(content, chr(10), 1)[1:100] AS summary FROM files""", use="lines")
+SELECT repo_id, file_path, regexp_replace(regexp_extract(content, '(?s)\\A(.*?)(?:\\n[ \\t]*\\n.*)?\\z', 1),
+       '[ \\t\\r]*\\n[ \\t\\r]*', ' ', 'g') AS summary FROM files""", use="lines")
 def _(spark, sf):
     return X.source_files(spark, sf).select("repo_id", "file_path", rules.lead_summary(F.col("content")).alias("summary"))
 
@@ -95,7 +96,7 @@ SELECT c.repo_id, c.commit_hash, c.message || ' ' || coalesce(string_agg(m.chang
        ORDER BY m.change_type || ' in ' || m.file_path), '') AS text
 FROM commits c LEFT JOIN modified m USING (repo_id, commit_hash) GROUP BY c.repo_id, c.commit_hash, c.message""")
 def _(spark, sf):
-    return T.importance_texts(X.commits(spark, sf), X.gappy_file_changes(spark, sf)).drop("part")
+    return T.importance_texts(X.commits(spark, sf), X.gappy_file_changes(spark, sf))
 
 
 VECTORS = """, v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings)"""
@@ -136,10 +137,14 @@ def _(spark, sf):
     return S.most_similar(_centers(spark, sf), X.table(spark, sf, "embeddings"), k=5, threshold=0.0)
 
 
-@query("e5_embed_text")
+@query("e5_embed_text", """
+SELECT repo_id, file_path, CAST(len(string_split_regex(lower(content), '[ \\t\\n\\x0B\\f\\r]')) AS BIGINT) AS raw_tokens
+FROM files""", use="lines")
 def _(spark, sf):
-    files = X.source_files(spark, sf)
-    return S.importance(S.embed_text(files, "content")).select("repo_id", "file_path", "importance")
+    rows = S.importance(S.embed_text(X.source_files(spark, sf), "content"))
+    # What SQL can state: the counts behind a vector add up to the text's tokens, trailing empty ones aside.
+    trailing = F.size(F.split(F.lower("content"), r"\s", -1)) - F.size(F.split(F.lower("content"), r"\s", 0))
+    return rows.select("repo_id", "file_path", (F.col("n_tokens") + trailing).cast("long").alias("raw_tokens"))
 
 
 @query("f1_hsv_hex", f"SELECT repo_id, commit_hash, file_path, {color_sql('(lines % 101) / 100.0::DOUBLE')} AS color FROM changes")

@@ -4,9 +4,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import insights as I
-from ..operators.grouping import gather
+from ..operators.grouping import nested
 from ..operators.history import complexity_trends
 from ..operators.hotspot_model import file_scores, subsystem_scores
+from ..session import cut_lineage
 
 
 def _section(rows: DataFrame, name: str, *fields: str) -> DataFrame:
@@ -17,24 +18,24 @@ def _section(rows: DataFrame, name: str, *fields: str) -> DataFrame:
 
 def dashboard(commits: DataFrame, file_changes: DataFrame, head_files: DataFrame | None = None,
               as_of: Column | None = None, model: PipelineModel | None = None) -> DataFrame:
-    """One row per repository and part; part 0 carries everything but surplus subsystems.
+    """One row per repository.
 
-    With a ``model`` health and alerts use its scores, without one the rule scores.
+    With a ``model`` health and alerts use its scores, without one the rule scores. Alerts and risk areas
+    hold at most ten rows, the forecasts at most three, the health of subsystems one per folder.
 
-    Alerts and risk areas hold at most ten rows and the forecasts at most three. Subsystems can
-    be many, so a repository with very many of them gets further parts.
+    The per-file trends and the totals are written once to the shared folder: five sections read them.
     """
     stamp = F.current_timestamp() if as_of is None else as_of
-    trends = complexity_trends(commits, file_changes)
-    totals = I.repo_totals(commits, trends)
+    trends = cut_lineage(complexity_trends(commits, file_changes))
+    totals = cut_lineage(I.repo_totals(commits, trends))
     rollup = I.subsystem_rollup(commits, file_changes)
-    health = gather(
+    health = nested(
         I.subsystem_health(rollup, stamp, subsystem_scores(model, rollup)), ["repo_id"], F.struct("name", "status", "complexity_trend", "last_updated"), "subsystem_health")
     alerts = _section(I.refactor_alerts(trends, file_scores(model, trends)), "refactor_alerts", "rank", "file_path",
                       "reason", "severity", "suggested_action", "estimated_effort")
     risks = _section(I.risk_areas(trends), "risk_areas", "rank", "area_name", "risk_level",
                      "potential_impact", "mitigation_strategy")
-    metrics = I.codebase_metrics(commits, trends, head_files, stamp).select(
+    metrics = I.codebase_metrics(commits, trends, head_files, stamp, totals).select(
         "repo_id", F.struct("total_files", "total_commits", "average_complexity",
                             "technical_debt_ratio", "code_quality_score",
                             "last_analyzed").alias("codebase_metrics"))
@@ -47,13 +48,12 @@ def dashboard(commits: DataFrame, file_changes: DataFrame, head_files: DataFrame
     base = metrics
     for section in (alerts, risks, resources, upkeep, outlook):
         base = base.join(section, "repo_id", "left")
-    base = base.withColumn("part", F.lit(0).cast("long"))
-    joined = base.join(health, ["repo_id", "part"], "full")
+    joined = base.join(health, "repo_id", "left")
     empty = {f.name: F.array().cast(f.dataType) for f in joined.schema
              if f.dataType.typeName() == "array"}
     filled = [F.coalesce(F.col(c), empty[c]).alias(c) if c in empty else F.col(c) for c in joined.columns]
     return joined.select(*filled).select(
-        "repo_id", "part", "subsystem_health", "refactor_alerts", "codebase_metrics",
+        "repo_id", "subsystem_health", "refactor_alerts", "codebase_metrics",
         "resource_predictions", "risk_areas", "maintenance_predictions",
         "complexity_predictions", stamp.alias("generated_at"))
 
@@ -61,8 +61,7 @@ def dashboard(commits: DataFrame, file_changes: DataFrame, head_files: DataFrame
 def insights_document(dash: DataFrame) -> DataFrame:
     """The dashboard and its sections in the layout of the exported JSON document."""
     return dash.select(
-        "repo_id", "part",
-        F.struct(*[c for c in dash.columns if c not in ("repo_id", "part")]).alias("dashboard"),
+        "repo_id", F.struct(*[c for c in dash.columns if c != "repo_id"]).alias("dashboard"),
         "subsystem_health", "refactor_alerts", F.col("codebase_metrics").alias("metrics"),
         F.struct(F.col("resource_predictions").alias("resource"),
                  F.col("maintenance_predictions").alias("maintenance"),

@@ -44,7 +44,7 @@ gappy AS (
 importance AS (
   SELECT c.repo_id, c.commit_hash,
          sqrt(list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN e.embedding])) AS importance
-  FROM commits c JOIN embeddings e ON e.vec_id = c.commit_hash % 500),
+  FROM commits c JOIN embeddings e ON e.vec_id = c.commit_hash % (SELECT count(*) FROM embeddings)),
 deltas AS (
   SELECT c.repo_id, c.commit_hash,
          CASE WHEN any_value(c.parent_hash) IS NULL THEN 0.0
@@ -64,11 +64,12 @@ PYTHON_SQL = """
 py AS (
   SELECT 'repo' || (p_partkey % 10) AS repo_id, p_partkey AS k, p_partkey % 23 AS m,
          'pkg' || (p_partkey % 100 % 7) || '/mod_' || p_partkey || '.py' AS file_path,
-         (p_partkey * 11 + 10) % 100 AS t
+         10 * (p_partkey // 80 * 8 + CASE WHEN p_partkey // 10 % 8 < 1 + p_partkey // 80 % 7
+                THEN (p_partkey // 10 % 8 + 1) % (1 + p_partkey // 80 % 7) ELSE p_partkey // 10 % 8 - 1 END) + p_partkey % 10 AS t
   FROM part),
 py_files AS (
   SELECT repo_id, file_path, CASE WHEN k % 29 = 0 THEN 'def broken(:' || chr(10) ELSE '' END ||
-         replace('import lib' || (k % 5) || '.core, util' || (k % 3) || '~from pkg' || (t % 7) || '.mod_' || t ||
+         replace('import lib' || (k % 5) || '.core, util' || (k % 3) || '~from pkg' || (t % 100 % 7) || '.mod_' || t ||
                  ' import run~from . import local~~~def run(a, b):~' ||
                  repeat('    if a > b:~        a -= 1~', CAST(m AS INT)) ||
                  '    return a~~~class Box:~    def get(self):~        return 1 if self.v else 0~~' ||
@@ -86,7 +87,7 @@ blocks AS (
 imports AS (
   SELECT repo_id, file_path AS src, 'lib' || (k % 5) || '.core' AS dst FROM ok
   UNION SELECT repo_id, file_path, 'util' || (k % 3) FROM ok
-  UNION SELECT repo_id, file_path, 'pkg' || (t % 7) || '.mod_' || t FROM ok)"""
+  UNION SELECT repo_id, file_path, 'pkg' || (t % 100 % 7) || '.mod_' || t FROM ok)"""
 
 LINES_SQL = """
 files AS (SELECT lang AS repo_id, 'src' || doc_id || '.py' AS file_path, text AS content FROM documents),
@@ -104,9 +105,14 @@ links AS (
          unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages)"""
 
 CYCLES_SQL = """
+pb AS (
+  SELECT p_partkey AS k, p_partkey // 8 AS b, p_partkey % 8 AS p, 1 + (p_partkey // 8) % 7 AS s,
+         'repo' || ((p_partkey // 8) // 3 % 2) AS repo_id FROM part),
 pe AS (
-  SELECT DISTINCT 'repo' || (p_partkey % 2) AS repo_id, 'm' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS src,
-         'm' || lpad(CAST((p_partkey * 7 + 3) % 100 AS VARCHAR), 2, '0') AS dst FROM part)"""
+  SELECT repo_id, 'm' || lpad(CAST(k AS VARCHAR), 9, '0') AS src,
+         'm' || lpad(CAST(b * 8 + CASE WHEN p < s THEN (p + 1) % s ELSE p - 1 END AS VARCHAR), 9, '0') AS dst FROM pb
+  UNION ALL SELECT repo_id, 'm' || lpad(CAST(k AS VARCHAR), 9, '0'), 'm' || lpad(CAST(b * 8 + 8 AS VARCHAR), 9, '0')
+  FROM pb WHERE p = 7 AND b % 3 <> 2)"""
 
 PARTS = {"history": HISTORY_SQL, "python": PYTHON_SQL, "lines": LINES_SQL, "links": LINKS_SQL, "cycles": CYCLES_SQL}
 

@@ -89,7 +89,10 @@ def importance(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
     from ..functions.vectors import l2_norm
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("_vec"), l2_norm(F.col("embedding")).alias("importance"))
-    return (commits(spark, sf_dir, n).select("repo_id", "commit_hash", (F.col("commit_hash") % 500).alias("_vec"))
+    # Every vector is somebody's: the modulus is the number of vectors.
+    total = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("_total"))
+    return (commits(spark, sf_dir, n).join(F.broadcast(total))
+            .select("repo_id", "commit_hash", (F.col("commit_hash") % F.col("_total")).alias("_vec"))
             .join(vectors, "_vec").select("repo_id", "commit_hash", "importance"))
 
 
@@ -102,11 +105,17 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def python_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Python module per part; its key fixes how many branches and imports it has."""
-    k = F.col("p_partkey")
+    """One Python module per part; its key fixes how many branches it has and which module it imports.
+
+    Blocks of eight modules of a repository hold an import cycle of one to seven and a tail into it.
+    """
+    k = F.col("p_partkey").cast("long")
+    block, place = F.floor(k / 80), F.floor(k / 10) % 8
+    size = 1 + block % 7
+    t = 10 * (block * 8 + F.when(place < size, (place + 1) % size).otherwise(place - 1)) + k % 10
     content = F.concat(
         F.lit("import lib"), _text(k % 5), F.lit(".core, util"), _text(k % 3), F.lit("\n"),
-        F.lit("from pkg"), _text((k * 11 + 10) % 100 % 7), F.lit(".mod_"), _text((k * 11 + 10) % 100),
+        F.lit("from pkg"), _text(t % 100 % 7), F.lit(".mod_"), _text(t),
         F.lit(" import run\nfrom . import local\n\n\n"),
         F.lit("def run(a, b):\n"), F.repeat(F.lit("    if a > b:\n        a -= 1\n"), (k % 23).cast("int")),
         F.lit("    return a\n\n\n"),
@@ -142,10 +151,16 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cyclic edges between a hundred nodes per repository."""
-    k = F.col("p_partkey")
-    node = lambda c: F.concat(F.lit("m"), F.lpad(_text(c), 2, "0"))
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("repo"), _text(k % 2)).alias("repo_id"),
-        node(k % 100).alias("src"), node((k * 7 + 3) % 100).alias("dst"),
-        F.lit("import").alias("type")).distinct()
+    """One edge per part. Blocks of eight keys hold a cycle of one to seven nodes and a tail that runs into it;
+    the last key of a block also leads on to the next, three blocks in a row."""
+    k = F.col("p_partkey").cast("long")
+    block, place = F.floor(k / 8), k % 8
+    size = 1 + block % 7
+    inside = block * 8 + F.when(place < size, (place + 1) % size).otherwise(place - 1)
+    node = lambda c: F.concat(F.lit("m"), F.lpad(_text(c), 9, "0"))
+    repo = F.concat(F.lit("repo"), _text(F.floor(block / 3) % 2)).alias("repo_id")
+    rows = table(spark, sf_dir, "part")
+    one = rows.select(repo, node(k).alias("src"), node(inside).alias("dst"), F.lit("import").alias("type"))
+    on = rows.filter((place == 7) & (block % 3 != 2)).select(
+        repo, node(k).alias("src"), node(block * 8 + 8).alias("dst"), F.lit("import").alias("type"))
+    return one.unionByName(on)

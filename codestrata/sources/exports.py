@@ -19,14 +19,19 @@ def plain_path(uri: Column) -> Column:
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def repo_from_file(uri: Column) -> Column:
-    """File name without its folders and its last ending."""
-    return F.regexp_replace(F.substring_index(plain_path(uri), "/", -1), "\\.[^.]*$", "")
+def repo_from_file(uri: Column, folder: str) -> Column:
+    """Path below the folder that is read, without its last ending: files of one name in two folders stay apart.
+
+    ``folder`` is the pattern of ``_folder_pattern``. A single file that is read by its own path keeps its name.
+    """
+    path = plain_path(uri)
+    below = F.element_at(F.split(path, folder, 2), -1)
+    return F.regexp_replace(F.when(below == path, F.substring_index(path, "/", -1)).otherwise(below), "\\.[^./]*$", "")
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.read.option("lineSep", RECORD).option("recursiveFileLookup", True).text(path)
-           .select(repo_from_file(F.col("_metadata.file_path")).alias("repo_id"), "value")
+           .select(repo_from_file(F.col("_metadata.file_path"), _folder_pattern(spark, path)).alias("repo_id"), "value")
            .filter(F.col("value").contains(FIELD)))
     head = F.split(F.substring_index("value", BODY, 1), FIELD, 6)
     return raw.select(
@@ -66,7 +71,7 @@ def load_head_files(spark: SparkSession, path: str) -> DataFrame:
     """``git ls-tree -r --name-only HEAD`` listings, one file per repository."""
     return (spark.read.option("recursiveFileLookup", True).text(path)
             .filter(F.col("value") != "")
-            .select(repo_from_file(F.col("_metadata.file_path")).alias("repo_id"),
+            .select(repo_from_file(F.col("_metadata.file_path"), _folder_pattern(spark, path)).alias("repo_id"),
                     F.col("value").alias("file_path")))
 
 

@@ -26,21 +26,31 @@ def daily_velocity(commits: DataFrame, watermark: str = "1 day", time: str = "co
 
 
 def drain(result: DataFrame, folder: str | None = None) -> DataFrame:
-    """Run an aggregating stream over all data there is and return its final state.
+    """Run a windowed stream over all data there is and return the windows that are final.
 
-    Every micro-batch replaces a table in the shared folder; the stream's own progress is
-    kept beside it, so a restarted run goes on where it stopped.
+    Append mode: a window is written once, when the watermark has passed its end, and its state goes at that
+    moment; rows later than the watermark are dropped, and windows still open wait in the state. ``close``
+    ends a stream. The stream's progress is kept beside the result, so a run in the same folder goes on where the
+    last one stopped.
     """
     spark = result.sparkSession
     base = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     target = f"{base}/result"
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
-    # A stream without any data still leaves a readable, empty table.
+    # A stream without any final window still leaves a readable, empty table.
     spark.createDataFrame([], result.schema).write.mode("ignore").parquet(target)
-    query = (result.writeStream.outputMode("complete").foreachBatch(replace)
+    query = (result.writeStream.outputMode("append").foreachBatch(
+                 lambda batch, number: batch.write.mode("overwrite").parquet(f"{target}/batch={number}"))
              .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start())
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(target)
+    return spark.read.schema(result.schema).option("recursiveFileLookup", "true").parquet(target)
+
+
+def close(rows: DataFrame, at: str, time: str = "committed_at") -> DataFrame:
+    """One row without a key at time ``at``: appended to a stream's source it moves the watermark past all windows
+    that end before ``at`` less the watermark's delay, and so closes them.
+
+    Windows of the row itself carry a null key and stay open.
+    """
+    one = rows.sparkSession.range(1)
+    return one.select(*[F.lit(at).cast(f.dataType).alias(f.name) if f.name == time
+                        else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])

@@ -68,7 +68,7 @@ def test_cycles(spark):
     for repo, pairs in sets.items():
         df = edges(spark, pairs, repo)
         for parts in (None, G.strongly_connected(df)):
-            got = {tuple(r["cycle"]) for r in G.circular_dependencies(df, 4, parts).collect()}
+            got = {tuple(r["cycle"]) for r in G.circular_dependencies(df, parts, 4).collect()}
             assert got == brute_cycles(pairs, 4), repo
 
 
@@ -78,8 +78,20 @@ def test_modularity_of_two_triangles(spark):
     parts = spark.createDataFrame([("r", n, "x" if n in "abc" else "y") for n in "abcdef"],
                                   "repo_id string, node string, community string")
     assert abs(G.modularity(df, parts).collect()[0]["modularity"] - 5 / 14) < 1e-12
-    found = dict(rows(G.propagated_communities(df), "node", "community"))
-    assert set(found) == set("abcdef") and G.modularity(df, G.propagated_communities(df)).count() == 1
+    assert dict(rows(G.connected_communities(df), "node", "community")) == dict.fromkeys("abcdef", "a")
+
+
+def test_connected_communities_of_a_chain_and_stars(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(70)]
+    star = [("h", f"s{i:02}") for i in range(20)]
+    found = dict(rows(G.connected_communities(edges(spark, chain + star + [("x", "x")])), "node", "community"))
+    assert found == {n: "c000" for p in chain for n in p} | {n: "h" for p in star for n in p} | {"x": "x"}
+
+
+def test_a_cycle_of_six_is_found(spark):
+    six = [(f"n{i}", f"n{(i + 1) % 6}") for i in range(6)]
+    found = G.circular_dependencies(edges(spark, six + [("n0", "out")])).collect()
+    assert [r["cycle"] for r in found] == [[f"n{i}" for i in range(6)]]
 
 
 def test_degrees_count_distinct_edges(spark):

@@ -4,18 +4,15 @@ import numpy as np
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from codestrata.operators.grouping import exact_quantiles, gather, hash_share, small_enough
-from tests.conftest import plan_of, rows
+from codestrata.operators.grouping import exact_quantiles, hash_share, nested
+from tests.conftest import rows
 
 
-def test_gather_splits_a_hot_key(spark):
-    df = spark.range(5000).select(F.when(F.col("id") < 4990, "hot").otherwise("cold").alias("k"),
-                                  F.col("id").cast("string").alias("v"))
-    parts = gather(df, ["k"], F.col("v"), "vs", part_rows=100).collect()
-    hot = [p["vs"] for p in parts if p["k"] == "hot"]
-    assert len(hot) == 50 and max(map(len, hot)) < 200
-    assert sorted(v for part in hot for v in part) == sorted(str(i) for i in range(4990))
-    assert [(p["part"], p["vs"]) for p in parts if p["k"] == "cold"] == [(0, sorted(str(i) for i in range(4990, 5000)))]
+def test_nested_has_one_shape_at_any_size(spark):
+    df = spark.range(25_003).select(F.when(F.col("id") < 25_000, "hot").otherwise("cold").alias("k"),
+                                    F.col("id").cast("string").alias("v"))
+    found = {r["k"]: r["vs"] for r in nested(df, ["k"], F.col("v"), "vs").collect()}
+    assert found == {"hot": sorted(map(str, range(25_000))), "cold": ["25000", "25001", "25002"]}
 
 
 def test_hash_share_is_exact(spark):
@@ -43,15 +40,3 @@ def test_quantiles_with_a_far_outlier(spark):
     values = [1e12] + [float(i % 1000) for i in range(2, 10001)]
     got = exact_quantiles(df, ["k"], {"m": ("v", 0.5), "h": ("v", 0.9)}).collect()[0]
     assert (got["m"], got["h"]) == (np.quantile(values, 0.5), np.quantile(values, 0.9))
-
-
-def test_broadcast_only_below_the_bound(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
-    try:
-        big, small = spark.range(1000), spark.range(50)
-        assert "BroadcastHashJoin" in plan_of(big.join(small_enough(small, 50), "id"))
-        assert "BroadcastHashJoin" not in plan_of(big.join(small_enough(small, 49), "id"))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

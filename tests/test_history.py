@@ -60,12 +60,24 @@ def test_window_keeps_the_newest_commits(spark):
     assert rows(H.complexity_trends(c, f), "change_frequency", "complexity") == [(200, 100.0)]
 
 
-def test_join_without_broadcast_gives_the_same(spark, monkeypatch):
-    c = commits(spark, [(f"{i:03}", i // 2, "x", "m") for i in range(300)])
-    f = changes(spark, [(f"{i:03}", f"p{i % 7}", 1, 1, 0.0, float(i)) for i in range(300)])
-    before = rows(H.complexity_trends(c, f))
-    monkeypatch.setattr(H, "small_enough", lambda df: df)
-    assert rows(H.complexity_trends(c, f)) == before
+def test_wide_commit_keeps_its_shape(spark):
+    c = commits(spark, [("wide", 0, "x", "Refactor: move module"), ("thin", 1, "x", "Refactor: move module")])
+    f = changes(spark, [("wide", f"p{i:05}", 1, 1, 0.0, 1.0) for i in range(25_000)] +
+                [("thin", f"p{i}", 1, 1, 0.0, 1.0) for i in range(3)])
+    for found in (H.commit_statistics(c, f), H.refactoring_patterns(c, f).filter("commit_hash is not null")):
+        assert rows(found.select("commit_hash", F.size("files").alias("n"))) == [("thin", 3), ("wide", 25_000)]
+    line = H.timeline(c, f)
+    assert rows(line.select("commit_hash", F.size("changes").alias("n"))) == [("thin", 3), ("wide", 25_000)]
+
+
+def test_limits_cut_the_touches_first(spark):
+    c = commits(spark, [(f"{i:03}", i, "x", "m") for i in range(40)])
+    f = changes(spark, [(f"{i:03}", f"a/p{i % 7}", 1, 1, 0.0, float(i)) for i in range(40)])
+    all_rows = {r["commit_hash"]: r["changes"] for r in H.timeline(c, f).collect()}
+    start = c.agg(F.max("committed_at")).first()[0]
+    kept = H.timeline(c, f, start=str(start)).collect()
+    assert len(kept) == 1 and kept[0]["changes"] == all_rows[kept[0]["commit_hash"]]
+    assert H.timeline_rows(c, f, start=str(start)).count() == 1
 
 
 def test_healthy_subsystem(spark):

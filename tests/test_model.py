@@ -102,9 +102,9 @@ def test_most_similar_in_blocks(spark):
         assert sorted(got) == _brute(probes, corpus, 4, 0.2)
 
 
-def test_text_vectors_have_unit_length(spark):
-    df = spark.createDataFrame([("fix the bug",), ("add a feature",), ("fix the loader bug",)], ["message"])
+def test_importance_tells_texts_apart(spark):
+    df = spark.createDataFrame([("fix the bug",), ("add a feature",), ("fix the loader bug",), (None,)], "message string")
     out = S.importance(S.embed_text(df, "message", dimensions=64)).collect()
-    assert all(abs(r["importance"] - 1) < 1e-6 for r in out)
-    one = np.array(out[0]["embedding"])
-    assert one @ np.array(out[2]["embedding"]) > one @ np.array(out[1]["embedding"])
+    assert [r["n_tokens"] for r in out] == [3, 3, 4, 1] and len({round(r["importance"], 6) for r in out[:3]}) == 3
+    one, two, three = (np.array(out[k]["embedding"]) / out[k]["importance"] for k in (0, 1, 2))
+    assert one @ three > one @ two

@@ -55,8 +55,9 @@ def test_purpose_texts(spark):
 
 
 def test_lead_summary(spark):
-    assert one(spark, rules.lead_summary(F.col("m")), m="x" * 150 + "\nrest") == "x" * 100
-    assert one(spark, rules.lead_summary(F.col("m")), m="first\nsecond") == "first"
+    assert one(spark, rules.lead_summary(F.col("m")), m="x" * 150 + "\n\nrest") == "x" * 150
+    assert one(spark, rules.lead_summary(F.col("m")), m="first\nsecond\n \nbody\n\nmore") == "first second"
+    assert one(spark, rules.lead_summary(F.col("m")), m="") == ""
 
 
 def test_lines_follow_python(spark):

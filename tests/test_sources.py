@@ -37,6 +37,13 @@ def test_commits(spark, dump):
     assert one["c1"]["committed_at"].isoformat().startswith("2024-01-02")
 
 
+def test_equal_names_in_two_folders_stay_apart(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "web.log").write_text(DUMP, encoding="utf-8")
+    assert {r["repo_id"] for r in S.load_commits(spark, str(tmp_path)).collect()} == {"a/web", "b/web"}
+
+
 def test_file_changes(spark, dump):
     df = S.load_file_changes(spark, dump).filter("repo_id = 'two'")
     assert rows(df, "commit_hash", "file_path", "insertions", "deletions", "lines") == [
@@ -157,9 +164,11 @@ def test_stream_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     batch = _touches(spark, [("r", f"f{i % 3}", f"2024-01-{1 + i % 20:02} 05:00:00") for i in range(60)])
     batch.repartition(3).write.parquet(folder)
-    drained = rolling.drain(rolling.rolling_hotspots(_touch_stream(spark, folder), "7 days", "1 day"), str(tmp_path / "out"))
+    rolling.close(batch, "2024-03-01 00:00:00").write.mode("append").parquet(folder)
+    drained = rolling.drain(rolling.rolling_hotspots(_touch_stream(spark, folder), "7 days", "1 day", "25 days"),
+                            str(tmp_path / "out"))
     assert rows(drained) == rows(rolling.rolling_hotspots(batch, "7 days", "1 day"))
-    daily = rolling.drain(rolling.daily_velocity(_touch_stream(spark, folder)))
+    daily = rolling.drain(rolling.daily_velocity(_touch_stream(spark, folder), "25 days"))
     assert rows(daily) == rows(rolling.daily_velocity(batch))
 
 
@@ -172,9 +181,15 @@ def test_empty_stream(spark, tmp_path):
 def test_drain_goes_on_where_it_stopped(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     _touches(spark, [("r", "f", "2024-01-01 01:00:00")]).write.parquet(folder)
-    assert rows(rolling.drain(rolling.daily_velocity(_touch_stream(spark, folder)), out), "commits") == [(1,)]
+    run = lambda: rows(rolling.drain(rolling.daily_velocity(_touch_stream(spark, folder)), out), "commits")
+    assert run() == []  # the day is still open
     _touches(spark, [("r", "f", "2024-01-01 02:00:00")]).write.mode("append").parquet(folder)
-    assert rows(rolling.drain(rolling.daily_velocity(_touch_stream(spark, folder)), out), "commits") == [(2,)]
+    assert run() == []
+    _touches(spark, [("r", "f", "2024-01-05 02:00:00")]).write.mode("append").parquet(folder)
+    assert run() == [(2,)]
+    _touches(spark, [("r", "f", "2024-01-01 03:00:00")]).write.mode("append").parquet(folder)  # too late
+    _touches(spark, [("r", "f", "2024-01-09 03:00:00")]).write.mode("append").parquet(folder)
+    assert run() == [(1,), (2,)]
 
 
 def test_late_rows_are_dropped_in_append_mode(spark, tmp_path):
