@@ -15,7 +15,8 @@ HEADLINE = (
     "a13_timeline", "i4_subsystem_health", "i6_refactor_alerts", "i8_risk_areas", "i15_codebase_metrics",
     "i18_resource_forecast", "i20_dashboard", "m3_engineer_features", "m6_label_hotspots", "r2_duplicate_blocks",
     "r6_file_complexity", "r12_high_coupling", "g3_module_connections", "g8_modularity", "t8_commit_story",
-    "e2_l2_norm", "e4_most_similar", "st2_daily_velocity",
+    "e2_l2_norm", "e4_most_similar", "st2_daily_velocity", "g7_strongly_connected_imports", "r11_circular_imports",
+    "r13_refactor_analysis", "g14_code_map_metadata",
 )
 
 

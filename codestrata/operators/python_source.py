@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.schemas import CODE_BLOCKS
+from .grouping import skew_join
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LEAVES = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop, ast.Name, ast.Constant)
@@ -100,12 +101,16 @@ def score_blocks(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Blocks and imports of every distinct content, one row each; unparsable text gives none.
 
     ``known``: blocks scored by an earlier run. Their contents are skipped, so append the result.
-    The distinct texts are spread over all shuffle partitions, because parsing costs far more
-    than their size suggests.
+    One row is chosen per hash without moving texts; only the chosen texts are then moved, each once, and spread
+    over all shuffle partitions, because parsing costs far more than their size suggests. Parsing is the
+    dear part: store the result and hand the stored table to the operators that read blocks.
     """
     tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = with_sha(files).select("content_sha", "content").filter(
-        F.col("content").isNotNull()).dropDuplicates(["content_sha"])
+    keyed = with_sha(files).filter(F.col("content").isNotNull())
+    place = F.struct(*[c for c in files.columns if c not in ("content", "content_sha")])
+    chosen = keyed.groupBy("content_sha").agg(F.min(place).alias("_place"))
     if known is not None:
-        distinct = distinct.join(known.select("content_sha"), "content_sha", "left_anti")
-    return distinct.repartition(tasks, "content_sha").mapInPandas(_score, CODE_BLOCKS)
+        chosen = chosen.join(known.select("content_sha"), "content_sha", "left_anti")
+    distinct = skew_join(keyed.select("content_sha", "content", place.alias("_place")), chosen,
+                         ["content_sha", "_place"], "left_semi")
+    return distinct.select("content_sha", "content").repartition(tasks, "content_sha").mapInPandas(_score, CODE_BLOCKS)

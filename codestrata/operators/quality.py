@@ -27,13 +27,15 @@ def duplicate_blocks(files: DataFrame, min_lines: int = 5) -> DataFrame:
     Windows are cut and hashed inside each file row, so only two hashes and a location per
     window are shuffled; a block copied everywhere is counted before the exchange.
     """
-    hashes = files.select(*FILE, F.transform(
-        split_lines(F.col("content")), lambda line: F.xxhash64(line)).alias("_lines"))
+    lines = split_lines(F.col("content"))
+    hashes = files.select(*FILE, F.transform(lines, lambda line: F.xxhash64(line)).alias("_lines"),
+                          F.transform(lines, lambda line: F.xxhash64(F.lit("second"), line)).alias("_others"))
     n = F.size("_lines")
     starts = F.when(n >= min_lines, F.sequence(F.lit(0), n - min_lines))
-    window = lambda i: F.slice("_lines", i + 1, min_lines)
+    # Two line hashes with different starts, so that one collision of lines does not pass both.
     keys = F.transform(starts, lambda i: F.struct(
-        F.xxhash64(window(i)).alias("h1"), F.xxhash64(F.lit("second"), window(i)).alias("h2")))
+        F.xxhash64(F.slice("_lines", i + 1, min_lines)).alias("h1"),
+        F.xxhash64(F.slice("_others", i + 1, min_lines)).alias("h2")))
     placed = (hashes.select(*FILE, F.posexplode(keys).alias("start", "_key"))
               .select(*FILE, "start", "_key.h1", "_key.h2"))
     return (placed.groupBy("repo_id", "h1", "h2")

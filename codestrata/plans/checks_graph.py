@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G, history as H
 from ..operators.python_source import score_blocks
+from ..session import cut_lineage
 from . import workload as X
 from .checks_source import DEGREES, RESOLVED, component_sql, cycle_sql
 from .registry import query
@@ -11,7 +12,7 @@ from .registry import query
 
 def _python(spark, sf):
     files = X.python_files(spark, sf)
-    return score_blocks(files), files
+    return cut_lineage(score_blocks(files)), files
 
 
 @query("g1_import_edges", "SELECT repo_id, src, dst, 'import' AS type FROM imports", use="python")

@@ -5,13 +5,14 @@ from pyspark.sql import functions as F
 from ..functions import paths, rules
 from ..operators import graph as G, history as H, quality as R
 from ..operators.python_source import score_blocks
+from ..session import cut_lineage
 from . import workload as X
 from .registry import query
 
 
 def _python(spark, sf):
     files = X.python_files(spark, sf)
-    return score_blocks(files), files
+    return cut_lineage(score_blocks(files)), files
 
 
 @query("r1_explode_lines", "SELECT * FROM lines", use="lines")
