@@ -1,10 +1,13 @@
 """Checked queries: insight scores, rules, forecasts and the dashboard."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N, rules
 from ..operators import history as H, insights as I
-from ..sources.sinks import pretty_json
+from ..session import shared_folder
+from ..sources.sinks import pretty_json, write_insights
 from . import workload as X
 from .dashboard import dashboard, insights_document
 from .registry import query, sql_time
@@ -246,7 +249,7 @@ def _joined(array, *fields):
     return F.array_join(F.transform(array, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), "|")
 
 
-@query("i20_dashboard", ROLLUP + ALERTS + TOTALS + FORECAST + f"""
+DASHBOARD = (ROLLUP + ALERTS + TOTALS + FORECAST + f"""
 SELECT m.repo_id, coalesce(h.t, '') AS subsystem_health, coalesce(a.t, '') AS refactor_alerts,
        m.total_files, m.total_commits, m.average_complexity, m.technical_debt_ratio, m.code_quality_score,
        coalesce(r.t, '') AS risk_areas, u.t AS maintenance, f.t AS resources,
@@ -260,9 +263,11 @@ LEFT JOIN (SELECT repo_id, string_agg(x.t || ':' || x.f, '|' ORDER BY x.t) AS t
 LEFT JOIN (SELECT repo_id, string_agg(resource_type || ':' || predicted_need, '|' ORDER BY resource_type) AS t FROM outlook GROUP BY 1) f USING (repo_id)
 JOIN (SELECT repo_id, round_even(coalesce(mean_complexity, 10.0) * 100.0::DOUBLE, 0) / 100.0::DOUBLE AS predicted_complexity
       FROM totals) p USING (repo_id)""")
-def _(spark, sf):
+
+
+def _flat(rows):
     m, outlook = F.col("codebase_metrics"), F.col("complexity_predictions")
-    return _dashboard(spark, sf).select(
+    return rows.select(
         "repo_id", _joined("subsystem_health", "name", "status", "complexity_trend").alias("subsystem_health"),
         _joined("refactor_alerts", "rank", "file_path", "severity").alias("refactor_alerts"),
         *[m[c].alias(c) for c in ("total_files", "total_commits", "average_complexity", "technical_debt_ratio",
@@ -274,9 +279,29 @@ def _(spark, sf):
         outlook[0]["predicted_complexity"].alias("outlook"), "generated_at")
 
 
-@query("k1_insights_documents")
+@query("i20_dashboard", DASHBOARD)
+def _(spark, sf):
+    return _flat(_dashboard(spark, sf))
+
+
+@query("k1_insights_documents", DASHBOARD)
+def _(spark, sf):
+    """The exported JSON, written to the shared folder, read back and flattened."""
+    documents = insights_document(_dashboard(spark, sf))
+    path = f"{shared_folder(spark)}/insights-{uuid.uuid4().hex}"
+    write_insights(documents, path)
+    stored = (spark.read.schema(documents.drop("repo_id").schema).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss")
+              .json(f"{path}/*"))
+    whole = stored.select(F.regexp_extract("_metadata.file_path", "repo_id=([^/]*)", 1).alias("repo_id"), "dashboard.*")
+    return _flat(whole)
+
+
+@query("k1_pretty_json", ROLLUP + TOTALS + """
+SELECT repo_id, total_commits, true AS indented FROM metrics""")
 def _(spark, sf):
-    return pretty_json(insights_document(_dashboard(spark, sf)))
+    text = pretty_json(insights_document(_dashboard(spark, sf)))
+    return text.select("repo_id", F.get_json_object("document", "$.metrics.total_commits").cast("long").alias("total_commits"),
+                       F.contains("document", F.lit("\n  ")).alias("indented"))
 
 
 def _evolution(spark, sf):

@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import history as H, hotspot_model as M, insights as I
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..streaming import rolling
 from . import workload as X
 from .checks_insights import SCORES, SPREAD
@@ -118,17 +118,63 @@ def _forest(spark, sf):
     return model, parts
 
 
-@query("m11_train_and_score")
+SYNTHETIC = ROWS + """, told AS (
+SELECT f.repo_id, f.file_path, f.commit_frequency_sum > q.f AND f.lines_changed_sum > q.l AND f.author_count_max > 2 AS is_hotspot
+FROM features f JOIN (SELECT repo_id, quantile_cont(commit_frequency_sum, 0.8) AS f, quantile_cont(lines_changed_sum, 0.7) AS l
+  FROM features GROUP BY 1) q USING (repo_id))"""
+
+
+@query("m11_train_and_score", SYNTHETIC + """
+SELECT repo_id, file_path, is_hotspot, true AS a_probability, true AS a_class FROM told""")
+def _(spark, sf):
+    """The full forest, 13 features and 200 trees: which rows it scores, and that scores are probabilities."""
+    rows = M.label_hotspots_synthetic(M.engineer_features(_rows(spark, sf)).drop("is_hotspot"),
+                                      "commit_frequency_sum", "lines_changed_sum", "author_count_max")
+    rows = cut_lineage(rows)
+    scored = M.score_hotspots(M.train_hotspot_model(rows), rows)
+    return scored.select("repo_id", "file_path", "is_hotspot", F.col("score").between(0.0, 1.0).alias("a_probability"),
+                         F.col("prediction").isin(0.0, 1.0).alias("a_class"))
+
+
+@query("m10_scaler", ROWS + """
+SELECT unnest(['lines_changed', 'commit_frequency', 'complexity', 'change_rate', 'insertion_deletion_ratio']) AS feature,
+  unnest([round(avg(lines_changed), 6), round(avg(commit_frequency), 6), round(avg(coalesce(complexity, 0)), 6),
+          round(avg(change_rate), 6), round(avg(insertion_deletion_ratio), 6)]) AS mean,
+  unnest([round(stddev_samp(lines_changed), 6), round(stddev_samp(commit_frequency), 6), round(stddev_samp(coalesce(complexity, 0)), 6),
+          round(stddev_samp(change_rate), 6), round(stddev_samp(insertion_deletion_ratio), 6)]) AS deviation FROM labeled""")
+def _(spark, sf):
+    model = M.train_basic_model(_labeled(spark, sf).fillna(0.0, ["complexity"]))
+    names, scaler = model.stages[0].getInputCols(), model.stages[1]
+    rows = [(n, float(m), float(d)) for n, m, d in zip(names, scaler.mean.toArray(), scaler.std.toArray())]
+    return spark.createDataFrame(rows, "feature string, mean double, deviation double")
+
+
+@query("m12_one_class_score", ROWS + "SELECT repo_id, file_path, 1.0::DOUBLE AS score FROM labeled")
+def _(spark, sf):
+    rows = cut_lineage(_labeled(spark, sf).fillna(0.0, ["complexity"]).withColumn("is_hotspot", F.lit(False)))
+    return M.score_hotspots(M.train_basic_model(rows), rows).select("repo_id", "file_path", "score")
+
+
+@query("k2_k3_stored_model", ROWS + "SELECT repo_id, file_path, true AS same_score FROM labeled")
 def _(spark, sf):
     model, parts = _forest(spark, sf)
-    return M.score_hotspots(model, parts).select("repo_id", "file_path", "is_test", "is_hotspot", "prediction", "score")
+    path = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    M.save_model(model, path)
+    before = M.score_hotspots(model, parts).select("repo_id", "file_path", "score")
+    after = M.score_hotspots(M.load_model_or_none(spark, path), parts).select(
+        "repo_id", "file_path", F.col("score").alias("_after"))
+    return before.join(after, ["repo_id", "file_path"]).select(
+        "repo_id", "file_path", (F.col("score") == F.col("_after")).alias("same_score"))
 
 
-@query("m13_model_report")
+@query("m13_model_report", ROWS + """, c AS (SELECT is_hotspot, CAST(floor(count(*) * 0.2::DOUBLE) AS BIGINT) AS n FROM labeled GROUP BY 1)
+SELECT CAST(is_hotspot AS INT)::DOUBLE AS class, n AS support, true AS shares FROM c WHERE n > 0""")
 def _(spark, sf):
+    """Support per class of the test rows, and that precision, recall and F1 are shares."""
     model, parts = _forest(spark, sf)
     scored = M.score_hotspots(model, parts.filter("is_test"))
-    return M.classification_report(scored, "is_hotspot")
+    shares = F.greatest("precision", "recall", "f1").between(0.0, 1.0) & F.least("precision", "recall", "f1").between(0.0, 1.0)
+    return M.classification_report(scored, "is_hotspot").filter("support > 0").select("class", "support", shares.alias("shares"))
 
 
 GUESSED = SCORES + """, g AS (SELECT CAST(risk > 0.6 AS INT)::DOUBLE AS label, CAST(score > 0.5 AS INT)::DOUBLE AS prediction FROM s)"""
@@ -162,10 +208,15 @@ def _(spark, sf):
     return M.accuracy(_guesses(spark, sf))
 
 
-@query("m14_feature_importance")
+@query("m14_feature_importance", ROWS + """
+SELECT 1.0::DOUBLE AS total, 5::BIGINT AS n_features, true AS falling FROM (SELECT count(*) AS n FROM labeled)""")
 def _(spark, sf):
+    """All five features of the short variant, best first, with importances that add up to 1."""
     model, _ = _forest(spark, sf)
-    return M.feature_importance(spark, model)
+    rows = M.feature_importance(spark, model)
+    listed = rows.agg(F.collect_list("importance").alias("x"))
+    return listed.select(F.aggregate("x", F.lit(0.0), lambda a, v: a + v).alias("total"), F.size("x").alias("n_features"),
+                         (F.col("x") == F.sort_array("x", asc=False)).alias("falling"))
 
 
 @query("m15_subsystem_features", """, sizes AS (SELECT repo_id, commit_hash, count(*) AS f FROM changes GROUP BY 1, 2),
