@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import shared_folder
@@ -49,8 +50,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
     """Cut batches so that the texts of each slice hold about ``most`` bytes; a longer text stands alone."""
     for batch in batches:
         at = batch.schema.get_field_index(column)
-        lengths = batch.column(at).cast(pa.binary()).fill_null(b"")
-        ends = np.cumsum([0, *(len(x) for x in lengths.to_pylist())]) if batch.num_rows else np.zeros(1)
+        lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
         start = 0
         while start < batch.num_rows:
             stop = int(np.searchsorted(ends, ends[start] + most, "right")) - 1
