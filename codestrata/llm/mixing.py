@@ -112,8 +112,9 @@ def mix(docs: DataFrame, share: float = 1.5, weights=(5, 2, 1), most: float = 2.
     null ids included. Documents of size 0 are taken with their hash like any other. An empty table
     gives no rows. Other columns are ignored.
     """
-    keyed = stored(hashed(docs, F.col(source_column), F.col(id_column), F.col(text_column)).select(
-        F.col(id_column).alias("doc_id"), "_size", "_h", *KEYS))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
+                       F.col(text_column).alias("text"))
+    keyed = stored(hashed(rows, F.col("source"), F.col("doc_id"), F.col("text")).select("doc_id", "_size", "_h", *KEYS))
     limits = thresholds(keyed, share, weights, most, bits, levels)
     return copies_of(keyed, limits).select(
         "doc_id", F.when(~F.col("_null"), F.col("_s")).alias("source"), F.col("_size").alias("size"),
@@ -127,7 +128,8 @@ def take(docs: DataFrame, share: float = 1.5, weights=(5, 2, 1), most: float = 2
     The thresholds, one row per source, go to the documents; the texts are moved only if there are
     too many sources to broadcast.
     """
-    keyed = stored(hashed(docs, F.col("source"), F.col("doc_id"), F.col("text")).select("_size", "_h", *KEYS))
+    rows = docs.select("source", "doc_id", "text")
+    keyed = stored(hashed(rows, F.col("source"), F.col("doc_id"), F.col("text")).select("_size", "_h", *KEYS))
     limits = stored(thresholds(keyed, share, weights, most, bits, levels))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "source", "doc_id", "text")
     taken = copies_of(hashed(rows, F.col("source"), F.col("doc_id"), F.col("text")).drop("source", "doc_id", "text"), limits)
