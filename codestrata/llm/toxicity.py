@@ -154,24 +154,34 @@ class Scorer:
         return self.model.logit(pooled), spoken
 
 
-def fit(texts: list[list[bytes]], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.08,
+class Coder:
+    """Numbers words from 1 on, so that a sample is held as small numbers and each word once."""
+
+    def __init__(self):
+        self.number: dict[bytes, int] = {}
+
+    def code(self, text: bytes) -> np.ndarray:
+        number = self.number
+        words = text_words(text)
+        return np.fromiter((number.setdefault(w, len(number) + 1) for w in words), np.int32, len(words))
+
+
+def fit(coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.08,
         seed: int = 1) -> Model:
     """Adaptive gradient descent; the gradient reaches only the window that won each filter's maximum."""
     model, r = Model.fresh(seed), np.random.default_rng(seed)
     share = max(labels.mean(), 1e-3) if len(labels) else 0.5
     model.base = float(np.log(share / (1 - min(share, 0.999))))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-3))
-    number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number) + 1) for w in t] + [0, 0, 0, 0], np.int64)[:max(3, len(t) + 2)]
-             for t in texts]
-    slots = np.array([(0, 0, 0, 0)] + [word_slots(w) for w in number])
+    coded = [np.pad(c, (0, max(2, 3 - len(c)))) for c in coded]
+    slots = np.array([(0, 0, 0, 0)] + [word_slots(w) for w in vocabulary], np.int32)
     sums = {k: np.full_like(v, 1e-6) for k, v in
             (("slots", model.slots), ("bias", model.bias), ("head", model.head))}
     bank_sums = [np.full_like(f, 1e-6) for f in model.filters]
     base_sum = 1e-6
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        order = r.permutation(len(texts))
+        order = r.permutation(len(coded))
         for at in range(0, len(order), batch):
             rows = order[at:at + batch]
             local, flat = np.unique(np.concatenate([coded[i] for i in rows]), return_inverse=True)
@@ -232,7 +242,8 @@ def best_threshold(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((logits[order[k]] + below) / 2)
 
 
-def calibrate(model: Model, texts: list[list[bytes]], labels: np.ndarray, least: int = 25) -> None:
+def calibrate(model: Model, coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray,
+              least: int = 25) -> None:
     """A threshold per language, over rows the weights have not seen.
 
     A language with under ``least`` toxic rows takes the threshold of all languages.
@@ -240,7 +251,7 @@ def calibrate(model: Model, texts: list[list[bytes]], labels: np.ndarray, least:
     if not len(labels) or not 0 < labels.sum() < len(labels):
         return
     scorer = Scorer(model)
-    parts = [scorer.logits(texts[at:at + 256]) for at in range(0, len(texts), 256)]
+    parts = [scorer.logits([[vocabulary[i - 1] for i in c] for c in coded[at:at + 256]]) for at in range(0, len(coded), 256)]
     logits, spoken = (np.concatenate(x) for x in zip(*parts))
     overall = best_threshold(logits, labels)
     for k in range(len(LANGUAGES)):
@@ -269,15 +280,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_byte
               .filter(F.col("data").isNotNull() & (F.octet_length("data") <= text_bytes))
               .join(F.broadcast(known), "doc_id")  # at most ``rows`` ids
               .select("doc_id", (remainder() == 1).alias("tune"), (F.col("toxic") != 0).cast("int").alias("y"), "data"))
-    size, parts = 0, {True: ([], []), False: ([], [])}
+    size, coder, parts = 0, Coder(), {True: ([], []), False: ([], [])}
     for _, tune, y, data in sample.toLocalIterator():
         size += len(data)
         if size > all_bytes:
             break
-        parts[tune][0].append(text_words(bytes(data)))
+        parts[tune][0].append(coder.code(bytes(data)))
         parts[tune][1].append(y)
-    model = fit(parts[False][0], np.array(parts[False][1]))
-    calibrate(model, parts[True][0], np.array(parts[True][1]))
+    vocabulary = list(coder.number)
+    model = fit(parts[False][0], vocabulary, np.array(parts[False][1]))
+    calibrate(model, parts[True][0], vocabulary, np.array(parts[True][1]))
     return model
 
 
