@@ -7,6 +7,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import slices, utf8
+
 LANES = 128
 DENSE = 8
 GRAM = 8
@@ -142,6 +144,21 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
         "doc_id", "text", F.inline(copies)).select("part", "doc_id", "text", "guest")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``part, doc_id, data, guest, tie``: the texts compressed, as they cross the exchange."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in slices(batches, "text"):
+            data = pa.array([pack(t) for t in utf8(batch, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), data, batch.column(3), batch.column(4)],
+                                             names=["part", "doc_id", "data", "guest", "tie"])
+
+    return rows.select("part", "doc_id", "text", "guest", F.xxhash64("text").alias("tie")).mapInArrow(
+        run, "part long, doc_id long, data binary, guest boolean, tie long")
+
+
 def fingerprints(docs: DataFrame, ranges: int | None = None, id_column: str = "doc_id",
                  text_column: str = "text") -> DataFrame:
     """Fingerprints of every whole text and of its edited text, with their likeness to each other and the next.
@@ -151,20 +168,22 @@ def fingerprints(docs: DataFrame, ranges: int | None = None, id_column: str = "d
     from the text's own by deleting and inserting the paragraphs that differ. ``ranges`` is the number of id ranges
     that the documents are dealt into; by default twice the splits of the input.
 
-    Null texts read as empty; rows with equal ids follow each other by text, null ids come last; a single
+    Null texts read as empty; rows with equal ids follow each other by the text's xxhash64, null ids come last; a single
     document is its own next; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     ranges = ranges or 2 * rows.rdd.getNumPartitions()
-    dealt = with_next(rows, ranges).repartition(ranges, "part").sortWithinPartitions(
-        F.col("part").desc(), F.col("guest"), F.col("doc_id").desc_nulls_last(), "text")
+    dealt = packed(with_next(rows, ranges)).repartition(ranges, "part").sortWithinPartitions(
+        F.col("part").desc(), F.col("guest"), F.col("doc_id").desc_nulls_last(), "tie").drop("tie")
     schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
               "near_edited double, near_next double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
+        import zstandard
+
         def row(one, other):
             doc, text, fp = one
             cut = len(text) // 3
@@ -175,11 +194,13 @@ def fingerprints(docs: DataFrame, ranges: int | None = None, id_column: str = "d
                     likeness(fp, changed), likeness(fp, other[2]))
 
         last, part, done, out = None, None, False, []
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for p, doc, text, guest in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, doc, data, guest in zip(*(c.to_pylist() for c in batch.columns)):
                 if guest and done:
                     continue  # only the first guest of a range is anyone's successor
-                one = (doc, text, Fingerprint.of(text.encode()))
+                data = unpack(data)
+                one = (doc, data.decode(), Fingerprint.of(data))
                 if p == part and last is not None:
                     out.append(row(last, one))
                 if p != part:
