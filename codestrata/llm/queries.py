@@ -71,7 +71,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_lines")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated and nearly repeated lines."""
-    rows = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=None)
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codestrata.llm import (chat, decontamination, fingerprint, licenses, lines, lyndon, mixing, repeats, simhash, tokens,
                             toxicity)
-from codestrata.llm.common import least_labels, linked_groups
+from codestrata.llm.common import least_labels, linked_groups, stored
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, row string, fp string, score string, "
           "language string, n_lines string, spans string, copies string, size string, node string")
@@ -368,3 +368,30 @@ def test_scores_read_long_texts_whole():
     # Chunks that overlap by two words see all windows; their own ends only add shorter ones.
     assert (whole[0] <= parts + 1e-5).all() and np.isfinite(whole).all()
     assert (np.abs(whole[0] - parts) < 1e-5).mean() > 0.9
+
+
+def similar_lines(rng, n):
+    """Lines of 2 to 60 words, each with a copy in which about a tenth of the words changed."""
+    out = []
+    for _ in range(n):
+        w = words_of(rng, rng.choice([2, 4, 8, 15, 30, 60])).split()
+        copy = list(w)
+        for k in rng.sample(range(len(w)), max(1, len(w) // 10)):
+            copy[k] = copy[k][:-1] + rng.choice("klmnop")
+        out += [" ".join(w), " ".join(copy)]
+    return out
+
+
+def test_similar_lines_meet_whatever_their_bits(spark):
+    made = similar_lines(random.Random(12), 150)
+    found = [m.encode() for m in made]
+    pairs = [(a, b) for a in range(len(made)) for b in range(a) if lines.similar(made[a], made[b])]
+    fp = lines.Hasher().lines([f.split(b" ") for f in found])[1].view(np.uint64)
+    assert sum(int(fp[a] ^ fp[b]).bit_count() <= 3 for a, b in pairs) < 0.5 * len(pairs)
+    rng = random.Random(13)
+    rng.shuffle(made)
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    kept = lines.dedup_lines(stored(rows), radius=None, min_words=1).filter("text <> ''").count()
+    label = least_labels(*map(np.array, zip(*pairs)), len(made))
+    whole = len(set(label.tolist()))
+    assert whole <= kept <= whole + 0.05 * len(pairs)
