@@ -395,3 +395,12 @@ def test_similar_lines_meet_whatever_their_bits(spark):
     label = least_labels(*map(np.array, zip(*pairs)), len(made))
     whole = len(set(label.tolist()))
     assert whole <= kept <= whole + 0.05 * len(pairs)
+
+
+def test_lines_of_one_or_two_words_take_part(spark):
+    rows = spark.createDataFrame([(1, "les\n\u4f60\u597d\u4e16\u754c\u518d\u89c1\n--"), (2, "Les!\nerheed titionly\n--"),
+                                  (3, "\u4f60\u597d\u4e16\u754c\u518d\u89c1\nerheed  titionly")], "doc_id long, text string")
+    for radius in (lines.RADIUS, None):
+        got = lines.dedup_lines(stored(rows), radius=radius)
+        assert collected(got, "doc_id", "text", "n_removed") == [
+            (1, "les\n\u4f60\u597d\u4e16\u754c\u518d\u89c1\n--", 0), (2, "erheed titionly\n--", 1), (3, "", 2)]
