@@ -404,3 +404,15 @@ def test_lines_of_one_or_two_words_take_part(spark):
         got = lines.dedup_lines(stored(rows), radius=radius)
         assert collected(got, "doc_id", "text", "n_removed") == [
             (1, "les\n\u4f60\u597d\u4e16\u754c\u518d\u89c1\n--", 0), (2, "erheed titionly\n--", 1), (3, "", 2)]
+
+
+def test_likeness_of_long_repeated_texts():
+    rng = random.Random(9)
+    passage, other = (words_of(rng, 300)[:1500].encode() for _ in range(2))
+    a, b = passage * 5000, passage * 3300 + other * 1700
+    x, y = (fingerprint.paragraph_vector(t)[fingerprint.DENSE:].astype(float) for t in (a, b))
+    assert np.abs(x).max() > 1 << 15
+    got = fingerprint.likeness(fingerprint.Fingerprint.of(a), fingerprint.Fingerprint.of(b))
+    assert got == pytest.approx(max(0.0, x @ y / np.sqrt((x @ x) * (y @ y))))
+    junk = [fingerprint.Fingerprint.of(b"ab " * n) for n in (33_000, 30_000)]
+    assert fingerprint.likeness(*junk) > 0.999
