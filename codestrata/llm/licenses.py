@@ -98,9 +98,10 @@ def has_all(keys: tuple[str, ...]) -> Column:
     return found
 
 
-def aligned(wording: str) -> Column:
+def aligned(wording: str, rare: int = RARE) -> Column:
     """Largest share of the looked-up words of a template that lie on one line of position differences.
 
+    These are the ``rare`` rarest of the template's own words that the file has (``_ranked``: its words, rarest first).
     The template's postings are written out as literals: for each looked-up place of the file all
     differences to the template's places of that word.
     """
@@ -108,9 +109,10 @@ def aligned(wording: str) -> Column:
     for i, w in enumerate(wording.split()):
         postings.setdefault(w, []).append(i)
     index = F.create_map(*[x for w, at in postings.items() for x in (F.lit(w), F.array(*map(F.lit, at)))])
-    line = F.flatten(F.transform("_at", lambda p: F.transform(
+    looked = F.slice(F.filter("_ranked", lambda w: F.map_contains_key(index, w)), 1, rare)
+    line = F.flatten(F.transform(F.filter("places", lambda p: F.array_contains(looked, p["word"])), lambda p: F.transform(
         F.coalesce(F.element_at(index, p["word"]), F.array().cast("array<int>")), lambda i: p["at"] - i)))
-    wanted = F.size(F.filter("_rare", lambda w: F.map_contains_key(index, w)))
+    wanted = F.size(looked)
     # Sorted differences: the longest run of equal ones, in one pass.
     start = F.struct(F.lit(None).cast("long").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("top"))
     def step(s, d):
@@ -125,10 +127,9 @@ def scan(docs: DataFrame, rare: int = RARE, least: float = LEAST, id_column: str
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of every whole text.
 
     Base labels are those of ``PHRASES``, at every place where the phrase's words stand one after the other.
-    The scan looks up the ``rare`` licence words of a file with the highest inverse document frequency
-    in the templates' postings, lines them up by position (file minus template), and takes a template
-    whose best line holds at least ``least`` of the looked-up words that the template has and all of
-    whose key phrases stand in the file. ``score`` is the best such share, 0 without any template.
+    For each template whose key phrases all stand in the file, the scan looks up those ``rare`` words of the
+    template that the file has and that have the highest inverse document frequency, lines them up by position (file
+    minus template), and takes the template if its best line holds at least ``least`` of them. ``score`` is the best such share, 0 without any template.
 
     Texts are cut into words once; the positions of licence words are kept in the shared folder, and both
     the frequencies over all documents and the lookup read them. Frequencies are summed before the exchange and
@@ -140,12 +141,12 @@ def scan(docs: DataFrame, rare: int = RARE, least: float = LEAST, id_column: str
     # One row, one entry per word of the vocabulary at most.
     frequency = (files.select(F.explode("own").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
                  .agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("_df")))
-    looked = files.filter("places is not null").join(F.broadcast(frequency)).withColumn("_rare", F.transform(
-        F.slice(F.array_sort(F.transform("own", lambda w: F.struct(F.element_at("_df", w).alias("df"), w.alias("word")))),
-                1, rare), lambda r: r["word"]))
-    found = looked.withColumn("_at", F.filter("places", lambda p: F.array_contains("_rare", p["word"])))
+    looked = files.filter("places is not null").join(F.broadcast(frequency)).withColumn("_ranked", F.transform(
+        F.array_sort(F.transform("own", lambda w: F.struct(F.element_at("_df", w).alias("df"), w.alias("word")))),
+        lambda r: r["word"]))
+    found = looked
     for n, (label, keys, wording) in enumerate(TEMPLATES):
-        found = found.withColumn(f"_t{n}", F.when(has_all(keys), aligned(wording)).otherwise(F.lit(0.0)))
+        found = found.withColumn(f"_t{n}", F.when(has_all(keys), aligned(wording, rare)).otherwise(F.lit(0.0)))
     best = [F.when(F.col(f"_t{n}") >= least, F.col(f"_t{n}")).otherwise(F.lit(0.0)) for n in range(len(TEMPLATES))]
     method = F.array(*[F.when(b > 0, F.lit(t[0])) for b, t in zip(best, TEMPLATES)])
     found = found.withColumns({f"_b{i}": starts_of(F.col("places"), p) for i, p in enumerate(PHRASES)})

@@ -416,3 +416,14 @@ def test_likeness_of_long_repeated_texts():
     assert got == pytest.approx(max(0.0, x @ y / np.sqrt((x @ x) * (y @ y))))
     junk = [fingerprint.Fingerprint.of(b"ab " * n) for n in (33_000, 30_000)]
     assert fingerprint.likeness(*junk) > 0.999
+
+
+def test_every_notice_of_a_long_file_has_its_label(spark):
+    whole = " and some words between ".join(w for _, _, w in licenses.TEMPLATES)
+    some = [" ".join(w for label, _, w in licenses.TEMPLATES if label in chosen)
+            for chosen in (("lgpl", "agpl", "bsd", "cc-by"), ("bsd", "isc", "mpl", "unlicense", "cc-by"))]
+    rows = spark.createDataFrame(list(enumerate([whole, *some, "the work of copy"])), "doc_id long, text string")
+    got = {i: set(t.split(",")) for i, t in collected(licenses.scan(rows), "doc_id", "labels")}
+    assert got[0] == {label for label, *_ in licenses.TEMPLATES}
+    assert got[1] >= {"lgpl", "agpl", "bsd", "cc-by"} and got[2] >= {"bsd", "isc", "mpl", "unlicense", "cc-by"}
+    assert got[3] == {""}
