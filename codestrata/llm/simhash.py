@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.grouping import skew_join
 from .common import least_labels, linked_groups, slices, stored, utf8
+from .lines import meetings
 
 SEED = 42
 TILE = 16_384
+BANDS, DEPTH = 12, 3
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -133,23 +135,96 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, tile: int
     return skew_join(fps, ids, ["fp"]).select("doc_id", "fp", "component_id")
 
 
-def roots(fps: DataFrame, radius: int, tile: int) -> DataFrame:
-    """``fp, root`` of every distinct fingerprint."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text; a text of fewer words is one shingle."""
+    import xxhash
+
+    found = text.lower().split()
+    parts = [b" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    return np.unique(np.array([xxhash.xxh64_intdigest(p, SEED) for p in parts], np.uint64))
+
+
+def least_keys(hashes: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of ``DEPTH`` least hashes each; two sets agree in a least hash with their Jaccard similarity."""
+    odd = np.random.default_rng(17).integers(1, 1 << 62, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.array([(hashes * x).min() for x in odd]).reshape(BANDS, DEPTH)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for d in range(DEPTH):
+        keys = (keys ^ least[:, d]) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(31)
+    return keys.view(np.int64)
+
+
+def shingle_links(rows: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """Links ``a, b`` between fingerprints of ``fp, text`` rows whose shingle sets have a Jaccard similarity of ``least``.
+
+    Texts that share a key of least hashes are compared exactly, by 64-bit hashes of their shingles.
+    """
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [shingles(t, words) for t in utf8(batch, "text")]
+            some = [k for k, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(some, pa.int64())), batch.column(1).take(pa.array(some, pa.int64())),
+                 pa.array([sets[k].view(np.int64) for k in some], pa.list_(pa.int64())),
+                 pa.array([least_keys(sets[k]) for k in some], pa.list_(pa.int64()))],
+                names=["line", "fp", "set", "keys"])
+
+    texts = rows.select(F.xxhash64("text").alias("line"), "fp", "text")
+    known = stored(texts.mapInArrow(read, "line long, fp long, set array<long>, keys array<long>")
+                   .dropDuplicates(["line", "fp"]))
+    members = meetings(known.select(F.explode("keys").alias("key"), "line"))
+    held = skew_join(members, known.select("line", "fp", "set"), ["line"]).repartition("cluster").sortWithinPartitions(
+        "cluster", "line").select("cluster", "fp", "set")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cluster, seen = None, []
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                c, fp, own = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].values.to_numpy()
+                if c != cluster:
+                    cluster, seen = c, []
+                near = set()
+                for group in seen:
+                    for other_fp, other in group:
+                        if min(len(own), len(other)) >= least * max(len(own), len(other)):
+                            both = len(np.intersect1d(own, other, assume_unique=True))
+                            if both >= least * (len(own) + len(other) - both):
+                                near.add(id(group))
+                                out.append((fp, other_fp))
+                                break
+                joined = [x for group in seen if id(group) in near for x in group] + [(fp, own)]
+                seen = [group for group in seen if id(group) not in near] + [joined]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return held.mapInArrow(verify, "a long, b long")
+
+
+def roots(fps: DataFrame, radius: int, tile: int, more: DataFrame | None = None) -> DataFrame:
+    """``fp, root`` of every distinct fingerprint; ``more`` links count as well."""
     nodes = stored(fps.select("fp").distinct())
-    groups = linked_groups(near_links(nodes, radius, tile))
+    links = near_links(nodes, radius, tile)
+    groups = linked_groups(links if more is None else links.unionByName(more))
     return nodes.join(groups, nodes.fp == groups.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, tile: int = TILE) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = 4, words: int = 4, tile: int = TILE, least: float | None = None) -> DataFrame:
     """The documents less all but one row of each near-duplicate group, all columns as they are.
 
+    With ``least``, texts whose sets of five-word shingles have that Jaccard similarity are linked as well.
+
     The row with the smallest doc_id stays (null last), of rows with one id the first of the input.
     """
     row = F.monotonically_increasing_id()
     fps = stored(fingerprints(docs.select(row.alias("row"), "doc_id", "text"), words))
     place = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     first = fps.groupBy("fp").agg(F.min(place).alias("place"))
-    keep = roots(fps, radius, tile).join(first, "fp").groupBy("root").agg(F.min("place").alias("place"))
+    more = None
+    if least is not None:
+        read = docs.select(row.alias("row"), "text")
+        more = shingle_links(read.join(fps.select("row", "fp"), "row").select("fp", "text"), least=least)
+    keep = roots(fps, radius, tile, more).join(first, "fp").groupBy("root").agg(F.min("place").alias("place"))
     named = docs.select(row.alias("row"), F.struct(*docs.columns).alias("_row"))
     return named.join(keep.select("place.row"), "row", "left_semi").select(
         *[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -427,3 +427,17 @@ def test_every_notice_of_a_long_file_has_its_label(spark):
     assert got[0] == {label for label, *_ in licenses.TEMPLATES}
     assert got[1] >= {"lgpl", "agpl", "bsd", "cc-by"} and got[2] >= {"bsd", "isc", "mpl", "unlicense", "cc-by"}
     assert got[3] == {""}
+
+
+def test_pipeline_stage_keeps_one_of_texts_with_similar_shingles(spark):
+    rng = random.Random(14)
+    made = []
+    for _ in range(20):
+        w = words_of(rng, 200).split()
+        copy = list(w)
+        copy[60], copy[140] = "changed", "other"
+        made += [" ".join(w), " ".join(copy)]
+    rows = stored(spark.createDataFrame(list(enumerate([*made, None, "", "one two"])), "doc_id long, text string"))
+    assert simhash.keep_one(rows).count() > 26
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(rows, least=0.8).collect())
+    assert kept == [*range(0, 40, 2), 40, 42]
