@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontamination, fingerprint, licenses, lines, mixing, repeats, simhash, tokens, toxicity
+from . import (chat, decontamination, fingerprint, licenses, lines, manifest, mixing, oracles, repeats, simhash, tokens,
+               toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +179,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return rows.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op13_manifest", oracles.MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents, with the proof of a tampered text in every third place."""
+    text = F.col("text")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.lower_ascii(text)).otherwise(text)
+    return manifest.verified(manifest.proofs(table(spark, sf_dir, "documents"), {"text": changed}))
