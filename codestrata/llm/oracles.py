@@ -59,3 +59,57 @@ FROM f{2 * levels} JOIN b{levels} b ON true"""
 
 
 MANIFEST_SQL = manifest_sql()
+
+
+RATIO_SQL = r"""
+WITH """ + CRC_TABLE_SQL + r""",
+d AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT k, g FROM windows GROUP BY ALL HAVING count(*) > 1),
+repeats AS (
+  SELECT k, count(DISTINCT word_at) AS n_repeat_words
+  FROM (SELECT k, unnest(range(i, i + 3)) AS word_at FROM windows SEMI JOIN twice USING (k, g)) GROUP BY k),
+lines AS (
+  SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY k),
+base AS (
+  SELECT k, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+         len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+  FROM d LEFT JOIN repeats USING (k) LEFT JOIN lines USING (k)),
+grams AS (
+  SELECT k, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: right(w[i], 3) || ' ' || right(w[i + 1], 3)))) AS g
+  FROM d),
+hashed AS (SELECT g, """ + crc32_sql("g") + r""" % 16384 AS b FROM (SELECT DISTINCT g FROM grams), crc_table),
+counts AS (SELECT k, doc_id, b, count(*) AS n FROM grams JOIN hashed USING (g) GROUP BY ALL),
+known AS (
+  SELECT doc_id, q, """ + crc32_sql("doc_id::VARCHAR") + r""" % 4 = 3 AS spared
+  FROM (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1), crc_table),
+raw AS (SELECT b, sum(n) AS r FROM counts GROUP BY b),
+target AS (SELECT b, sum(n) AS t FROM counts JOIN known USING (doc_id) WHERE q = 1 AND NOT spared GROUP BY b),
+listed AS (
+  SELECT b, coalesce(t, 0)::BIGINT AS t, coalesce(r, 0)::BIGINT AS r
+  FROM (SELECT unnest(range(16384)) AS b) LEFT JOIN raw USING (b) LEFT JOIN target USING (b)),
+weights AS (
+  SELECT b, round(ln((t + 4) / ((r * sum(t) OVER ()::BIGINT)::DOUBLE / greatest(sum(r) OVER (), 1)::BIGINT + 4)) * 1000000)::BIGINT AS w
+  FROM listed),
+scores AS (SELECT k, sum(n * w)::BIGINT / (sum(n)::BIGINT * 1000000) AS score FROM counts JOIN weights USING (b) GROUP BY k),
+scored AS (SELECT base.*, coalesce(score, 0.0) AS score FROM base LEFT JOIN scores USING (k)),
+bins AS (
+  SELECT greatest(-8192, least(8192, floor(score * 1000)))::BIGINT AS bin, count(*) FILTER (WHERE q = 1) AS good,
+         count(*) FILTER (WHERE q <> 1) AS bad
+  FROM scored JOIN known USING (doc_id) WHERE NOT base_failed AND (q <> 1 OR spared) GROUP BY 1),
+cuts AS (
+  SELECT (bin + lag(bin) OVER (ORDER BY bin) + 1) / 2000 AS cut,
+         (sum(bad) OVER b * sum(good) OVER () - sum(good) OVER b * sum(bad) OVER ()) AS merit
+  FROM bins WINDOW b AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+best AS (SELECT cut FROM cuts WHERE merit > 0 ORDER BY merit DESC, cut LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(score >= (SELECT cut FROM best), true) AS kept, score
+FROM scored"""

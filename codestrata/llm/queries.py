@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (chat, decontamination, fingerprint, licenses, lines, manifest, mixing, oracles, repeats, simhash, tokens,
-               toxicity)
+from . import (chat, decontamination, fingerprint, licenses, lines, manifest, mixing, oracles, quality_ratio, repeats, simhash,
+               tokens, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,9 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, manifest.lower_ascii(text)).otherwise(text)
     return manifest.verified(manifest.proofs(table(spark, sf_dir, "documents"), {"text": changed}))
+
+
+@query("op11_quality_ratio", oracles.RATIO_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the log-likelihood ratio of all documents, trusted by the quality labels."""
+    return quality_ratio.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
