@@ -4,8 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (chat, decontamination, fingerprint, licenses, lines, manifest, mixing, oracles, quality_ratio, repeats, simhash,
-               tokens, toxicity)
+from . import (chat, decontamination, fingerprint, licenses, lines, manifest, mixing, negatives, oracles,
+               quality_ratio, repeats, simhash, tokens, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,11 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the log-likelihood ratio of all documents, trusted by the quality labels."""
     return quality_ratio.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_hard_negatives", oracles.NEGATIVES_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with every seventh label moved on."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
