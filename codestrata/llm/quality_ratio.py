@@ -122,7 +122,9 @@ def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, id_column:
     result has one number per bucket; ids that are null are left out before the exchange.
     """
     good = trusted(labels, id_column).filter("quality = 1").filter(~spared(F.col(id_column))).select(id_column)
-    target = gram_counts(docs.select(id_column, text_column).join(good, id_column, "left_semi"), buckets, text_column)
+    # One plan at every size: a broadcast of the trusted ids would grow with the corpus.
+    texts = docs.select(id_column, text_column).join(good.hint("shuffle_hash"), id_column, "left_semi")
+    target = gram_counts(texts, buckets, text_column)
     return log_ratios(target, gram_counts(docs, buckets, text_column), buckets).first()["weights"]
 
 
@@ -179,8 +181,8 @@ def rate(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, id_column:
     whole corpus. A document is kept if it passes the base rules and its score reaches the threshold found on the
     labelled documents; without labels of both kinds the base rules alone decide.
 
-    Three passes over the texts, none of which moves them, unless the trusted ids outgrow a broadcast. The counts per bucket are
-    bounded by ``buckets``. Null and empty texts have no words and fail; an unlabelled document is judged like any other;
+    Three passes over the texts, one of which exchanges those of the target's checksums to meet the trusted ids. The
+    counts per bucket are bounded by ``buckets``. Null and empty texts have no words and fail; an unlabelled document is judged like any other;
     repeated rows are rated each; conflicting labels count as the lowest; an empty table gives no rows; other columns
     are ignored.
     """
