@@ -103,7 +103,8 @@ def proofs(docs: DataFrame, tampered: dict[str, Column] | None = None, fields=FI
         changed[0] = changed[0] | c
     rows = docs.select(part_key(F.col(part)).alias("part"), F.col(key).alias("_key"), leaf.alias("digest"),
                        (F.when(changed[0], other) if changed else other).alias("_other"))
-    rows = placed(rows, ["_key", "digest"]).select(
+    # Stored before the ranges are sampled, so that texts are read and hashed once.
+    rows = placed(stored(rows), ["_key", "digest"]).select(
         "part", "idx", "n", "digest", F.struct(F.col("_key").alias("key"), F.col("_other").alias("other")).alias("item"))
     leaves = stored(rows)
     edges, subroots, low = climb(leaves)
