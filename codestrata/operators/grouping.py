@@ -23,6 +23,23 @@ def skew_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", keep_t
     return joined if keep_tag else joined.drop(TAG)
 
 
+def key_filter(small: DataFrame, keys, words: int = 1 << 16) -> Column:
+    """Condition that holds for every row whose ``keys`` stand in ``small``, and for few others.
+
+    The keys' hashes set bits in a table of ``64 * words`` bits, half a megabyte at any size of ``small``. It is a
+    scalar subquery, so the table is made once when the plan runs and rows are tested where they are scanned, in
+    front of the exchange of a join that decides exactly. With many more keys than bits it lets most rows pass.
+    """
+    h = F.xxhash64(*keys)
+    word, bit = F.pmod(h, F.lit(words)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+    marks = small.select(word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits"))
+    every = small.sparkSession.range(words).select(F.col("id").alias("_word"), F.lit(0).cast("long").alias("_bits"))
+    table = (marks.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")).unionByName(every)
+             .groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+             .agg(F.transform(F.sort_array(F.collect_list(F.struct("_word", "_bits"))), lambda w: w["_bits"])))
+    return F.getbit(F.get(table.scalar(), word.cast("int")), bit) == 1
+
+
 def nested(rows: DataFrame, keys, item: Column, name: str) -> DataFrame:
     """Exactly one row per key: ``keys, name`` with the sorted array of ``item``.
 

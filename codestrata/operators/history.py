@@ -9,7 +9,7 @@ from ..functions.dates import iso_timestamp
 from ..functions.fixed_values import REFACTORING_KEYWORDS
 from ..functions.numbers import change_impact, file_risk_score
 from ..functions.paths import under_path
-from .grouping import nested, newest_commits, skew_join
+from .grouping import key_filter, nested, newest_commits, skew_join
 
 COMMIT = ["repo_id", "commit_hash"]
 FILE = ["repo_id", "file_path"]
@@ -246,11 +246,12 @@ def complexity_trends(commits: DataFrame, file_changes: DataFrame, max_commits:
     ``pick`` chooses which readable version in the window gives the complexity.
     ``first_seen`` is the rank of the newest commit touching the file.
 
-    The window holds ``max_commits`` rows per repository; adaptive execution broadcasts it when its
-    measured bytes allow.
+    The window holds ``max_commits`` rows per repository. Its commits filter the touches where they are
+    read, so that touches outside the window are not exchanged, however the join itself is carried out.
     """
     recent = newest_commits(commits.select(*COMMIT, "committed_at"), max_commits).select(*COMMIT, "rn")
-    touched = file_changes.select(*COMMIT, "file_path", "complexity_after").join(recent, COMMIT)
+    touched = (file_changes.select(*COMMIT, "file_path", "complexity_after").filter(key_filter(recent, COMMIT))
+               .join(recent, COMMIT))
     seen = F.when(F.col("complexity_after").isNotNull(), F.col("rn"))
     choose = F.max_by if pick == "oldest" else F.min_by
     return touched.groupBy(*FILE).agg(

@@ -1,6 +1,6 @@
 """Canonical tables derived by Spark from the provided parquet tables.
 
-``oracle.py`` states the same mapping in SQL.
+``checks_*.py`` states the same mapping in SQL.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -90,9 +90,9 @@ def importance(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("_vec"), l2_norm(F.col("embedding")).alias("importance"))
     # Every vector is somebody's: the modulus is the number of vectors.
-    total = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1)).alias("_total"))
-    return (commits(spark, sf_dir, n).join(F.broadcast(total))
-            .select("repo_id", "commit_hash", (F.col("commit_hash") % F.col("_total")).alias("_vec"))
+    total = table(spark, sf_dir, "embeddings").agg(F.count(F.lit(1))).scalar()
+    return (commits(spark, sf_dir, n)
+            .select("repo_id", "commit_hash", F.try_mod(F.col("commit_hash"), total).alias("_vec"))
             .join(vectors, "_vec").select("repo_id", "commit_hash", "importance"))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codestrata.operators import history as H, insights as I, quality as R
-from codestrata.operators.grouping import newest_commits
+from codestrata.operators.grouping import key_filter, newest_commits
 from codestrata.plans import workload as X
 from codestrata.plans.catalog import QUERIES
 from tests.conftest import plan_of, rows
@@ -55,12 +55,51 @@ def test_top_alerts_are_limited_before_the_exchange(stored):
     assert plan_of(I.refactor_alerts(H.complexity_trends(*stored))).count("WindowGroupLimit") >= 3
 
 
-def test_trends_do_not_shuffle_the_touches(stored, no_broadcast):
-    """With a window small enough to broadcast, only per-file sums are exchanged."""
-    plan = plan_of(H.complexity_trends(*stored))
-    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
-    assert len(exchanges) == 2 and sum("file_path" in e for e in exchanges) == 1
+def exchanged(df):
+    """Rows that each exchange on keys moved, by the line of the final adaptive plan."""
+    df.collect()
+    found, stack = [], [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif name in ("ResultQueryStageExec", "ShuffleQueryStageExec"):
+            stack.append(node.plan())
+        else:
+            if name == "ShuffleExchangeExec":
+                found.append((node.simpleString(500), node.metrics().apply("shuffleRecordsWritten").value()))
+            children = node.children()
+            stack += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_trends_do_not_shuffle_touches_outside_the_window(spark, stored, threshold):
+    """With and without a broadcast of the window, the exchange sees the window's touches alone."""
+    commits, touches = stored
+    inside = touches.join(newest_commits(commits, 3), ["repo_id", "commit_hash"]).count()
+    assert inside < touches.count() / 4
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(k, None) for k in keys]
+    for key in keys:
+        spark.conf.set(key, threshold)
+    try:
+        moved = exchanged(H.complexity_trends(commits, touches, 3))
+    finally:
+        for key, value in zip(keys, before):
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert max(n for line, n in moved if "file_path" in line) <= inside * 1.02
+    if threshold == "-1":  # the touches themselves are exchanged, for the join
+        assert inside <= max(n for line, n in moved if "commit_hash" in line) <= inside * 1.02
+
+
+def test_the_key_filter_loses_no_key(spark):
+    small = spark.range(0, 30_000, 3).select(F.col("id").alias("k"), F.col("id").cast("string").alias("s"))
+    big = spark.range(60_000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("s"))
+    kept = {r["k"] for r in big.filter(key_filter(small, ["k", "s"])).collect()}
+    assert set(range(0, 30_000, 3)) <= kept and len(kept) < 10_500
+    assert big.filter(key_filter(small.limit(0), ["k", "s"])).isEmpty()
 
 
 def test_hotspots_shuffle_the_touches_once(stored, no_broadcast):
