@@ -1,9 +1,8 @@
 """Text vectors and similarity."""
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import HashingTF, IDF, Tokenizer
 from pyspark.ml.functions import vector_to_array
@@ -51,64 +50,54 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, key: str = "vec_id") -
 
 
 def most_similar(probes: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = -1.0,
-                 probe_key: str = "probe_id", key: str = "vec_id", block: int = 512) -> DataFrame:
+                 probe_key: str = "probe_id", key: str = "vec_id", block: int = 512, tile: int = 8_192) -> DataFrame:
     """The ``k`` corpus vectors most similar to each probe, at or above ``threshold``.
 
-    Probes are compared block by block: a block of at most ``block`` vectors goes to every task,
-    each batch of the corpus keeps its own best ``k`` per probe, and the final ranking sees only
-    those. The corpus is scanned once per block and never shuffled.
+    Every probe meets every vector, in blocks of about ``block`` probes and tiles of about ``tile`` vectors: one group of
+    work for each pair of them, which keeps its own best ``k`` per probe, and the final ranking sees only those. Both sides
+    are tables from start to end. For large sets of probes ``vector_index`` compares a part of the corpus only.
     """
-    numbered = probes.select(F.col(probe_key).alias("_p"), "embedding")
-    n_blocks = max(1, -(-numbered.count() // block))
-    id_type, probe_type = corpus.schema[key].dataType, probes.schema[probe_key].dataType
-    schema = (f"{probe_key} {probe_type.simpleString()}, {key} {id_type.simpleString()}, similarity double")
-    context, best = corpus.sparkSession.sparkContext, None
-    slim = corpus.select(key, "embedding")
-    for part in range(n_blocks):
-        rows = numbered.filter(F.pmod(F.xxhash64("_p"), F.lit(n_blocks)) == part)
-        for chunk in _chunks(rows.toLocalIterator(), block):
-            held = context.broadcast((
-                [r["_p"] for r in chunk], _unit(np.array([r["embedding"] for r in chunk], dtype=np.float64))))
-            found = slim.mapInPandas(_scorer(held, k, threshold, probe_key, key), schema)
-            best = found if best is None else best.unionByName(found)
-    if best is None:
-        return corpus.sparkSession.createDataFrame([], schema + ", rank int")
-    order = W.partitionBy(probe_key).orderBy(F.desc("similarity"), key)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-
-
-def _chunks(rows, size):
-    chunk = []
-    for row in rows:
-        chunk.append(row)
-        if len(chunk) == size:
-            yield chunk
-            chunk = []
-    if chunk:
-        yield chunk
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), EPS)
-
-
-def _scorer(held, k, threshold, probe_key, key):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, probes = held.value
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            batch = batch[batch["embedding"].notna()]  # no vector, no similarity
-            if len(batch) == 0:
-                continue
-            vectors = _unit(np.stack(batch["embedding"].to_numpy()).astype(np.float64))
-            keys, parts = batch[key].to_numpy(), []
-            by_key = np.argsort(keys, kind="stable")
-            keys, scores = keys[by_key], (vectors @ probes.T)[by_key]
-            for j, probe in enumerate(ids):
-                top = np.argsort(-scores[:, j], kind="stable")[:k]
-                top = top[scores[top, j] >= threshold]
-                parts.append(pd.DataFrame({probe_key: [probe] * len(top), key: keys[top],
-                                           "similarity": scores[top, j]}))
-            yield pd.concat(parts)
-    return score
+    asked = probes.select(F.col(probe_key).alias("probe"), F.col("embedding").alias("unit")).filter("unit is not null")
+    rows = corpus.select(F.col(key).alias("key"), F.col("embedding").alias("unit")).filter("unit is not null")
+    blocks, tiles = (max(1, -(-df.count() // size)) for df, size in ((asked, block), (rows, tile)))
+    numbered = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    cell = ["tile", "block"]
+    left = asked.withColumn("block", dealt("probe", blocks)).withColumn("tile", numbered(tiles)).repartition(blocks * tiles, *cell)
+    right = rows.withColumn("tile", dealt("key", tiles)).withColumn("block", numbered(blocks)).repartition(blocks * tiles, *cell)
+    names = (probe_key, probes.schema[probe_key].dataType), (key, corpus.schema[key].dataType)
+    return ranked(left.groupBy(*cell).cogroup(right.groupBy(*cell)), k, threshold, *names)
+
+
+def ranked(groups, k: int, threshold: float, probe: tuple, key: tuple) -> DataFrame:
+    """Best ``k`` per probe over cogroups of ``probe, unit`` and ``key, unit``; ties by key."""
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list = [(), (), ()]
+        if a.num_rows and b.num_rows:
+            vectors = [t.column("unit").combine_chunks() for t in (a, b)]
+            width = max(pc.max(v.value_lengths()).as_py() for v in vectors)
+            scores = np.matmul(*[m if n == 0 else m.T for n, m in enumerate(unit_rows(v, width) for v in vectors)])
+            keys = np.array(b.column("key").to_pylist())
+            order = np.argsort(keys, kind="stable")
+            top = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+            value = np.take_along_axis(scores, top, 1)
+            row, at = np.nonzero(value >= threshold)
+            names = a.column("probe").to_pylist()
+            found = [[names[r] for r in row], keys[top[row, at]].tolist(), value[row, at]]
+        return pa.table([pa.array(found[0], a.schema.field("probe").type), pa.array(found[1], b.schema.field("key").type),
+                         pa.array(found[2], pa.float64())], names=[probe[0], key[0], "similarity"])
+
+    near = groups.applyInArrow(best, f"{probe[0]} {probe[1].simpleString()}, {key[0]} {key[1].simpleString()}, similarity double")
+    order = W.partitionBy(probe[0]).orderBy(F.desc("similarity"), key[0])
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def unit_rows(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of length one; what is missing of ``width`` components is zero, a null component too."""
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    n = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(column), width))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+    row = np.repeat(np.arange(len(column)), n)
+    out[row[place < width], place[place < width]] = flat[place < width]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), EPS)

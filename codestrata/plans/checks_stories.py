@@ -1,10 +1,14 @@
 """Checked queries: stories, vectors and scalar functions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import colors, dates, numbers as N, paths, rules, vectors
 from ..operators import similarity as S, stories as T
 from ..operators.history import change_metrics
+from ..operators.vector_index import build_index, search_index
+from ..session import shared_folder
 from . import workload as X
 from .checks_graph import color_sql
 from .checks_history import TYPED
@@ -137,6 +141,35 @@ def _(spark, sf):
     return S.most_similar(_centers(spark, sf), X.table(spark, sf, "embeddings"), k=5, threshold=0.0)
 
 
+def _index(spark, sf):
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    build_index(X.table(spark, sf, "embeddings"), path)
+    probes = X.table(spark, sf, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe_id"), "embedding")
+    return path, probes
+
+
+TWENTIETH = VECTORS + """, p AS (
+SELECT a.vec_id AS probe_id, b.vec_id, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.vec_id % 20 = 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY similarity DESC, vec_id) AS rank FROM p QUALIFY rank <= 10)"""
+
+
+@query("e4_indexed_search", TWENTIETH + " SELECT probe_id, vec_id, round(similarity, 6) AS similarity, rank FROM best")
+def _(spark, sf):
+    """Every bucket visited: the index gives the exact result."""
+    path, probes = _index(spark, sf)
+    return search_index(spark, path, probes, share=1.0)
+
+
+@query("e4_index_recall", TWENTIETH + " SELECT count(*) AS wanted, true AS enough FROM best")
+def _(spark, sf):
+    """The index at its own share of buckets against the exact form, over all rows."""
+    path, probes = _index(spark, sf)
+    exact = S.most_similar(probes, X.table(spark, sf, "embeddings"), k=10)
+    hits = search_index(spark, path, probes).select("probe_id", "vec_id", F.lit(True).alias("_hit"))
+    return exact.join(hits, ["probe_id", "vec_id"], "left").agg(
+        F.count(F.lit(1)).alias("wanted"), (F.count("_hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+
+
 @query("e5_embed_text", """
 SELECT repo_id, file_path, CAST(len(string_split_regex(lower(content), '[ \\t\\n\\x0B\\f\\r]')) AS BIGINT) AS raw_tokens
 FROM files""", use="lines")
