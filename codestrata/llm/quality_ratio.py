@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from .common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 BUCKETS = 16_384
 #: Log ratios are kept as whole millionths, so that sums do not depend on their order.
@@ -80,12 +79,12 @@ def base_rules(docs: DataFrame, id_column: str = "doc_id", text_column: str = "t
     lines = F.filter(F.split(text, "\n", -1), lambda s: s.rlike(WORD))
     counted = docs.select(
         F.col(id_column).alias("doc_id"), text_words(text).alias("_w"),
-        (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda s: (F.size(s) - F.size(F.array_distinct(s))).cast("long")).alias("n_dup_lines"))
     n = F.col("n_words")
     return counted.select(
-        "doc_id", F.size("_w").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", F.size("_w").cast("long").alias("n_words"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"), "n_symbols", "n_dup_lines",
         let(F.col("_w"), repeated_words).alias("n_repeat_words"), "_w").withColumn(
         "base_failed", (n < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(50) * n))
 
