@@ -129,6 +129,31 @@ def _(spark, sf):
     return G.connected_communities(X.part_edges(spark, sf))
 
 
+WHOLE = """, both_ AS (SELECT repo_id, src AS a, dst AS b FROM pe UNION SELECT repo_id, dst, src FROM pe),
+near(repo_id, a, b) AS (
+  SELECT repo_id, a, a FROM both_
+  UNION SELECT n.repo_id, n.a, e.b FROM near n JOIN both_ e ON e.repo_id = n.repo_id AND e.a = n.b),
+whole AS (SELECT repo_id, a AS node, min(b) AS component FROM near GROUP BY 1, 2)"""
+
+
+@query("g8_modular_communities", WHOLE + _modularity_sql("pe", "(SELECT w.component FROM whole w WHERE w.repo_id = deg.repo_id AND w.node = deg.node)") + """
+SELECT q.repo_id, n.nodes, round(q.q, 6) AS whole_modularity, true AS no_worse, n.nodes AS nodes_inside
+FROM mod_ q JOIN (SELECT repo_id, count(*) AS nodes FROM whole GROUP BY 1) n USING (repo_id)""", use="cycles", recursive=True)
+def _(spark, sf):
+    """The searched partition: every node once, inside its component, and never a lower score than the components."""
+    edges = X.part_edges(spark, sf)
+    found = cut_lineage(G.modular_communities(edges))
+    whole = cut_lineage(G.connected_communities(edges))
+    home = whole.select("repo_id", F.col("node").alias("community"), F.col("community").alias("_home"))
+    placed = (found.join(home, ["repo_id", "community"])
+              .join(whole.withColumnRenamed("community", "_whole"), ["repo_id", "node"]).groupBy("repo_id").agg(
+                  F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("_home") == F.col("_whole")).alias("nodes_inside")))
+    score = G.modularity(edges, found).withColumnRenamed("modularity", "_found")
+    return (G.modularity(edges, whole).join(score, "repo_id").join(placed, "repo_id").select(
+        "repo_id", "nodes", F.col("modularity").alias("whole_modularity"),
+        (F.col("_found") >= F.col("modularity") - 1e-12).alias("no_worse"), "nodes_inside"))
+
+
 @query("g6_graph_metadata_cycles", component_sql("pe") + _modularity_sql("pe", "node") +
        METADATA.format(nodes="nodes_", edges="pe"), use="cycles", recursive=True)
 def _(spark, sf):

@@ -2,10 +2,11 @@
 
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import colors, dates, numbers as N, paths, rules, vectors
-from ..operators import similarity as S, stories as T
+from ..operators import batch_model as B, similarity as S, stories as T
 from ..operators.history import change_metrics
 from ..operators.vector_index import build_index, search_index
 from ..session import shared_folder
@@ -180,6 +181,25 @@ def _(spark, sf):
     return rows.select("repo_id", "file_path", (F.col("n_tokens") + trailing).cast("long").alias("raw_tokens"))
 
 
+LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+MODEL_VALUE = "CAST(sum((b * 31 + {0} * 17) % 101 - 50) AS DOUBLE) / count(*)"
+
+
+@query("e5_model_vectors", f""", w AS (
+SELECT doc_id, unnest(regexp_extract_all(translate(text, {LETTERS}), '[^ \\t\\n\\x0B\\f\\r]+')) AS word FROM documents),
+b AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 4) AS INT) % 512 AS b FROM w),
+v AS (SELECT doc_id, {", ".join(f"{MODEL_VALUE.format(j)} AS v{j}" for j in range(4))} FROM b GROUP BY 1)
+SELECT doc_id, {", ".join(f"round(coalesce(v{j}, 0.0), 6) AS v{j}" for j in range(4))} FROM documents LEFT JOIN v USING (doc_id)""", use="lines")
+def _(spark, sf):
+    """A model of one table, stored, loaded and applied in batches; the table follows a rule that SQL can state."""
+    b, j = np.arange(512)[:, None], np.arange(4)[None]
+    path = f"{shared_folder(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    B.save_arrays(spark, {"rows": ((b * 31 + j * 17) % 101 - 50).astype(np.float64)}, path)
+    found = B.model_vectors(X.table(spark, sf, "documents").select("doc_id", "text"), "text",
+                            B.load_arrays(spark, path), B.mean_word_rows)
+    return found.select("doc_id", *[F.get("embedding", F.lit(i)).alias(f"v{i}") for i in range(4)])
+
+
 @query("f1_hsv_hex", f"SELECT repo_id, commit_hash, file_path, {color_sql('(lines % 101) / 100.0::DOUBLE')} AS color FROM changes")
 def _(spark, sf):
     return X.file_changes(spark, sf).select("repo_id", "commit_hash", "file_path", colors.hsv_hex(

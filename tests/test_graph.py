@@ -114,3 +114,45 @@ def test_nodes_prefer_the_file_size(spark):
     assert rows(nodes, "node", "size") == [("a.py", 40), ("alone.py", 3), ("b.py", 1), ("os", 1)]
     colored = G.colored_nodes(nodes, edges(spark, [("a.py", "os")]))
     assert colored.filter(F.col("color").rlike("^#[0-9a-f]{6}$")).count() == 4
+
+
+def brute_score(pairs, community):
+    links = {tuple(sorted(p)) for p in pairs}
+    m, total = len(links), 0.0
+    for c in set(community.values()):
+        degree = sum((community[a] == c) + (community[b] == c) for a, b in links)
+        total += sum(community[a] == c == community[b] for a, b in links) / m - (degree / (2 * m)) ** 2
+    return total
+
+
+def test_modular_communities(spark):
+    """Known best partitions, random graphs never below their components, and the score itself by brute force."""
+    rng = random.Random(5)
+    sets = {
+        "triangles": [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("e", "f"), ("f", "d"), ("c", "d"), ("d", "c")],
+        "cliques": [(f"{i}{x}", f"{i}{y}") for i in range(4) for x, y in itertools.combinations("abcd", 2)]
+        + [(f"{i}a", f"{(i + 1) % 4}b") for i in range(4)],
+        "star": [("hub", f"l{i:02}") for i in range(40)],
+        "loop": [("x", "x")],
+        "random": sorted({(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(35)}),
+    }
+    df = None
+    for repo, pairs in sets.items():
+        one = edges(spark, pairs, repo)
+        df = one if df is None else df.unionByName(one)
+    parts = G.modular_communities(df)
+    found, whole = {}, {}
+    for table, into in ((parts, found), (G.connected_communities(df), whole)):
+        for r in table.collect():
+            into.setdefault(r["repo_id"], {})[r["node"]] = r["community"]
+    for repo, pairs in sets.items():
+        assert set(found[repo]) == {n for p in pairs for n in p}, repo
+        assert brute_score(pairs, found[repo]) >= brute_score(pairs, whole[repo]) - 1e-12, repo
+        assert all(whole[repo][n] == whole[repo][c] for n, c in found[repo].items()), repo
+    assert abs(brute_score(sets["triangles"], found["triangles"]) - 5 / 14) < 1e-12
+    assert len({frozenset(n for n in found["cliques"] if found["cliques"][n] == c) for c in found["cliques"].values()}) == 4
+    assert all(found["cliques"][f"{i}a"] == found["cliques"][f"{i}{x}"] for i in range(4) for x in "bcd")
+    assert len(set(found["star"].values())) == 1
+    scores = {r["repo_id"]: r["modularity"] for r in G.modularity(df, parts).collect()}
+    assert all(abs(scores[repo] - brute_score(pairs, found[repo])) < 1e-12 for repo, pairs in sets.items())
+    assert G.modular_communities(df.limit(0)).isEmpty()
