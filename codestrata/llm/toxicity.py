@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, utf8
+from .common import slices, stored, utf8
 
 WIDTHS = (1, 2, 3)
 FILTERS = 16
@@ -142,8 +142,10 @@ class Scorer:
             if len(rows):
                 cuts = np.maximum(starts[rows], a) - a
                 got = self.model.responses(self.tables, ids[a:b + 2])
+                got[ids[a:b] == 0] = -np.inf  # windows begin at words; one that begins behind a text reaches the next
                 pooled[rows] = np.maximum(pooled[rows], np.maximum.reduceat(got, cuts))
                 counts[rows] += np.add.reduceat(self.marks[ids[a:b]], cuts)
+        pooled[lengths == 0] = 0
         spoken = np.where(counts.any(1), counts.argmax(1), len(COMMON))
         return pooled, spoken
 
@@ -168,9 +170,16 @@ class Coder:
 
 def fit(coded: list[np.ndarray], vocabulary: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.08,
         seed: int = 1) -> Model:
-    """Adaptive gradient descent; the gradient reaches only the window that won each filter's maximum."""
+    """Adaptive gradient descent; the gradient reaches only the window that won each filter's maximum.
+
+    Without two classes there is nothing to tell apart: the head is zero, and every text is clean, or toxic if all labels are.
+    """
     model, r = Model.fresh(seed), np.random.default_rng(seed)
-    share = max(labels.mean(), 1e-3) if len(labels) else 0.5
+    if not 0 < labels.sum() < len(labels):
+        model.head[:] = 0
+        model.base = 1.0 if len(labels) and labels.all() else -1.0
+        return model
+    share = max(labels.mean(), 1e-3)
     model.base = float(np.log(share / (1 - min(share, 0.999))))
     weight = np.where(labels == 1, 0.5 / share, 0.5 / max(1 - share, 1e-3))
     coded = [np.pad(c, (0, max(2, 3 - len(c)))) for c in coded]
@@ -269,27 +278,33 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, text_byte
           all_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on a bounded sample of labelled rows; rows with remainder 0 are never read.
 
-    The sample is the ``rows`` labelled ids with the smallest hash whose text has at most ``text_bytes`` bytes,
-    up to ``all_bytes`` in all. Ids with contradicting labels count as toxic; null labels are no labels.
-    Without any sample the model scores every text 0.5 or a constant beside it.
+    The sample is taken in the order of a hash of the id, whatever the layout of the tables: the first ``rows`` labelled ids,
+    of these the texts of at most ``text_bytes`` bytes (one text per id, chosen by hash), up to ``all_bytes`` in all. Ids with
+    contradicting labels count as toxic; null labels are no labels. Without labels of both kinds all texts get one score: 0.27
+    (clean), or 0.73 if all labels are toxic.
     """
+    place = F.xxhash64(F.col("doc_id"), F.lit(1))
     known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(remainder() != 0)
-             .orderBy(F.xxhash64(F.col("doc_id"), F.lit(1)), "doc_id").limit(rows))
-    sample = (docs.select("doc_id", F.col("text").cast("binary").alias("data"))
-              .filter(F.col("data").isNotNull() & (F.octet_length("data") <= text_bytes))
-              .join(F.broadcast(known), "doc_id")  # at most ``rows`` ids
-              .select("doc_id", (remainder() == 1).alias("tune"), (F.col("toxic") != 0).cast("int").alias("y"), "data"))
+             .orderBy(place, "doc_id").limit(rows))
+    sample = stored(
+        docs.select("doc_id", F.col("text").cast("binary").alias("data"))
+        .filter(F.col("data").isNotNull() & (F.octet_length("data") <= text_bytes))
+        .join(F.broadcast(known), "doc_id")  # at most ``rows`` ids
+        .groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("data").alias("hash"), "data")).alias("one"))
+        .select("doc_id", place.alias("place"), (remainder() == 1).alias("tune"),
+                (F.col("toxic") != 0).cast("int").alias("y"), F.col("one.data").alias("data")))
     size, coder, parts = 0, Coder(), {True: ([], []), False: ([], [])}
-    for _, tune, y, data in sample.toLocalIterator():
-        size += len(data)
+    for row in sample.orderBy("place", "doc_id").toLocalIterator():
+        size += len(row.data)
         if size > all_bytes:
             break
-        parts[tune][0].append(coder.code(bytes(data)))
-        parts[tune][1].append(y)
+        parts[row.tune][0].append(coder.code(bytes(row.data)))
+        parts[row.tune][1].append(row.y)
     vocabulary = list(coder.number)
     model = fit(parts[False][0], vocabulary, np.array(parts[False][1]))
-    calibrate(model, parts[True][0], vocabulary, np.array(parts[True][1]))
+    if model.head.any():
+        calibrate(model, parts[True][0], vocabulary, np.array(parts[True][1]))
     return model
 
 

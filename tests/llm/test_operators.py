@@ -354,8 +354,41 @@ def test_toxicity(spark, messy, none):
     assert found.count() == messy.count() and found.filter("NOT score BETWEEN 0 AND 1").isEmpty()
     assert toxicity.keep_clean(messy, model).columns == messy.columns
     assert toxicity.score(none, model).count() == 0
-    empty = toxicity.train(none, labels.limit(0))
-    assert toxicity.score(messy, empty).count() == messy.count()
+    # Nothing to learn from: one score for all, and nothing is thrown away unless all labels are toxic.
+    for marked, least, most in ((labels.limit(0), 0.2, 0.3), (labels.filter("toxic = 0"), 0.2, 0.3), (labels.filter("toxic = 1"), 0.7, 0.8)):
+        lame = toxicity.train(docs, marked)
+        found = {r["score"] for r in toxicity.score(messy, lame).collect()}
+        assert len(found) == 1 and least < found.pop() < most
+    # The sample, and so the model, does not follow the layout of the tables, repeated ids included.
+    twice = docs.unionByName(docs.filter("doc_id < 300").withColumn("text", F.concat("text", F.lit(" again"))))
+    one, two = (toxicity.train(d, labels, all_bytes=20_000) for d in (twice.repartition(7, "text"), twice.orderBy(F.desc("doc_id"))))
+    assert np.array_equal(one.slots, two.slots) and np.array_equal(one.head, two.head) and one.thresholds == two.thresholds
+
+
+def plain_logit(model, text):
+    """The forward pass in loops: embedding of each word, each window of each filter, maximum, head."""
+    words = toxicity.text_words(text)
+    vectors = [sum(model.slots[s].astype(float) for s in toxicity.word_slots(w)) for w in words]
+    pooled = []
+    for width, bank in zip(toxicity.WIDTHS, model.filters):
+        for f in range(bank.shape[2]):
+            found = [sum(float(vectors[i + j] @ bank[j][:, f]) for j in range(width) if i + j < len(words)) for i in range(len(words))]
+            pooled.append(max(found, default=0.0))
+    return sum(max(p + float(b), 0.0) * float(h) for p, b, h in zip(pooled, model.bias, model.head)) + model.base
+
+
+def test_toxicity_forward_pass(monkeypatch):
+    """Scores against plain loops: no text's score depends on the texts beside it or on where chunks end."""
+    rng = random.Random(4)
+    texts = [words_of(rng, n).encode() for n in (1, 2, 3, 40, 7, 1)] + [b"", "\u00c4h \u4e2d\u6587 the the".encode(), b"", b"12 ."]
+    rng.shuffle(texts)
+    model = toxicity.Model.fresh(3)
+    model.bias += np.linspace(-0.2, 0.2, len(model.bias), dtype=np.float32)
+    expected = [plain_logit(model, t) for t in texts]
+    for chunk in (toxicity.CHUNK, 5, 1):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        got, _ = toxicity.Scorer(model).logits([toxicity.text_words(t) for t in texts])
+        assert np.allclose(got, expected, atol=1e-4)
 
 
 def test_scores_read_long_texts_whole():
