@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import colors
 from ..functions.paths import basename, directory, dotted_name
-from ..session import cut_lineage
+from ..session import written
 from .grouping import skew_join
 from .history import FILE, commit_frequency
 from .python_source import with_sha
@@ -127,60 +127,72 @@ def _inner_edges(pairs: DataFrame, keep: DataFrame) -> DataFrame:
             .select("repo_id", "src", "dst"))
 
 
-def trim(pairs: DataFrame, rounds: int = 3) -> DataFrame:
-    """Drop edges at nodes without incoming or without outgoing edges, a few times over."""
-    for _ in range(rounds):
-        both = pairs.select("repo_id", F.col("src").alias("node")).intersect(
-            pairs.select("repo_id", F.col("dst").alias("node")))
-        pairs = cut_lineage(_inner_edges(pairs, both))
-    return pairs
+def trim(pairs: DataFrame) -> DataFrame:
+    """Drop edges at nodes without incoming or without outgoing edges."""
+    both = pairs.select("repo_id", F.col("src").alias("node")).intersect(
+        pairs.select("repo_id", F.col("dst").alias("node")))
+    return _inner_edges(pairs, both)
+
+
+def _least_both_ways(pairs: DataFrame) -> DataFrame:
+    """``repo_id, node, least_from, least_to``: the smallest node that reaches a node, and the smallest it reaches.
+
+    Both directions are walked at once, as two halves of one table of arcs. In a round a node takes the smallest
+    label of itself and of the nodes one arc before it, then that label's own label, so that what a node knows
+    of a long chain grows by a factor instead of by one. Each round is cut from the one before; runs until no label
+    changes, and minima are combined before the exchange.
+    """
+    key = ["repo_id", "onward"]
+    arcs = written(pairs.select("repo_id", F.inline(F.array(
+        F.struct(F.lit(True).alias("onward"), F.col("src").alias("before"), F.col("dst").alias("node")),
+        F.struct(F.lit(False).alias("onward"), F.col("dst").alias("before"), F.col("src").alias("node"))))))
+    labels = written(arcs.select(*key, F.explode(F.array("before", "node")).alias("node")).distinct()
+                         .withColumn("label", F.col("node")))
+
+    while True:
+        near = (skew_join(arcs, labels.withColumnRenamed("node", "before"), [*key, "before"])
+                .groupBy(*key, "node").agg(F.min("label").alias("_near")))
+        met = labels.join(near, [*key, "node"], "left").select(
+            *key, "node", F.col("label").alias("_last"), F.least("label", "_near").alias("label"))
+        up = met.select(*key, F.col("node").alias("label"), F.col("label").alias("_up"))
+        new = written(skew_join(met, up, [*key, "label"]).select(
+            *key, "node", F.col("_up").alias("label"), (F.col("_up") < F.col("_last")).alias("changed")))
+        labels = new.select(*key, "node", "label")
+        if _empty(new.filter("changed")):
+            break
+    return labels.groupBy(*NODE).agg(F.min(F.when(F.col("onward"), F.col("label"))).alias("least_from"),
+                                     F.min(F.when(~F.col("onward"), F.col("label"))).alias("least_to"))
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
-    """``repo_id, node, component`` for every component of two or more nodes.
+    """``repo_id, node, component`` for every component of two or more nodes, named by its smallest node.
 
-    Round by round: colour each node with the smallest node that reaches it, then walk backwards
-    from each colour's own node inside the colour. Both walks are joins with a grouped minimum,
-    so a hub is combined before the exchange. Runs to the fixed point: each round settles at least
-    one component, and each step of a walk moves at least one node.
+    Round by round each node learns the smallest node that reaches it and the smallest that it reaches. Where both
+    are the same node, they share its component; any two nodes of one component agree in both, so edges
+    between nodes that do not are dropped, and the rest goes on. Each round settles at least the component of every node
+    smaller than all it is connected with. Nodes are compared by a hash in front of their name: the number
+    of rounds does not depend on how names follow the edges.
     """
     spark = edges.sparkSession
-    left = trim(cut_lineage(_pairs(edges)))
+    coded = lambda name: F.concat(F.lpad(F.hex(F.xxhash64(name)), 16, "0"), name).alias(name)
+    pairs = _pairs(edges).select("repo_id", coded("src"), coded("dst"))
+    left = written(trim(written(pairs)))
     found = None
     while not _empty(left):
-        color = cut_lineage(graph_nodes(left).withColumn("color", F.col("node")))
-        active = color
-        while not _empty(active):
-            sent = (skew_join(left, active.select("repo_id", F.col("node").alias("src"), "color"), ["repo_id", "src"])
-                    .groupBy("repo_id", F.col("dst").alias("node")).agg(F.min("color").alias("_new")))
-            moved = color.join(sent, NODE, "left")
-            changed = F.col("_new").isNotNull() & (F.col("_new") < F.col("color"))
-            color = cut_lineage(moved.select(
-                *NODE, F.when(changed, F.col("_new")).otherwise(F.col("color")).alias("color"),
-                changed.alias("changed")))
-            active = color.filter("changed").select(*NODE, "color")
-            color = color.select(*NODE, "color")
-        same = cut_lineage(left.join(color.withColumnRenamed("node", "src"), ["repo_id", "src"])
-                           .join(color.select("repo_id", F.col("node").alias("dst"),
-                                              F.col("color").alias("_dst_color")), ["repo_id", "dst"])
-                           .filter(F.col("color") == F.col("_dst_color"))
-                           .select("repo_id", "src", "dst", "color"))
-        reached = color.filter(F.col("node") == F.col("color"))
-        frontier = reached
-        while not _empty(frontier):
-            back = (same.join(frontier.select("repo_id", F.col("node").alias("dst"), "color"),
-                              ["repo_id", "dst", "color"])
-                    .select("repo_id", F.col("src").alias("node"), "color").distinct())
-            frontier = cut_lineage(back.join(reached, [*NODE, "color"], "left_anti"))
-            reached = cut_lineage(reached.unionByName(frontier))
-        part = reached.select(*NODE, F.col("color").alias("component"))
+        sides = written(_least_both_ways(left))
+        part = sides.filter("least_from = least_to").select(*NODE, F.col("least_from").alias("component"))
         found = part if found is None else found.unionByName(part)
-        rest = graph_nodes(left).join(part, NODE, "left_anti")
-        left = trim(cut_lineage(_inner_edges(left, rest)), 1)
+        rest = sides.filter("least_from <> least_to")
+        at = lambda end: rest.select("repo_id", F.col("node").alias(end), "least_from", "least_to")
+        same = (skew_join(left, at("src"), ["repo_id", "src"])
+                .join(at("dst"), ["repo_id", "dst", "least_from", "least_to"]).select("repo_id", "src", "dst"))
+        left = written(trim(same))
     if found is None:
         return spark.createDataFrame([], "repo_id string, node string, component string")
-    size = found.groupBy("repo_id", "component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return found.join(size, ["repo_id", "component"], "left_semi").select(*NODE, "component")
+    name = F.substring("node", 17, 1 << 30)
+    named = found.groupBy("repo_id", "component").agg(F.min(name).alias("_name"), F.count(F.lit(1)).alias("_n"))
+    return (skew_join(found, named.filter("_n > 1"), ["repo_id", "component"])
+            .select("repo_id", name.alias("node"), F.col("_name").alias("component")))
 
 
 def component_labels(edges: DataFrame, components: DataFrame) -> DataFrame:
@@ -194,34 +206,59 @@ def circular_dependencies(edges: DataFrame, components: DataFrame | None = None,
     """Every elementary cycle, once, from its smallest node.
 
     Paths are walked inside strongly connected components only, as no cycle leaves one, until none can be
-    made longer; each hop is cut from the one before. ``components`` comes from ``strongly_connected`` where it is
+    made longer; each hop is cut from the one before. A path grows only to nodes that still reach its start
+    over nodes larger than the start (``ways_home``). ``components`` comes from ``strongly_connected`` where it is
     at hand already. The number of cycles of a dense component grows without bound by nature; a caller who wants
-    short ones only passes ``max_len``.
+    short ones only passes ``max_len``, which also ends paths too far from their start to come back in time.
     """
-    all_pairs = cut_lineage(edges.select("repo_id", "src", "dst").distinct())
+    all_pairs = written(edges.select("repo_id", "src", "dst").distinct())
     found = [all_pairs.filter(F.col("src") == F.col("dst")).select("repo_id", F.array("src").alias("cycle"))]
     ends = (strongly_connected(all_pairs) if components is None else components).select(*NODE, "component")
-    pairs = cut_lineage(all_pairs.filter(F.col("src") != F.col("dst"))
+    pairs = written(all_pairs.filter(F.col("src") != F.col("dst"))
                         .join(ends.withColumnRenamed("node", "src"), ["repo_id", "src"])
                         .join(ends.withColumnRenamed("node", "dst"), ["repo_id", "dst", "component"])
                         .select("repo_id", "src", "dst"))
+    home = ways_home(pairs, max_len)
     step = pairs.select("repo_id", F.col("src").alias("last"), F.col("dst").alias("next"))
-    closing = pairs.select("repo_id", F.col("src").alias("last"), F.col("dst").alias("start"))
-    paths = pairs.filter(F.col("src") < F.col("dst")).select(
-        "repo_id", F.col("src").alias("start"), F.col("dst").alias("last"),
-        F.array("src", "dst").alias("cycle"))
+    paths = pairs.select("repo_id", F.col("src").alias("start"), F.col("dst").alias("last"),
+                         F.array("src", "dst").alias("cycle"))
     length = 2
-    while (max_len is None or length <= max_len) and not _empty(paths):
-        found.append(paths.join(closing, ["repo_id", "last", "start"], "left_semi").select("repo_id", "cycle"))
-        paths = cut_lineage(
-            paths.join(step, ["repo_id", "last"])
-            .filter((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next")))
-            .select("repo_id", "start", F.col("next").alias("last"),
-                    F.concat("cycle", F.array("next")).alias("cycle")))
+    while True:
+        left = F.lit(True) if max_len is None else F.col("hops") + length <= max_len
+        paths = written(paths.join(home, ["repo_id", "start", "last"]).filter(left))
+        if _empty(paths):
+            break
+        found.append(paths.filter("hops = 1").select("repo_id", "cycle"))
+        paths = (paths.select("repo_id", "start", "last", "cycle").join(step, ["repo_id", "last"])
+                 .filter((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next")))
+                 .select("repo_id", "start", F.col("next").alias("last"),
+                         F.concat("cycle", F.array("next")).alias("cycle")))
         length += 1
     return reduce(DataFrame.unionByName, found)
 
 
+def ways_home(pairs: DataFrame, max_len: int | None = None) -> DataFrame:
+    """``repo_id, start, last, hops``: nodes larger than ``start`` that reach it over larger nodes, with the least
+    number of edges.
+
+    Walked backwards from every start at once, one hop a job. Only starts with an edge to a larger node and one from a
+    larger node take part. With ``max_len`` no way is longer than a cycle of that length allows.
+    """
+    out = pairs.filter(F.col("dst") > F.col("src")).select("repo_id", F.col("src").alias("start")).distinct()
+    back = pairs.select("repo_id", F.col("dst").alias("last"), F.col("src").alias("before"))
+    ring = written(pairs.filter(F.col("src") > F.col("dst"))
+                       .select("repo_id", F.col("dst").alias("start"), F.col("src").alias("last"))
+                       .join(out, ["repo_id", "start"], "left_semi").withColumn("hops", F.lit(1)))
+    known, hops = ring, 1
+    while (max_len is None or hops < max_len - 1) and not _empty(ring):
+        hops += 1
+        ring = written(ring.join(back, ["repo_id", "last"]).filter(F.col("before") > F.col("start"))
+                           .select("repo_id", "start", F.col("before").alias("last")).distinct()
+                           .join(known, ["repo_id", "start", "last"], "left_anti").withColumn("hops", F.lit(hops)))
+        known = known.unionByName(ring)
+    return written(known)
+
+
 def _undirected(edges: DataFrame) -> DataFrame:
     return edges.select("repo_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
@@ -239,10 +276,10 @@ def connected_communities(edges: DataFrame) -> DataFrame:
     before the exchange.
     """
     links = _undirected(edges).filter("a <> b")
-    both = cut_lineage(links.select("repo_id", F.inline(F.array(
+    both = written(links.select("repo_id", F.inline(F.array(
         F.struct(F.col("a").alias("node"), F.col("b").alias("other")),
         F.struct(F.col("b").alias("node"), F.col("a").alias("other"))))))
-    labels = cut_lineage(graph_nodes(edges).withColumn("community", F.col("node")))
+    labels = written(graph_nodes(edges).withColumn("community", F.col("node")))
     while True:
         near = (skew_join(both, labels.withColumnRenamed("node", "other"), ["repo_id", "other"])
                 .groupBy(*NODE).agg(F.min("community").alias("_near")))
@@ -251,9 +288,9 @@ def connected_communities(edges: DataFrame) -> DataFrame:
             F.min("_near").alias("_told"))
         least = (labels.join(near, NODE, "left").join(told, NODE, "left")
                  .select(*NODE, F.col("community").alias("_old"), F.least("community", "_near", "_told").alias("_mid")))
-        least = cut_lineage(least)
+        least = written(least)
         up = least.select("repo_id", F.col("node").alias("_mid"), F.col("_mid").alias("_up"))
-        new = cut_lineage(least.join(up, ["repo_id", "_mid"]).select(
+        new = written(least.join(up, ["repo_id", "_mid"]).select(
             *NODE, F.col("_up").alias("community"), (F.col("_up") != F.col("_old")).alias("changed")))
         labels = new.select(*NODE, "community")
         if _empty(new.filter("changed")):
@@ -293,7 +330,7 @@ def _best_partners(ties: DataFrame) -> DataFrame:
     side = lambda own, other: F.struct(
         F.col(own).alias("community"), F.struct(*order, F.col(other).alias("to"), F.col("k" + own).alias("own"),
                                                 F.col("k" + other).alias("its"), "w", "m").alias("pick"))
-    return cut_lineage(
+    return written(
         ties.filter(gain > 0).select("repo_id", F.inline(F.array(side("a", "b"), side("b", "a"))))
         .groupBy("repo_id", "community").agg(F.min("pick").alias("pick")).select("repo_id", "community", "pick.*"))
 
@@ -302,14 +339,14 @@ def _merges(asking: DataFrame) -> DataFrame:
     """``repo_id, community, to, k`` with the new degree, for the communities that move and those they join."""
     asked = asking.groupBy("repo_id", "to").agg(
         F.sum("own").alias("all"), F.min(F.struct("loss", "lo", "hi", "community")).alias("first"))
-    joining = cut_lineage(
+    joining = written(
         skew_join(asking, asked, ["repo_id", "to"])
         .filter((F.col("community") == F.col("first.community"))
                 | (2 * F.col("m") * F.col("w") > F.col("own") * (F.col("its") + F.col("all"))))
         .select("repo_id", "community", "to", "own", "its"))
     grown = joining.groupBy("repo_id", "to").agg((F.sum("own") + F.max("its")).alias("k"))
     moved = skew_join(joining.select("repo_id", "community", "to"), grown, ["repo_id", "to"])
-    return cut_lineage(moved.select("repo_id", "community", "to", "k")
+    return written(moved.select("repo_id", "community", "to", "k")
                        .unionByName(grown.select("repo_id", F.col("to").alias("community"), "to", "k")))
 
 
@@ -325,13 +362,13 @@ def modular_communities(edges: DataFrame) -> DataFrame:
     than ``connected_communities``. A community has the name of one of its nodes; repeated and reversed edges count once;
     an empty edge table gives no rows.
     """
-    links = cut_lineage(_undirected(edges))
-    degree = cut_lineage(_undirected_degrees(links))
+    links = written(_undirected(edges))
+    degree = written(_undirected_degrees(links))
     total = links.groupBy("repo_id").agg(F.count(F.lit(1)).alias("m"))
     side = lambda own: degree.select("repo_id", F.col("node").alias(own), F.col("_d").alias("k" + own))
     ties = skew_join(skew_join(links.filter("a <> b").withColumn("w", F.lit(1).cast("long")), side("a"), ["repo_id", "a"]),
                      side("b"), ["repo_id", "b"])
-    ties = cut_lineage(skew_join(ties, total, ["repo_id"]))
+    ties = written(skew_join(ties, total, ["repo_id"]))
     members = degree.select(*NODE, F.col("node").alias("community"))
     turn = 0
     while True:
@@ -351,13 +388,13 @@ def modular_communities(edges: DataFrame) -> DataFrame:
                     .withColumns({own: F.coalesce("_to", own), "k" + own: F.coalesce("_k", "k" + own)}).drop("_to", "_k"))
         swap = F.col("a") > F.col("b")
         flip = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x)
-        ties = cut_lineage(
+        ties = written(
             ties.filter("a <> b")
             .select("repo_id", flip("a", "b"), flip("b", "a"), flip("ka", "kb"), flip("kb", "ka"), "w", "m")
             .groupBy("repo_id", "a", "b", "ka", "kb", "m").agg(F.sum("w").alias("w")))
-        members = cut_lineage(skew_join(members, merges.select("repo_id", "community", "to"), ["repo_id", "community"], "left")
+        members = written(skew_join(members, merges.select("repo_id", "community", "to"), ["repo_id", "community"], "left")
                               .select(*NODE, F.coalesce("to", "community").alias("community")))
-    whole = cut_lineage(connected_communities(edges))
+    whole = written(connected_communities(edges))
     score = 4 * F.col("_m") * F.col("_inner") - F.col("_degree") * F.col("_degree")
     one = community_scores(links.toDF("repo_id", "src", "dst"), whole).select(
         "repo_id", F.col("community").alias("_whole"), score.alias("_one"))

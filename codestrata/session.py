@@ -1,6 +1,8 @@
 """Session settings and lineage cuts."""
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +69,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_folders: dict[str, SparkSession] = {}
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a step to the shared folder and read it back, for loops with joins.
+
+    A checkpoint cuts the jobs but hands on the size that was estimated for its plan; estimates of joins multiply, so in a
+    loop they gain digits by a factor a round until planning takes longer than the work. A table has the size of
+    its files. The tables of one application go when its driver ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/steps-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders[folder] = spark
+        atexit.register(_drop, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(folder: str) -> None:
+    context = _folders[folder].sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

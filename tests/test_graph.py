@@ -94,6 +94,32 @@ def test_a_cycle_of_six_is_found(spark):
     assert [r["cycle"] for r in found] == [[f"n{i}" for i in range(6)]]
 
 
+def test_a_long_ring_takes_few_jobs(spark, monkeypatch):
+    """Ten thousand modules in one ring, shuffled names, few steps; a chain beside it has no component."""
+    order = list(range(10_000))
+    random.Random(2).shuffle(order)
+    ring = [(f"n{a:05}", f"n{b:05}") for a, b in zip(order, order[1:] + order[:1])]
+    steps, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: steps.append(1) or write(df))
+    found = G.strongly_connected(edges(spark, ring + [(f"c{i}", f"c{i + 1}") for i in range(40)]))
+    assert found.groupBy("component").count().collect() == [("n00000", 10_000)]
+    assert len(steps) <= 60
+
+
+def test_paths_that_cannot_come_back_are_not_extended(spark):
+    """Start ``b`` leads into a wide lattice of larger nodes that leaves for ``a`` only: no way home without ``a``."""
+    layers = [[f"x{i}{j}" for j in "pq"] for i in range(6)]
+    lattice = [(u, v) for one, two in zip(layers, layers[1:]) for u in one for v in two]
+    pairs = [("a", "b"), ("b", "c"), ("c", "b"), ("b", "x0p"), ("b", "x0q")] + lattice + [("x5p", "a"), ("x5q", "a")]
+    df = edges(spark, pairs)
+    home = G.ways_home(df.select("repo_id", "src", "dst"))
+    assert {r["last"] for r in home.filter("start = 'b'").collect()} == {"c"}
+    assert dict(rows(home.filter("start = 'a' AND last LIKE 'x5%'"), "last", "hops")) == {"x5p": 1, "x5q": 1}
+    found = [tuple(r["cycle"]) for r in G.circular_dependencies(df).collect()]
+    assert len(found) == len(set(found)) == 2 ** 6 + 1 and ("b", "c") in found
+    assert G.ways_home(df.select("repo_id", "src", "dst"), 3).agg(F.max("hops")).collect()[0][0] == 2
+
+
 def test_degrees_count_distinct_edges(spark):
     df = edges(spark, [("a", "b"), ("a", "b"), ("b", "c"), ("c", "c")])
     assert rows(G.degrees(df), "node", "in_degree", "out_degree") == [("a", 0, 1), ("b", 1, 1), ("c", 2, 1)]
