@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.grouping import skew_join
 from ..session import shared_folder
 
 #: A-Z become a-z, every other ASCII byte outside 0-9 and a-z a space; bytes from 0x80 on stay.
@@ -88,18 +89,19 @@ def linked_groups(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: ``node, root`` with the smallest node as root.
 
     Alternates two star steps on written tables until no edge moves. Every round keeps at most as
-    many edges as it got; minima are combined before the exchange, so a node with a large share
-    of the edges costs one row per task. Nodes without edges are not returned.
+    many edges as it got. Minima are combined before the exchange, so a node with a large share
+    of the edges costs one row per task there; where its edges get their minimum, the hot key is cut. Nodes without
+    edges are not returned.
     """
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct())
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (skew_join(both, low, ["u"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .filter("u > v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u")
+        small = (skew_join(large, least, ["u"])
                  .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
                                            F.struct(F.col("u"), F.col("m").alias("v")))).alias("s"))
                  .select("s.u", "s.v").filter("u > v").distinct())
