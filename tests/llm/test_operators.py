@@ -146,6 +146,15 @@ def test_edit_distance():
     for _ in range(800):
         a, b = ("".join(rng.choices("ab c", k=rng.randint(0, 14))) for _ in range(2))
         assert lines.edit_distance(a, b) == slow(a, b) <= lines.edits_at_most(a.split(" "), b.split(" "))
+    for _ in range(200):  # many pairs in one number, with lanes of several bytes and empty texts
+        a = "".join(rng.choices("ab \u00fc", k=rng.choice([0, 1, 7, 8, 9, 64, 70])))
+        others = ["".join(rng.choices("ab \u00fc", k=rng.choice([0, 1, 8, 63, 90]))) for _ in range(rng.randint(1, 6))]
+        others.append("".join(c for c in a if rng.random() < 0.9))
+        most = [rng.choice([0, 1.5, 8, 40, 64.1]) for _ in others]
+        exact = [slow(a, b) for b in others]
+        assert lines.within(a, others, most) == [d <= m for d, m in zip(exact, most)]
+        for b, d, m in zip(others, exact, most):
+            assert (lines.edit_distance(a, b, m) <= m) == (d <= m)
 
 
 def slow_fingerprint(text):
@@ -430,6 +439,32 @@ def test_similar_lines_meet_whatever_their_bits(spark):
     assert whole <= kept <= whole + 0.05 * len(pairs)
 
 
+def test_clusters_in_tiles_link_the_same_lines(spark, monkeypatch):
+    rng = random.Random(21)
+    base = words_of(rng, 40).split()
+    made = [" ".join(base[:k] + ["zz"] + base[k + 1:]) for k in range(30)] + similar_lines(rng, 10)
+    docs = stored(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"))
+    members = spark.createDataFrame([(1, n, 5) for n in range(30)] + [(2, 3, 5), (2, 4, 6)], "cluster long, line long, fp long")
+    got = {}
+    for size in (1_000, 4):
+        monkeypatch.setattr(lines, "TILE", size)
+        got[size] = collected(lines.dedup_lines(docs, radius=None), "doc_id", "text", "n_removed")
+    assert got[1_000] == got[4] and sum(r[2] for r in got[4]) >= 29
+    held = {}
+    for r in lines.tiles(members).collect():
+        held.setdefault(r["cluster"], []).append((r["line"], r["side"]))
+    assert all(len({side for _, side in rows}) <= 2 for rows in held.values())
+    together = {(a, b) for rows in held.values() for a, x in rows for b, y in rows
+                if a < b and (x != y or len({side for _, side in rows}) == 1)}
+    assert together == {(a, b) for a in range(30) for b in range(a + 1, 30)}
+
+
+def test_a_node_with_many_edges_is_one_group(spark):
+    edges = spark.range(1, 3_000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    found = linked_groups(edges.unionByName(spark.createDataFrame([(9_001, 9_000)], "a long, b long")))
+    assert found.filter("root = 0").count() == 3_000 and found.filter("root = 9000").count() == 2
+
+
 def test_lines_of_one_or_two_words_take_part(spark):
     rows = spark.createDataFrame([(1, "les\n\u4f60\u597d\u4e16\u754c\u518d\u89c1\n--"), (2, "Les!\nerheed titionly\n--"),
                                   (3, "\u4f60\u597d\u4e16\u754c\u518d\u89c1\nerheed  titionly")], "doc_id long, text string")
