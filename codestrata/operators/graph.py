@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import colors
 from ..functions.paths import basename, directory, dotted_name
 from ..session import written
-from .grouping import skew_join
+from .grouping import sized_join, skew_join
 from .history import FILE, commit_frequency
 from .python_source import with_sha
 
@@ -26,15 +26,15 @@ class CodeMap(NamedTuple):
 def import_edges(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """File to imported module name; relative imports without a module are left out."""
     names = blocks.filter(F.col("kind") == "import").select("content_sha", F.col("name").alias("dst")).distinct()
-    return (with_sha(files).select("repo_id", F.col("file_path").alias("src"), "content_sha")
-            .join(names, "content_sha").select("repo_id", "src", "dst", F.lit("import").alias("type")))
+    return (sized_join(with_sha(files).select("repo_id", F.col("file_path").alias("src"), "content_sha"), names, "content_sha")
+            .select("repo_id", "src", "dst", F.lit("import").alias("type")))
 
 
 def resolve_imports(edges: DataFrame, files: DataFrame) -> DataFrame:
     """Edges whose target is a file of the same repository, as file-to-file edges."""
     known = files.select("repo_id", dotted_name(F.col("file_path")).alias("dst"),
                          F.col("file_path").alias("target"))
-    return edges.join(known, ["repo_id", "dst"]).select(
+    return sized_join(edges, known, ["repo_id", "dst"]).select(
         "repo_id", "src", F.col("target").alias("dst"), "type")
 
 
@@ -66,7 +66,7 @@ def module_nodes(edges: DataFrame, modules: DataFrame) -> DataFrame:
 def parsed_modules(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Files that parse, with their line count."""
     parsed = blocks.filter(F.col("kind") == "module").select("content_sha", F.col("endline").alias("size"))
-    return with_sha(files).select(*FILE, "content_sha").join(parsed, "content_sha").select(*FILE, "size")
+    return sized_join(with_sha(files).select(*FILE, "content_sha"), parsed, "content_sha").select(*FILE, "size")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def high_coupling(edges: DataFrame, threshold: int = 10) -> DataFrame:
 def colored_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes as records with colour (coupling and size) and position (path)."""
     counts = nodes.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_n"))
-    rows = (skew_join(nodes.join(degrees(edges), NODE, "left"), counts, ["repo_id"])
+    rows = (skew_join(sized_join(nodes, degrees(edges), NODE, "left"), counts, ["repo_id"])
             .fillna(0, ["in_degree", "out_degree"]))
     return rows.select(
         "repo_id", F.col("node").alias("id"), "name", F.lit("module").alias("type"), "size",
@@ -439,14 +439,14 @@ def code_map(blocks: DataFrame, files: DataFrame) -> CodeMap:
 def class_listing(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Every class with its number of direct methods and its line."""
     rows = blocks.filter(F.col("kind").isin("class", "inner_class"))
-    return with_sha(files).select(*FILE, "content_sha").join(rows, "content_sha").select(
+    return sized_join(with_sha(files).select(*FILE, "content_sha"), rows, "content_sha").select(
         *FILE, "name", F.col("n_methods").alias("methods"), F.col("lineno").alias("line_number"))
 
 
 def function_listing(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Every function that is not async, nested ones and methods included."""
     rows = blocks.filter(F.col("kind").isin("function", "method", "inner") & ~F.col("is_async"))
-    return with_sha(files).select(*FILE, "content_sha").join(rows, "content_sha").select(
+    return sized_join(with_sha(files).select(*FILE, "content_sha"), rows, "content_sha").select(
         *FILE, "name", F.col("n_args").alias("args"), F.col("lineno").alias("line_number"))
 
 
@@ -464,10 +464,10 @@ def module_details(blocks: DataFrame, files: DataFrame, modified: DataFrame | No
             F.col("lineno").alias("line_number"), "name", F.col("n_args").alias("args"))))).alias("functions"),
         F.array_sort(F.collect_set(F.when(kind == "import", F.col("name")))).alias("dependencies"),
         F.sum(F.when(kind == "function", F.col("complexity")).otherwise(0)).cast("double").alias("complexity"))
-    rows = skew_join(with_sha(files).select(*FILE, "content_sha"), per_text, ["content_sha"])
+    rows = skew_join(with_sha(files).select(*FILE, "content_sha"), per_text.hint("merge"), ["content_sha"])
     if modified is None:
         rows = rows.withColumn("last_modified", F.lit(None).cast("string"))
     else:
-        rows = rows.join(modified.select(*FILE, "last_modified"), FILE, "left")
+        rows = sized_join(rows, modified.select(*FILE, "last_modified"), FILE, "left")
     return rows.select(*FILE, basename(F.col("file_path")).alias("name"), "size", "classes", "functions",
                        "dependencies", "complexity", "last_modified")

@@ -111,6 +111,6 @@ def score_blocks(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     chosen = keyed.groupBy("content_sha").agg(F.min(place).alias("_place"))
     if known is not None:
         chosen = chosen.join(known.select("content_sha"), "content_sha", "left_anti")
-    distinct = skew_join(keyed.select("content_sha", "content", place.alias("_place")), chosen,
+    distinct = skew_join(keyed.select("content_sha", "content", place.alias("_place")), chosen.hint("merge"),
                          ["content_sha", "_place"], "left_semi")
     return distinct.select("content_sha", "content").repartition(tasks, "content_sha").mapInPandas(_score, CODE_BLOCKS)

@@ -55,7 +55,7 @@ def _with_source(spans: DataFrame, texts: DataFrame, key, name: str = "code_snip
     key = [key] if isinstance(key, str) else list(key)
     others = [c for c in spans.columns if c not in key]
     listed = spans.groupBy(*key).agg(F.collect_list(F.struct(*others)).alias("_spans"))
-    split = skew_join(texts, listed, key).withColumn("_lines", split_lines(F.col("content"))).drop("content")
+    split = skew_join(texts, listed.hint("merge"), key).withColumn("_lines", split_lines(F.col("content"))).drop("content")
     filled = F.transform("_spans", lambda s: s.withField(
         name, line_span(F.col("_lines"), s["first"], s["last"])))
     # The generator takes the expression itself: on a column the optimizer would add a size
@@ -93,7 +93,7 @@ def file_complexity(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Mean over functions, classes and methods; 0 for a file without any."""
     scored = (blocks.filter(F.col("kind").isin("function", "class", "method"))
               .groupBy("content_sha").agg(F.avg("complexity").alias("_mean")))
-    return (skew_join(with_sha(files).select(*FILE, "content_sha"), scored, ["content_sha"], "left")
+    return (skew_join(with_sha(files).select(*FILE, "content_sha"), scored.hint("merge"), ["content_sha"], "left")
             .select(*FILE, F.coalesce("_mean", F.lit(0.0)).alias("complexity")))
 
 
@@ -103,7 +103,7 @@ def blob_complexity(blocks: DataFrame, blobs: DataFrame) -> DataFrame:
               .groupBy("content_sha").agg(F.avg("complexity").alias("_mean")))
     keyed = blobs.withColumn("content_sha", F.coalesce("content_sha", F.sha2("content", 256)))
     versions = keyed.select("repo_id", "commit_hash", "file_path", "content_sha")
-    return (skew_join(versions, scored, ["content_sha"], "left")
+    return (skew_join(versions, scored.hint("merge"), ["content_sha"], "left")
             .select("repo_id", "commit_hash", "file_path",
                     F.coalesce("_mean", F.lit(0.0)).alias("complexity")))
 
@@ -112,7 +112,7 @@ def module_complexity(blocks: DataFrame, files: DataFrame) -> DataFrame:
     """Sum over top-level functions; 0 for a file without any."""
     scored = (blocks.filter(F.col("kind") == "function")
               .groupBy("content_sha").agg(F.sum("complexity").alias("_sum")))
-    return (skew_join(with_sha(files).select(*FILE, "content_sha"), scored, ["content_sha"], "left")
+    return (skew_join(with_sha(files).select(*FILE, "content_sha"), scored.hint("merge"), ["content_sha"], "left")
             .select(*FILE, F.coalesce("_sum", F.lit(0).cast("long")).cast("double").alias("complexity")))
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, rules
 from ..operators import graph as G, history as H, quality as R
+from ..operators.grouping import sized_join
 from ..operators.python_source import score_blocks
 from ..session import cut_lineage
 from . import workload as X
@@ -62,7 +63,7 @@ def _(spark, sf):
     from ..operators.python_source import with_sha
     blocks, files = _python(spark, sf)
     kept = blocks.filter(~F.col("kind").isin("module", "import"))
-    return with_sha(files).join(kept, "content_sha").drop("content", "content_sha", "is_async")
+    return sized_join(with_sha(files), kept, "content_sha").drop("content", "content_sha", "is_async")
 
 
 @query("r5_scored_versions", """, v AS (
@@ -114,7 +115,7 @@ def _(spark, sf):
     from ..operators.python_source import with_sha
     blocks, files = _python(spark, sf)
     kept = blocks.filter(~F.col("kind").isin("module", "import"))
-    return with_sha(files).join(kept, "content_sha").select(
+    return sized_join(with_sha(files), kept, "content_sha").select(
         "repo_id", "file_path", "name", rules.complexity_advice(F.col("complexity")).alias("advice"))
 
 
@@ -126,7 +127,7 @@ def _(spark, sf):
     from ..operators.python_source import with_sha
     blocks, files = _python(spark, sf)
     kept = blocks.filter(~F.col("kind").isin("module", "import"))
-    return with_sha(files).join(kept, "content_sha").select("repo_id", "file_path", "name", paths.block_source(
+    return sized_join(with_sha(files), kept, "content_sha").select("repo_id", "file_path", "name", paths.block_source(
         F.col("content"), F.col("lineno"), F.col("endline")).alias("source"))
 
 

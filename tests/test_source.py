@@ -184,3 +184,17 @@ def test_worker_functions_travel_with_the_job():
     code = "import pickle, sys; print(len(pickle.load(sys.stdin.buffer)('x', 'def f(): pass')))"
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(_rows), capture_output=True, cwd="/")
     assert done.stdout.strip() == b"2", done.stderr
+
+
+def test_tables_of_unknown_size_are_not_sent_through_the_driver(spark):
+    """The planner takes the texts and their blocks for small: every join of them is by exchange."""
+    files = spark.createDataFrame([("r", "a.py", RICH), ("r", "b.py", "import a\n")], "repo_id string, file_path string, content string")
+    blocks = score_blocks(files)
+    edges = G.import_edges(blocks, files)
+    plans = [blocks, edges, G.resolve_imports(edges, files), G.parsed_modules(blocks, files), G.class_listing(blocks, files),
+             G.function_listing(blocks, files), G.module_details(blocks, files), R.file_complexity(blocks, files),
+             R.module_complexity(blocks, files), R.complexity_suggestions(blocks, files), R.duplicate_suggestions(files)]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert rows(G.class_listing(blocks, files)) and G.module_details(blocks, files).count() == 2
