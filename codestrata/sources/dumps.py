@@ -9,6 +9,7 @@ The format is that of ``exports.py``. Register once, then read like any other fo
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +30,10 @@ ARROW = pa.schema([("repo_id", pa.string()), ("commit_hash", pa.string()), ("par
                    ("message", pa.string()), ("files", FILES)])
 PART_BYTES = 64 << 20
 CHUNK = 1 << 20
+#: Bytes read at first beyond the end of a range, for the record that runs over it; doubled until it ends.
+STEP = 4 << 10
+#: Partitions among which the bytes are dealt out where the reader is not told how many.
+TASKS = 200
 ROWS = 2_000
 
 
@@ -42,6 +47,19 @@ class Range(InputPartition):
     limit: int
 
 
+@dataclass
+class Share(InputPartition):
+    """What one task reads: spans of files, each in ranges of ``size`` bytes."""
+
+    spans: list[Range]
+    size: int
+
+    def ranges(self) -> Iterator[Range]:
+        for span in self.spans:
+            for at in range(span.start, span.end, self.size):
+                yield Range(span.path, at, min(at + self.size, span.end), span.limit)
+
+
 def repo_name(path: str) -> str:
     """The folder named ``repo_id=...`` if there is one, else the path without its last ending."""
     for part in path.split("/"):
@@ -72,13 +90,36 @@ def ranges(spans: dict[str, tuple[int, int]], size: int) -> list[Range]:
             for path, (start, end) in sorted(spans.items()) for at in range(start, end, size)]
 
 
+def shares(spans: dict[str, tuple[int, int]], size: int, tasks: int) -> list[Share]:
+    """The ranges of all spans dealt out in order, so many to a task as hold a ``tasks``-th of the bytes, or ``PART_BYTES``.
+
+    Small ranges thus cost no task each, and large ones stay alone. Ranges that adjoin are kept as one span, so the
+    list grows with files and tasks, not with ranges.
+    """
+    most = min(PART_BYTES, -(-sum(end - start for start, end in spans.values()) // tasks))
+    found, held, used = [], [], 0
+    for path, (start, end) in sorted(spans.items()):
+        at = start
+        while at < end:
+            if held and used + min(size, end - at) > most:
+                found.append(Share(held, size))
+                held, used = [], 0
+            take = min(max((most - used) // size, 1) * size, end - at)
+            held.append(Range(path, at, at + take, end))
+            at, used = at + take, used + take
+    return [*found, Share(held, size)] if held else found
+
+
 def records(stream, part: Range) -> Iterator[bytes]:
     """The records that begin inside the range, each whole; a chunk and a record are in memory at a time."""
     mark = RECORD.encode()
     stream.seek(part.start)
-    held, at, begun = b"", part.start, False  # ``at`` is the place of the first byte of ``held``
+    held, at, begun, step = b"", part.start, False, STEP  # ``at`` is the place of the first byte of ``held``
     while True:
-        chunk = stream.read(min(CHUNK, part.limit - at - len(held)))
+        inside = part.end - at - len(held)
+        if inside <= 0:
+            inside, step = step, step * 2
+        chunk = stream.read(min(CHUNK, inside, part.limit - at - len(held)))
         if not chunk:
             if begun and held:
                 yield held
@@ -118,27 +159,30 @@ def parsed(record: bytes, repo: str) -> tuple | None:
             parts[3], parts[4], parts[5], [dict(zip(("file_path", "insertions", "deletions"), f)) for f in files])
 
 
-def batches(folder: str, part: Range) -> Iterator[pa.RecordBatch]:
+def batches(folder: str, share: Share) -> Iterator[pa.RecordBatch]:
     system, root = open_folder(folder)
-    repo, rows = repo_name(part.path), []
+    rows = []
 
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), ARROW)], schema=ARROW)
 
-    with system.open_input_file(f"{root}/{part.path}") as stream:
-        for record in records(stream, part):
-            row = parsed(record, repo)
-            if row:
-                rows.append(row)
-            if len(rows) == ROWS:
-                yield batch()
-                rows.clear()
+    for path, parts in groupby(share.ranges(), lambda part: part.path):
+        repo = repo_name(path)
+        with system.open_input_file(f"{root}/{path}") as stream:
+            for part in parts:
+                for record in records(stream, part):
+                    row = parsed(record, repo)
+                    if row:
+                        rows.append(row)
+                    if len(rows) == ROWS:
+                        yield batch()
+                        rows.clear()
     if rows:
         yield batch()
 
 
 class HistoryDumps(DataSource):
-    """Options: ``path``, the folder; ``partBytes``, the bytes of a partition (64 MB)."""
+    """Options: ``path``, the folder; ``partBytes``, the bytes of a range (64 MB); ``tasks``, among which ranges are dealt (200)."""
 
     @classmethod
     def name(cls) -> str:
@@ -158,13 +202,14 @@ class DumpReader(DataSourceReader):
     def __init__(self, options):
         self.folder = options["path"]
         self.size = int(options.get("partBytes", PART_BYTES))
+        self.tasks = int(options.get("tasks", TASKS))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Share]:
         spans = {path: (0, size) for path, size in dump_files(self.folder).items()}
-        return ranges(spans, self.size) or [Range("", 0, 0, 0)]
+        return shares(spans, self.size, self.tasks) or [Share([], self.size)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        return batches(self.folder, partition) if partition.limit else iter(())
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        return batches(self.folder, partition)
 
 
 class DumpStreamReader(DumpReader, DataSourceStreamReader):
@@ -179,17 +224,18 @@ class DumpStreamReader(DumpReader, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return dump_files(self.folder)
 
-    def partitions(self, start: dict, end: dict) -> list[Range]:
+    def partitions(self, start: dict, end: dict) -> list[Share]:
         spans = {path: (start.get(path, 0) if start.get(path, 0) <= size else 0, size)
                  for path, size in end.items() if start.get(path) != size}
-        return ranges(spans, self.size)
+        return shares(spans, self.size, self.tasks)
 
 
 def read_dumps(spark: SparkSession, path: str, part_bytes: int = PART_BYTES, stream: bool = False) -> DataFrame:
     """Commits with their nested files, as rows or as a stream."""
     spark.dataSource.register(HistoryDumps)
     reader = spark.readStream if stream else spark.read
-    rows = reader.format("history_dump").option("path", path).option("partBytes", part_bytes).load()
+    rows = (reader.format("history_dump").option("path", path).option("partBytes", part_bytes)
+            .option("tasks", spark.sparkContext.defaultParallelism * 4).load())
     return rows.withColumn("committed_at", F.timestamp_seconds("committed_at"))
 
 

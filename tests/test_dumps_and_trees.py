@@ -96,3 +96,36 @@ def test_tree_listings(spark, tmp_path):
     trees.write_tree_listing(files, str(tmp_path / "l"))
     (tmp_path / "l" / "repo_id=r" / "more.txt").write_text("160000 commit h9\tsub\nnoise\n")
     assert rows(trees.load_tree_listing(spark, str(tmp_path / "l")), *files.columns) == rows(files)
+
+
+def test_small_ranges_are_dealt_to_few_tasks():
+    spans = {"a": (0, 10_000_000), "b": (5, 6), "c": (100, 3_000_123)}
+    found = dumps.shares(spans, 1000, 40)
+    assert len(found) <= 2 * 40 and sum(len(s.spans) for s in found) <= 2 * 40 + len(spans)
+    assert [r for s in found for r in s.ranges()] == dumps.ranges(spans, 1000)
+    # Ranges as large as a task's part stay alone, and no task takes more than the bytes of a partition.
+    assert len(dumps.shares({"a": (0, 20), "b": (0, 20)}, 64, 4)) == 2
+    large = dumps.shares({"a": (0, 1 << 40)}, 1 << 20, 4)
+    assert max(p.end - p.start for s in large for p in s.spans) == dumps.PART_BYTES
+
+
+def test_a_range_reads_little_beyond_its_end():
+    data, read = (("\x1e" + "x" * 99) * 100_000).encode(), []
+
+    class Counted(io.BytesIO):
+        def read(self, n):
+            read.append(n)
+            return super().read(n)
+
+    assert len(list(dumps.records(Counted(data), dumps.Range("x", 0, 16_000, len(data))))) == 160
+    assert sum(read) <= 16_000 + dumps.STEP
+    assert [len(r) for r in dumps.records(io.BytesIO(b"\x1e" + b"y" * 100_000 + b"\x1ez"), dumps.Range("x", 0, 5, 100_003))] == [100_000]
+
+
+def test_a_task_reads_ranges_of_several_dumps(spark, tmp_path):
+    for name in ("one", "two", "three"):
+        (tmp_path / f"{name}.log").write_text(DUMP)
+    read = dumps.read_dumps(spark, str(tmp_path), 7)
+    assert 4 < read.rdd.getNumPartitions() <= 2 * 4 * spark.sparkContext.defaultParallelism
+    commits = exports.load_commits(spark, str(tmp_path))
+    assert rows(dumps.commits_of(read), *commits.columns) == rows(commits)
