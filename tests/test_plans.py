@@ -175,3 +175,17 @@ def test_a_commit_with_most_touches_is_split(spark, no_broadcast):
         for key in small:
             spark.conf.unset(key)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_tasks_take_a_bounded_share_of_an_exchange(spark, data):
+    """However few cores there are, a task of the history does not take all that an exchange holds."""
+    spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    X.table(spark, data, "orders")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    rows_ = spark.range(2_500_000, numPartitions=2).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        counted = rows_.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        assert counted.rdd.getNumPartitions() > 10  # one per core, 8, without the bound
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
