@@ -51,8 +51,9 @@ def repeated_words(words: Column, window: int = 3) -> Column:
     """
     n = F.size(words)
     part = lambda at: F.slice(words, F.lit(at), F.greatest(n - window + 1, F.lit(0)))
-    hashed = F.zip_with(F.zip_with(part(1), part(2), lambda a, b: F.concat(a, F.lit(" "), b)), part(3),
-                        lambda ab, c: F.xxhash64(F.concat(ab, F.lit(" "), c)))
+    # Words are hashed one after the other: joining them first would make two texts for every window.
+    hashed = F.zip_with(F.zip_with(part(1), part(2), lambda a, b: F.xxhash64(a, b)), part(3),
+                        lambda ab, c: F.xxhash64(ab, c))
 
     def places(sorted_: Column) -> Column:
         same = lambda x, i: (F.get(sorted_, i - 1)["h"].eqNullSafe(x["h"]) | F.get(sorted_, i + 1)["h"].eqNullSafe(x["h"]))
