@@ -3,7 +3,7 @@
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import colors
 from ..functions.paths import basename, directory, dotted_name
@@ -112,56 +112,76 @@ def module_dependencies(edges: DataFrame, module: str | None = None) -> DataFram
     return kept.select("repo_id", F.col("src").alias("module"), F.col("dst").alias("dependency")).distinct()
 
 
-def _pairs(edges: DataFrame) -> DataFrame:
-    return edges.select("repo_id", "src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-
-
 def _empty(df: DataFrame) -> bool:
     return df.isEmpty()
 
 
 def _inner_edges(pairs: DataFrame, keep: DataFrame) -> DataFrame:
-    """Edges whose two ends are both in ``keep(repo_id, node)``."""
-    return (pairs.join(keep.withColumnRenamed("node", "src"), ["repo_id", "src"], "left_semi")
-            .join(keep.withColumnRenamed("node", "dst"), ["repo_id", "dst"], "left_semi")
-            .select("repo_id", "src", "dst"))
+    """Edges whose two ends are both in ``keep``, a table of nodes keyed as ``pairs`` is."""
+    key = [c for c in pairs.columns if c not in ("src", "dst")]
+    for end in ("src", "dst"):
+        pairs = sized_join(pairs, keep.withColumnRenamed("node", end), [*key, end], "left_semi")
+    return pairs.select(*key, "src", "dst")
 
 
 def trim(pairs: DataFrame) -> DataFrame:
-    """Drop edges at nodes without incoming or without outgoing edges."""
-    both = pairs.select("repo_id", F.col("src").alias("node")).intersect(
-        pairs.select("repo_id", F.col("dst").alias("node")))
-    return _inner_edges(pairs, both)
+    """Drop edges at nodes without incoming or without outgoing edges. Columns besides the ends are part of the key."""
+    key = [c for c in pairs.columns if c not in ("src", "dst")]
+    ends = pairs.select(*key, F.inline(F.array(
+        F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))))
+    both = ends.groupBy(*key, "node").agg(F.max("o").alias("o"), F.max("i").alias("i")).filter("o = 1 and i = 1")
+    return _inner_edges(pairs, both.select(*key, "node"))
 
 
 def _least_both_ways(pairs: DataFrame) -> DataFrame:
-    """``repo_id, node, least_from, least_to``: the smallest node that reaches a node, and the smallest it reaches.
+    """``node, least_from, least_to``: the smallest node that reaches a node, and the smallest it reaches.
 
     Both directions are walked at once, as two halves of one table of arcs. In a round a node takes the smallest
     label of itself and of the nodes one arc before it, then that label's own label, so that what a node knows
     of a long chain grows by a factor instead of by one. Each round is cut from the one before; runs until no label
     changes, and minima are combined before the exchange.
     """
-    key = ["repo_id", "onward"]
-    arcs = written(pairs.select("repo_id", F.inline(F.array(
+    key = ["onward", "node"]
+    arcs = written(pairs.select(F.inline(F.array(
         F.struct(F.lit(True).alias("onward"), F.col("src").alias("before"), F.col("dst").alias("node")),
         F.struct(F.lit(False).alias("onward"), F.col("dst").alias("before"), F.col("src").alias("node"))))))
-    labels = written(arcs.select(*key, F.explode(F.array("before", "node")).alias("node")).distinct()
+    labels = written(arcs.select("onward", F.explode(F.array("before", "node")).alias("node")).distinct()
                          .withColumn("label", F.col("node")))
 
     while True:
-        near = (skew_join(arcs, labels.withColumnRenamed("node", "before"), [*key, "before"])
-                .groupBy(*key, "node").agg(F.min("label").alias("_near")))
-        met = labels.join(near, [*key, "node"], "left").select(
-            *key, "node", F.col("label").alias("_last"), F.least("label", "_near").alias("label"))
-        up = met.select(*key, F.col("node").alias("label"), F.col("label").alias("_up"))
-        new = written(skew_join(met, up, [*key, "label"]).select(
-            *key, "node", F.col("_up").alias("label"), (F.col("_up") < F.col("_last")).alias("changed")))
-        labels = new.select(*key, "node", "label")
+        told = skew_join(arcs, labels.withColumnRenamed("node", "before").hint("merge"), ["onward", "before"])
+        met = (told.select(*key, "label", F.lit(None).cast("long").alias("_last"))
+               .unionByName(labels.withColumn("_last", F.col("label")))
+               .groupBy(*key).agg(F.min("label").alias("label"), F.max("_last").alias("_last")))
+        up = met.select("onward", F.col("node").alias("label"), F.col("label").alias("_up"))
+        new = written(skew_join(met, up.hint("merge"), ["onward", "label"]).select(
+            *key, F.col("_up").alias("label"), (F.col("_up") < F.col("_last")).alias("changed")))
+        labels = new.select(*key, "label")
         if _empty(new.filter("changed")):
             break
-    return labels.groupBy(*NODE).agg(F.min(F.when(F.col("onward"), F.col("label"))).alias("least_from"),
-                                     F.min(F.when(~F.col("onward"), F.col("label"))).alias("least_to"))
+    return labels.groupBy("node").agg(F.min(F.when(F.col("onward"), F.col("label"))).alias("least_from"),
+                                      F.min(F.when(~F.col("onward"), F.col("label"))).alias("least_to"))
+
+
+def _number(node: str, salt: int) -> Column:
+    return F.xxhash64(F.lit(salt), "repo_id", node)
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, repo_id, node`` of all ends, and the distinct edges ``src, dst`` between two nodes by these numbers.
+
+    A number is the hash of repository and name. If any two nodes share one, all are hashed anew with another salt.
+    """
+    ends = graph_nodes(edges).filter("repo_id is not null and node is not null")
+    salt = 0
+    while True:
+        nodes = written(ends.withColumn("id", _number("node", salt)))
+        if _empty(nodes.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")):
+            break
+        salt += 1
+    pairs = edges.filter(F.col("repo_id").isNotNull() & (F.col("src") != F.col("dst")))
+    return nodes, written(pairs.select(_number("src", salt).alias("src"), _number("dst", salt).alias("dst")).distinct())
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -170,34 +190,33 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     Round by round each node learns the smallest node that reaches it and the smallest that it reaches. Where both
     are the same node, they share its component; any two nodes of one component agree in both, so edges
     between nodes that do not are dropped, and the rest goes on. Each round settles at least the component of every node
-    smaller than all it is connected with. Nodes are compared by a hash in front of their name: the number
-    of rounds does not depend on how names follow the edges.
+    smaller than all it is connected with. Nodes are compared by a number, the hash of repository and name: the number
+    of rounds does not depend on how names follow the edges, and names move only before and after the rounds.
     """
     spark = edges.sparkSession
-    coded = lambda name: F.concat(F.lpad(F.hex(F.xxhash64(name)), 16, "0"), name).alias(name)
-    pairs = _pairs(edges).select("repo_id", coded("src"), coded("dst"))
-    left = written(trim(written(pairs)))
+    nodes, pairs = _numbered(edges)
+    left = written(trim(pairs))
     found = None
     while not _empty(left):
         sides = written(_least_both_ways(left))
-        part = sides.filter("least_from = least_to").select(*NODE, F.col("least_from").alias("component"))
+        part = sides.filter("least_from = least_to").select(F.col("node").alias("id"), F.col("least_from").alias("_group"))
         found = part if found is None else found.unionByName(part)
         rest = sides.filter("least_from <> least_to")
-        at = lambda end: rest.select("repo_id", F.col("node").alias(end), "least_from", "least_to")
-        same = (skew_join(left, at("src"), ["repo_id", "src"])
-                .join(at("dst"), ["repo_id", "dst", "least_from", "least_to"]).select("repo_id", "src", "dst"))
+        at = lambda end: rest.select(F.col("node").alias(end), "least_from", "least_to").hint("merge")
+        same = (skew_join(left, at("src"), ["src"])
+                .join(at("dst"), ["dst", "least_from", "least_to"]).select("src", "dst"))
         left = written(trim(same))
     if found is None:
         return spark.createDataFrame([], "repo_id string, node string, component string")
-    name = F.substring("node", 17, 1 << 30)
-    named = found.groupBy("repo_id", "component").agg(F.min(name).alias("_name"), F.count(F.lit(1)).alias("_n"))
-    return (skew_join(found, named.filter("_n > 1"), ["repo_id", "component"])
-            .select("repo_id", name.alias("node"), F.col("_name").alias("component")))
+    found = sized_join(found, nodes, "id")
+    named = found.groupBy("_group").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("_n"))
+    return (skew_join(found, named.filter("_n > 1").hint("merge"), ["_group"])
+            .select("repo_id", "node", "component"))
 
 
 def component_labels(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Component of every node; a node outside the larger components is its own."""
-    return graph_nodes(edges).join(components, NODE, "left").select(
+    return sized_join(graph_nodes(edges), components, NODE, "left").select(
         *NODE, F.coalesce("component", "node").alias("component"))
 
 
@@ -214,10 +233,9 @@ def circular_dependencies(edges: DataFrame, components: DataFrame | None = None,
     all_pairs = written(edges.select("repo_id", "src", "dst").distinct())
     found = [all_pairs.filter(F.col("src") == F.col("dst")).select("repo_id", F.array("src").alias("cycle"))]
     ends = (strongly_connected(all_pairs) if components is None else components).select(*NODE, "component")
-    pairs = written(all_pairs.filter(F.col("src") != F.col("dst"))
-                        .join(ends.withColumnRenamed("node", "src"), ["repo_id", "src"])
-                        .join(ends.withColumnRenamed("node", "dst"), ["repo_id", "dst", "component"])
-                        .select("repo_id", "src", "dst"))
+    pairs = sized_join(all_pairs.filter(F.col("src") != F.col("dst")), ends.withColumnRenamed("node", "src"), ["repo_id", "src"])
+    pairs = written(sized_join(pairs, ends.withColumnRenamed("node", "dst"), ["repo_id", "dst", "component"])
+                    .select("repo_id", "src", "dst"))
     home = ways_home(pairs, max_len)
     step = pairs.select("repo_id", F.col("src").alias("last"), F.col("dst").alias("next"))
     paths = pairs.select("repo_id", F.col("src").alias("start"), F.col("dst").alias("last"),
@@ -225,11 +243,11 @@ def circular_dependencies(edges: DataFrame, components: DataFrame | None = None,
     length = 2
     while True:
         left = F.lit(True) if max_len is None else F.col("hops") + length <= max_len
-        paths = written(paths.join(home, ["repo_id", "start", "last"]).filter(left))
+        paths = written(sized_join(paths, home, ["repo_id", "start", "last"]).filter(left))
         if _empty(paths):
             break
         found.append(paths.filter("hops = 1").select("repo_id", "cycle"))
-        paths = (paths.select("repo_id", "start", "last", "cycle").join(step, ["repo_id", "last"])
+        paths = (sized_join(paths.select("repo_id", "start", "last", "cycle"), step, ["repo_id", "last"])
                  .filter((F.col("next") > F.col("start")) & ~F.array_contains("cycle", F.col("next")))
                  .select("repo_id", "start", F.col("next").alias("last"),
                          F.concat("cycle", F.array("next")).alias("cycle")))
@@ -246,15 +264,14 @@ def ways_home(pairs: DataFrame, max_len: int | None = None) -> DataFrame:
     """
     out = pairs.filter(F.col("dst") > F.col("src")).select("repo_id", F.col("src").alias("start")).distinct()
     back = pairs.select("repo_id", F.col("dst").alias("last"), F.col("src").alias("before"))
-    ring = written(pairs.filter(F.col("src") > F.col("dst"))
-                       .select("repo_id", F.col("dst").alias("start"), F.col("src").alias("last"))
-                       .join(out, ["repo_id", "start"], "left_semi").withColumn("hops", F.lit(1)))
+    closing = pairs.filter(F.col("src") > F.col("dst")).select("repo_id", F.col("dst").alias("start"), F.col("src").alias("last"))
+    ring = written(sized_join(closing, out, ["repo_id", "start"], "left_semi").withColumn("hops", F.lit(1)))
     known, hops = ring, 1
     while (max_len is None or hops < max_len - 1) and not _empty(ring):
         hops += 1
-        ring = written(ring.join(back, ["repo_id", "last"]).filter(F.col("before") > F.col("start"))
-                           .select("repo_id", "start", F.col("before").alias("last")).distinct()
-                           .join(known, ["repo_id", "start", "last"], "left_anti").withColumn("hops", F.lit(hops)))
+        reached = (sized_join(ring, back, ["repo_id", "last"]).filter(F.col("before") > F.col("start"))
+                   .select("repo_id", "start", F.col("before").alias("last")).distinct())
+        ring = written(sized_join(reached, known, ["repo_id", "start", "last"], "left_anti").withColumn("hops", F.lit(hops)))
         known = known.unionByName(ring)
     return written(known)
 
@@ -305,14 +322,14 @@ def _undirected_degrees(links: DataFrame) -> DataFrame:
 def community_scores(edges: DataFrame, communities: DataFrame) -> DataFrame:
     """Per community its edges inside, its degree and the edges of the repository: ``_inner, _degree, _m``."""
     links = _undirected(edges)
-    share = (_undirected_degrees(links).join(communities, NODE)
+    share = (sized_join(_undirected_degrees(links), communities, NODE)
              .groupBy("repo_id", "community").agg(F.sum("_d").alias("_degree")))
-    near = skew_join(links, communities.withColumnRenamed("node", "a"), ["repo_id", "a"])
-    far = communities.select("repo_id", F.col("node").alias("b"), "community")
+    near = skew_join(links, communities.withColumnRenamed("node", "a").hint("merge"), ["repo_id", "a"])
+    far = communities.select("repo_id", F.col("node").alias("b"), "community").hint("merge")
     inner = (skew_join(near, far, ["repo_id", "b", "community"])
              .groupBy("repo_id", "community").agg(F.count(F.lit(1)).alias("_inner")))
     total = links.groupBy("repo_id").agg(F.count(F.lit(1)).alias("_m"))
-    return (share.join(inner, ["repo_id", "community"], "left").fillna(0, ["_inner"]).join(total, "repo_id")
+    return (sized_join(share, inner, ["repo_id", "community"], "left").fillna(0, ["_inner"]).join(total, "repo_id")
             .select("repo_id", "community", "_inner", "_degree", "_m"))
 
 
@@ -430,7 +447,7 @@ def graph_metadata(nodes: DataFrame, edges: DataFrame, components: DataFrame | N
 
 def code_map(blocks: DataFrame, files: DataFrame) -> CodeMap:
     """Nodes, connections and metadata of the import graph."""
-    edges = import_edges(blocks, files)
+    edges = written(import_edges(blocks, files))  # read by all three parts, several times
     nodes = module_nodes(edges, parsed_modules(blocks, files))
     return CodeMap(colored_nodes(nodes, edges), module_connections(edges),
                    graph_metadata(nodes, edges, strongly_connected(edges), folder_communities(edges)))

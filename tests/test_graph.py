@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from codestrata.operators import graph as G
-from tests.conftest import rows
+from tests.conftest import plan_of, rows
 
 
 def edges(spark, pairs, repo="r"):
@@ -182,3 +182,25 @@ def test_modular_communities(spark):
     scores = {r["repo_id"]: r["modularity"] for r in G.modularity(df, parts).collect()}
     assert all(abs(scores[repo] - brute_score(pairs, found[repo])) < 1e-12 for repo, pairs in sets.items())
     assert G.modular_communities(df.limit(0)).isEmpty()
+
+
+def test_no_step_of_components_and_cycles_passes_a_table_through_the_driver(spark, monkeypatch):
+    plans, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: plans.append(plan_of(df)) or write(df))
+    df = edges(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d")])
+    assert {tuple(c) for c, in rows(G.circular_dependencies(df), "cycle")} == {("a", "b", "c"), ("d", "e")}
+    assert plans and not [p for p in plans if "Broadcast" in p]
+    parts = G.component_labels(df, G.strongly_connected(df))
+    assert "Broadcast" not in plan_of(parts)
+    # Only the one row per repository may be handed on.
+    scores = plan_of(G.community_scores(df, parts.withColumnRenamed("component", "community")))
+    assert scores.count("BroadcastHashJoin") <= 1
+
+
+def test_nodes_whose_numbers_meet_are_numbered_anew(spark, monkeypatch):
+    number, salts = G._number, []
+    monkeypatch.setattr(G, "_number", lambda node, salt: salts.append(salt) or (
+        F.length(node).cast("long") if salt == 0 else number(node, salt)))
+    df = edges(spark, [("a", "b"), ("b", "a"), ("c", "d"), ("d", "c"), ("b", "c"), (None, "a"), ("a", None)])
+    assert dict(rows(G.strongly_connected(df), "node", "component")) == {"a": "a", "b": "a", "c": "c", "d": "c"}
+    assert max(salts) == 1
