@@ -11,8 +11,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from codestrata.llm import (chat, decontamination, fingerprint, licenses, lines, lyndon, mixing, repeats, simhash, tokens,
-                            toxicity)
+from codestrata.llm import (chat, decontamination, edits, fingerprint, licenses, lines, lyndon, mixing, repeats, simhash,
+                            tokens, toxicity)
 from codestrata.llm.common import least_labels, linked_groups, stored
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, row string, fp string, score string, "
@@ -509,3 +509,56 @@ def test_pipeline_stage_keeps_one_of_texts_with_similar_shingles(spark):
     assert simhash.keep_one(rows).count() > 26
     kept = sorted(r["doc_id"] for r in simhash.keep_one(rows, least=0.8).collect())
     assert kept == [*range(0, 40, 2), 40, 42]
+
+
+def test_pairs_in_columns():
+    rng = random.Random(8)
+    texts = ["", "a"]
+    for _ in range(300):
+        a = "".join(rng.choices("abcd ü界", k=rng.choice([1, 5, 63, 64, 65, 128, 129, 200, 255, 257, 300])))
+        texts += [a, "".join(c for c in a if rng.random() < 0.9), a[:-len(a) // 3 or None] + "dcba"]
+    coded = edits.Coded(texts)
+    u = np.array([rng.randrange(len(texts)) for _ in range(900)] + list(range(len(texts) - 1)))
+    v = np.concatenate([[rng.randrange(len(texts)) for _ in range(900)], np.arange(1, len(texts))])
+    for share in (0.0, 0.05, 0.2, 0.5):
+        allowed = share * np.maximum(coded.size[u], coded.size[v]) + 1e-9
+        good, left = edits.within_columns(coded, u, v, allowed)
+        want = np.array([lines.edit_distance(texts[a], texts[b], m) <= m for a, b, m in zip(u, v, allowed)])
+        assert 0 < left.sum() < len(u) / 2 and not (good[~left] != want[~left]).any()
+        assert lines.close(coded, texts, u, v, 1 - share, False).tolist() == want.tolist()
+
+
+def test_links_of_many_clusters_at_once():
+    """The groups are those of all similar pairs inside clusters, whatever the turns and however long the lines are."""
+    rng = random.Random(12)
+    texts, starts, sides = [], [], []
+    for size in [2] * 40 + [5] * 20 + [60, 30]:
+        starts.append(len(texts))
+        base = words_of(rng, rng.choice([3, 12, 40, 120]))
+        for _ in range(size):
+            texts.append(" ".join(w if rng.random() < 0.85 else words_of(rng, 1) for w in base.split(" ")))
+        sides += [0] * size if size != 30 else [0, 1] * 15
+    ends, n = starts[1:] + [len(texts)], len(texts)
+    for least in (0.8, 0.9):
+        a, b = lines.verified(np.array(starts), np.arange(n), np.zeros(n, np.uint64), np.array(sides), texts, None, least)
+        pairs = [(i, j) for s, e in zip(starts, ends) for j in range(s, e) for i in range(s, j)
+                 if (sides[i] != sides[j] or e - s != 30) and lines.similar(texts[i], texts[j], least)]
+        assert len(pairs) > 20
+        assert least_labels(a, b, n).tolist() == least_labels(*(np.array(x) for x in zip(*pairs)), n).tolist()
+        assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} <= set(pairs)
+
+
+def test_shuffle_files_of_a_stored_step_go(spark):
+    def files():
+        import gc
+        import time
+        gc.collect()
+        time.sleep(0.5)
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (found.apply(i) for i in range(found.size())) if f.getName().startswith("shuffle")}
+
+    df = spark.range(20_000).select(F.xxhash64("id").alias("h"), "id")
+    before = files()
+    got = stored(df.repartition(7, "h").groupBy("h").agg(F.count(F.lit(1)).alias("n")))
+    assert not files() - before and got.count() == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
