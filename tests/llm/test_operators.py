@@ -548,6 +548,47 @@ def test_links_of_many_clusters_at_once():
         assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} <= set(pairs)
 
 
+def test_a_pair_of_several_clusters_is_tried_once(monkeypatch):
+    rng = random.Random(17)
+    made = [" ".join(words_of(rng, 1) if rng.random() < 0.1 else w for w in base.split(" "))
+            for base in (words_of(rng, 12), words_of(rng, 90)) for _ in range(8)]
+    held = [[*range(8)], [*range(2, 8)], [*range(8, 16)], [0, 1, 2, 9], [*range(9, 16)]]
+    rows = np.array([k for cluster in held for k in cluster])
+    starts = np.cumsum([0] + [len(cluster) for cluster in held[:-1]])
+    tried, close = [], lines.close
+
+    def seen(coded, texts, u, v, *rest):
+        tried.extend(zip(u.tolist(), v.tolist()))
+        return close(coded, texts, u, v, *rest)
+
+    monkeypatch.setattr(lines, "close", seen)
+    texts = [made[k] if k not in rows[:at] else None for at, k in enumerate(rows.tolist())]
+    zero = np.zeros(len(rows), np.int64)
+    a, b = lines.verified(starts, rows, zero.view(np.uint64), zero, texts, None, 0.8)
+    assert len(tried) == len(set(map(frozenset, tried))) > 10
+    pairs = {(i, j) for cluster in held for i in cluster for j in cluster if i < j and lines.similar(made[i], made[j])}
+    assert least_labels(a, b, 16).tolist() == least_labels(*map(np.array, zip(*pairs)), 16).tolist()
+
+
+def test_long_pairs_in_columns():
+    rng = random.Random(19)
+    texts = []
+    for size in [300] * 120 + [700] * 80 + [2_000] * 40:
+        a = "".join(rng.choices("abcdefg ü", k=size + rng.randrange(60)))
+        share = rng.choice([0.05, 0.15, 0.3, 0.5])
+        b = "".join(rng.choice(["", c + "x", "y"]) if rng.random() < share else c for c in a)
+        texts += [a, rng.choice([b, b[len(b) // 10:], a[:size // 2] + b[::-1][:size // 2]])]
+    coded = edits.Coded(texts)
+    u, v = np.arange(0, len(texts), 2), np.arange(1, len(texts), 2)
+    for share in (0.1, 0.2, 0.3):
+        allowed = share * np.maximum(coded.size[u], coded.size[v]) + 1e-9
+        good, left = edits.within_columns(coded, u, v, allowed)
+        want = np.array([lines.edit_distance(texts[a], texts[b]) <= m for a, b, m in zip(u, v, allowed)])
+        assert left.mean() < 0.5 and 20 < want.sum() < 220 and not (good[~left] != want[~left]).any()
+        moved = np.bitwise_count(edits.triple_bits(coded)[u] ^ edits.triple_bits(coded)[v]).sum(1)
+        assert (moved[want] <= 6 * allowed[want]).all()
+
+
 def test_shuffle_files_of_a_stored_step_go(spark):
     def files():
         import gc
