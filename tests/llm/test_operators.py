@@ -548,6 +548,45 @@ def test_links_of_many_clusters_at_once():
         assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())} <= set(pairs)
 
 
+def test_parsed_lines_are_those_of_each_line_alone():
+    rng = random.Random(23)
+    texts = [b"", b"\n", b"--\n a b\n\nc--", "\u00dcn\u00ef 18 \u754c\r\n x\ty\n".encode(), b"a" * 300 + b" b" * 600 + b"\n\n"]
+    texts += [words_of(rng, 30).replace("a ", "\n").encode() for _ in range(20)]
+    want = [(k, n, lines.normal(x)) for k, t in enumerate(texts) for n, x in enumerate(t.split(b"\n")) if lines.normal(x)]
+    some = lines.Parsed(texts)
+    assert [*zip(some.which, some.number, some.sizes, some.lines)] == [(k, n, len(w), b" ".join(w)) for k, n, w in want]
+    for a, b in zip(lines.Hasher().parsed(some), lines.Hasher().lines([w for _, _, w in want])):
+        assert a.tolist() == b.tolist()
+    for nothing in ([], [b"-- \n"]):
+        assert not lines.Parsed(nothing).lines and not len(lines.Hasher().parsed(lines.Parsed(nothing))[1])
+
+
+def test_parcels_hold_all_keys_that_repeat(monkeypatch):
+    monkeypatch.setattr(lines, "PARCELLED", 500)
+    rng = np.random.default_rng(3)
+    found = [(rng.integers(-900, 900, 90), rng.integers(0, 40, 90)) for _ in range(30)] + [(np.zeros(0, np.int64),) * 2]
+    parts = {}
+    for batch in lines.parcels(iter(found), 5):
+        for part, row in zip(batch["part"].to_pylist(), range(batch.num_rows)):
+            parts.setdefault(part, []).append(batch.slice(row, 1))
+    got = [pair for batches in parts.values() for pair in zip(*(x.tolist() for x in lines.repeated(batches)))]
+    keys, values = map(np.concatenate, zip(*found))
+    often = {k for k, n in zip(*np.unique(keys, return_counts=True)) if n > 1}
+    assert len(parts) == 5 and sorted(got) == sorted({(k, n) for k, n in zip(keys.tolist(), values.tolist()) if k in often})
+
+
+def test_steps_that_no_job_reads_any_more_go(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(lines, "stored", lambda df: steps.append(stored(df)) or steps[-1])
+    rows = stored(spark.createDataFrame(list(enumerate(similar_lines(random.Random(2), 20))), "doc_id long, text string"))
+    found = lines.occurrences(rows.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), 1)
+    links = lines.line_links(rows, stored(found.select("line", "fp")), None)
+    assert links.count() > 0
+    files = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step._stored) for step in steps]
+    there = [f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(f) for f in files]
+    assert len(there) == 4 + lines.PARTS and there == [False] * 4 + [True] * lines.PARTS
+
+
 def test_a_pair_of_several_clusters_is_tried_once(monkeypatch):
     rng = random.Random(17)
     made = [" ".join(words_of(rng, 1) if rng.random() < 0.1 else w for w in base.split(" "))
