@@ -601,6 +601,7 @@ def test_a_pair_of_several_clusters_is_tried_once(monkeypatch):
         return close(coded, texts, u, v, *rest)
 
     monkeypatch.setattr(lines, "close", seen)
+    monkeypatch.setattr(lines, "BATCH_PAIRS", 3)
     texts = [made[k] if k not in rows[:at] else None for at, k in enumerate(rows.tolist())]
     zero = np.zeros(len(rows), np.int64)
     a, b = lines.verified(starts, rows, zero.view(np.uint64), zero, texts, None, 0.8)
